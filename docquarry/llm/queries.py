@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, pii, simhash_dedup, token_counts, toxicity
+from . import exact_dedup, mixing, packing, pii, simhash_dedup, substring_dedup, token_binary, token_counts, topk_search, toxicity
 from ._util import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +28,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.encode_corpus(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_exact_dedup, op2_token_counts, op3_mixing, op4_packing, op7_toxicity, op9_simhash_dedup, op10_pii, pipeline)
+    ops = (op1_exact_dedup, op2_token_counts, op3_mixing, op4_packing, op5_substring_dedup, op6_token_binary, op7_toxicity, op8_topk_search, op9_simhash_dedup, op10_pii, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -59,4 +71,5 @@ def oracle_sql() -> dict[str, str]:
                 FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
             WHERE doc_id <> keep_id
         """,
+        "op8_topk_search": topk_search.ORACLE,
     }
