@@ -4,18 +4,416 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import routing
+from .functions import scalars
+from .operators import relational as R
+from .operators import web
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Web pages
+
+
+@query()
+def html_links_per_page(spark, sf_dir):
+    """Every page with the number of its links and of distinct targets."""
+    page = web.parsed_pages(_t(spark, sf_dir, "pages").select("page_id", "html"))
+    return page.select("page_id", F.size("page.links").alias("n_links"), F.size(F.array_distinct("page.links.href")).alias("n_targets"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return web.texts(_t(spark, sf_dir, "pages"))
+
+
+@query()
+def html_tables(spark, sf_dir):
+    return web.tables(_t(spark, sf_dir, "pages"))
+
+
+@query()
+def html_links(spark, sf_dir):
+    return web.links(_t(spark, sf_dir, "pages"))
+
+
+@query()
+def html_headings(spark, sf_dir):
+    return web.headings(_t(spark, sf_dir, "pages"))
+
+
+@query()
+def html_metadata(spark, sf_dir):
+    return web.metadata(_t(spark, sf_dir, "pages"))
+
+
+# Routing and paths
+
+_ROUTES = {**{k: k for k in routing.READERS}, **routing.ALIASES}
+_NAMED = "concat(regexp_replace(p.url, '[?#].*$', ''), '/', CASE p.page_id % 7 WHEN 0 THEN 'a.TAR.gz' WHEN 1 THEN 'b.docx' WHEN 2 THEN 'c.potm' WHEN 3 THEN '.docx' WHEN 4 THEN 'd.exe' WHEN 5 THEN 'e' ELSE 'f.v2.htm' END)"
+
+
+def _named_pages(spark, sf_dir):
+    """Pages with a file path made of the address and a name."""
+    return _t(spark, sf_dir, "pages").select("page_id", F.expr(_NAMED.replace("p.", "")).alias("path"))
+
+
+@query(f"""
+    WITH r(suffix, kind) AS (VALUES {", ".join(f"('{s}', '{k}')" for s, k in sorted(_ROUTES.items()))}),
+    n AS (SELECT page_id, {_NAMED} AS path FROM pages p),
+    s AS (SELECT page_id, path, lower(regexp_extract(path, '[^/.][^/]*\\.([^./]*)$', 1)) AS suffix FROM n)
+    SELECT page_id, path, CASE WHEN lower(path) LIKE '%.tar.gz' THEN 'tgz' WHEN lower(path) LIKE '%.tar.bz2' THEN 'tbz2' WHEN lower(path) LIKE '%.tar.xz' THEN 'txz' ELSE kind END AS file_type
+    FROM s LEFT JOIN r USING (suffix)
+""")
+def route_extension(spark, sf_dir):
+    return _named_pages(spark, sf_dir).withColumn("file_type", routing.file_type_column(F.col("path")))
+
+
+@query(f"""
+    WITH m(mime, kind) AS (VALUES {", ".join(f"('{m}', '{k}')" for m, k in sorted(routing.MIME_TYPES.items()))}),
+    e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/csv' WHEN 2 THEN 'TEXT/CSV' ELSE 'image/png' END AS mime FROM events)
+    SELECT event_id, e.mime, kind AS file_type, kind IS NOT NULL AS supported FROM e LEFT JOIN m ON e.mime = m.mime
+""")
+def route_mime(spark, sf_dir):
+    mime = F.expr("CASE event_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/csv' WHEN 2 THEN 'TEXT/CSV' ELSE 'image/png' END")
+    kind = routing.mime_type_column(F.col("mime"))
+    return _t(spark, sf_dir, "events").select("event_id", mime.alias("mime")).select("event_id", "mime", kind.alias("file_type"), kind.isNotNull().alias("supported"))
+
+
+@query("""
+    SELECT o_orderkey, o_orderdate FROM orders
+    WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'
+      AND (lower(o_orderpriority) LIKE '%high' OR lower(o_orderpriority) LIKE '%low') AND regexp_matches(o_orderpriority, '^[0-9]-.*$')
+""")
+def file_filter_half_open(spark, sf_dir):
+    test = R.FileFilter(modified_after="1996-01-01", modified_before="1997-01-01", extensions=["HIGH", "low"], path_patterns=["[0-9]-*"])
+    return test.apply(_t(spark, sf_dir, "orders"), "o_orderdate", "o_orderdate", "o_orderpriority").select("o_orderkey", "o_orderdate")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE date_trunc('second', ts) END AS parsed FROM events")
+def parse_iso(spark, sf_dir):
+    text = F.expr("CASE event_id % 5 WHEN 0 THEN 'no date' WHEN 1 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") WHEN 2 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") WHEN 3 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'+00:00'\") ELSE date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS\") END")
+    return _t(spark, sf_dir, "events").select("event_id", scalars.parse_iso(text).alias("parsed"))
+
+
+@query(f"""
+    WITH n AS (SELECT page_id, {_NAMED} AS path FROM pages p), s AS (SELECT page_id, path, regexp_extract(path, '([^/]*)$', 1) AS name FROM n)
+    SELECT page_id, name, regexp_extract(name, '[^.].*(\\.[^.]+)$', 1) AS suffix, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM s
+""")
+def path_parts(spark, sf_dir):
+    name, suffix, parent = scalars.path_parts(F.col("path"))
+    return _named_pages(spark, sf_dir).select("page_id", name.alias("name"), suffix.alias("suffix"), parent.alias("parent"))
+
+
+# Units and text
+
+
+@query("SELECT conv_id, trim(string_agg(text, chr(10) ORDER BY turn), ' ' || chr(9) || chr(10) || chr(13)) AS full_text FROM conversations GROUP BY conv_id")
+def unit_text_join(spark, sf_dir):
+    return R.joined_text(_t(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+
+
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS unit_number FROM conversations")
+def unit_number(spark, sf_dir):
+    return R.numbered(_t(spark, sf_dir, "conversations"), ["conv_id"], ["turn"]).select("conv_id", "turn", "unit_number")
+
+
+@query("""
+    SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS chunk_index, role, text
+    FROM conversations QUALIFY trim(text) <> ''
+""")
+def rag_chunks(spark, sf_dir):
+    numbered = R.numbered(_t(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "n")
+    return numbered.where(scalars.strip(F.col("text")) != "").select("conv_id", "turn", (F.col("n") - 1).alias("chunk_index"), "role", "text")
+
+
+_NUMERIC_SQL = "^\\(?[-‐-―−]?[0-9][0-9,.]*\\)?%?$"
+
+
+@query(f"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: regexp_matches(t, '{_NUMERIC_SQL}'))) AS INTEGER) AS n_numeric FROM documents")
+def numeric_token_count(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", scalars.count_numeric_tokens(F.col("text")).alias("n_numeric"))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word")
+def known_words(spark, sf_dir):
+    return R.word_counts(_t(spark, sf_dir, "documents"), "text")
+
+
+def _lines(spark, sf_dir):
+    """Lines of documents, and a line of words and numbers for each part."""
+    docs = R.lines_of(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    parts = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(-1).alias("line_no"), F.expr("concat_ws(' ', p_name, p_size, p_partkey)").alias("line"))
+    return docs.unionAll(parts)
+
+
+_LINES = "(SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
+
+
+@query(f"""
+    WITH lines AS (SELECT * FROM {_LINES} UNION ALL SELECT p_partkey, -1, concat_ws(' ', p_name, p_size, p_partkey) FROM part),
+    t AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS t FROM lines),
+    h AS (SELECT doc_id, line_no, t[1:len(t)//2] AS header, t[len(t)//2+1:] AS "values" FROM t WHERE len(t) >= 4 AND len(t) % 2 = 0)
+    SELECT doc_id, line_no, array_to_string(header, '|') AS header, array_to_string("values", '|') AS "values" FROM h
+    WHERE len(list_filter(header, lambda x: NOT regexp_matches(x, '^[A-Za-z]+$'))) = 0 AND len(list_filter("values", lambda x: NOT regexp_matches(x, '^[0-9]+$'))) = 0
+""")
+def doc_inline_tables(spark, sf_dir):
+    return R.inline_tables(_lines(spark, sf_dir), "doc_id").select("doc_id", "line_no", F.array_join("header", "|").alias("header"), F.array_join("values", "|").alias("values"))
+
+
+@query("""
+    WITH l AS (SELECT doc_id, list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(160))) AS l FROM documents)
+    SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(l, lambda x: NOT (x LIKE '\\_\\_\\_PPT%' ESCAPE '\\' OR x LIKE 'Click to edit%' OR x = '*')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS cleaned FROM l
+""")
+def clean_lines(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", scalars.clean_lines(F.col("text")).alias("cleaned"))
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, line_no, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS n_tokens FROM {_LINES}),
+    m AS (SELECT *, CASE WHEN n_tokens = lag(n_tokens) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 0 ELSE 1 END AS new FROM t),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM m)
+    SELECT doc_id, CAST(run AS BIGINT) AS run, CAST(n_tokens AS INTEGER) AS n_tokens, count(*) AS n_rows, min(line_no) AS first_row, max(line_no) AS last_row FROM r GROUP BY doc_id, run, n_tokens HAVING count(*) >= 2
+""")
+def line_islands(spark, sf_dir):
+    lines = R.lines_of(_t(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line_no", F.size(F.filter(F.split("line", r"\s+"), lambda t: t != "")).alias("n_tokens"))
+    return R.equal_runs(lines, ["doc_id"], "line_no", "n_tokens")
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, line_no, line, length(line) < 30 AS is_heading FROM {_LINES})
+    SELECT doc_id, line_no, CAST(sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER w AS BIGINT) AS section, last_value(CASE WHEN is_heading THEN line END IGNORE NULLS) OVER w AS heading
+    FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+def heading_section(spark, sf_dir):
+    lines = R.lines_of(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    return R.sections(lines, ["doc_id"], "line_no", F.length("line") < 30, F.col("line")).select("doc_id", "line_no", "section", "heading")
+
+
+# Order, neighbours and ranges
+
+
+@query("""
+    SELECT event_id, user_id, CAST(1 + coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS page FROM events
+""")
+def position_to_page(spark, sf_dir):
+    return R.page_of_position(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "user_id", "page")
+
+
+@query("""
+    SELECT event_id, user_id, first_value(CASE WHEN event_type = 'view' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS caption FROM events
+""")
+def next_nonempty(spark, sf_dir):
+    return R.following(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "view", F.col("props")), "caption").select("event_id", "user_id", "caption")
+
+
+@query("""
+    SELECT * FROM (SELECT event_id, user_id, event_type, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS end_id FROM events)
+    WHERE event_type = 'signup' AND end_id IS NOT NULL
+""")
+def asof_forward(spark, sf_dir):
+    ends = R.following(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "purchase", F.col("event_id")), "end_id", inclusive=False)
+    return ends.where("event_type = 'signup' AND end_id IS NOT NULL").select("event_id", "user_id", "event_type", "end_id")
+
+
+@query("""
+    SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after, CASE WHEN lag(event_type) OVER w = 'view' THEN lag(event_type) OVER w ELSE lead(event_type) OVER w END AS caption
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def neighbour_caption(spark, sf_dir):
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before, after = F.lag("event_type").over(by), F.lead("event_type").over(by)
+    return _t(spark, sf_dir, "events").select("event_id", before.alias("before"), after.alias("after"), F.when(before == "view", before).otherwise(after).alias("caption"))
+
+
+@query("""
+    SELECT b.item_id, coalesce(min(d.doc_id), -1) AS doc_id FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY b.item_id
+""")
+def contains_match(spark, sf_dir):
+    needles = _t(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle"))
+    return R.contains_match(_t(spark, sf_dir, "documents"), "doc_id", "text", needles, "item_id", "needle", fallback=-1)
+
+
+@query("""
+    SELECT s.o_orderkey, count(e.event_id) AS n_events FROM (SELECT o_orderkey, o_custkey FROM orders) s
+    LEFT JOIN events e ON e.user_id = s.o_custkey AND e.event_id BETWEEN s.o_orderkey AND s.o_orderkey + 500 GROUP BY s.o_orderkey
+""")
+def range_join(spark, sf_dir):
+    """Things in the inclusive range of positions of their holder; the key makes it an equi-join."""
+    orders, events = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _t(spark, sf_dir, "events").select("event_id", "user_id")
+    inside = (F.col("user_id") == F.col("o_custkey")) & F.col("event_id").between(F.col("o_orderkey"), F.col("o_orderkey") + 500)
+    return orders.join(events, inside, "left").groupBy("o_orderkey").agg(F.count("event_id").alias("n_events"))
+
+
+@query("""
+    SELECT n_nationkey, n_name, coalesce(r_name, n_name) AS label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'
+""")
+def lookup_with_default(spark, sf_dir):
+    styles = _t(spark, sf_dir, "region").where("r_name <> 'ASIA'")
+    nations = _t(spark, sf_dir, "nation")
+    return nations.join(styles, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", F.coalesce("r_name", "n_name").alias("label"))
+
+
+@query("""
+    SELECT c.conv_id, c.spine, c.turn, i.text FROM (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS spine FROM conversations) c
+    JOIN conversations i ON i.conv_id = c.conv_id AND i.turn = c.turn AND i.role = 'assistant'
+""")
+def ordered_equi_join(spark, sf_dir):
+    """A spine joined with its manifest: entries without a match go, numbers stay."""
+    turns = _t(spark, sf_dir, "conversations")
+    spine = R.numbered(turns.select("conv_id", "turn"), ["conv_id"], ["turn"], "spine")
+    return spine.join(turns.where("role = 'assistant'").select("conv_id", "turn", "text"), ["conv_id", "turn"]).select("conv_id", "spine", "turn", "text")
+
+
+@query("""
+    WITH a AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user'),
+    b AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant')
+    SELECT a.conv_id, CAST(a.n AS INTEGER) AS n, a.text AS slide, b.text AS note FROM a LEFT JOIN b ON a.conv_id = b.conv_id AND a.n = b.n
+""")
+def positional_join(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations")
+    a, b = (R.numbered(turns.where(F.col("role") == role), ["conv_id"], ["turn"], "n").select("conv_id", "n", F.col("text").alias(name)) for role, name in (("user", "slide"), ("assistant", "note")))
+    return a.join(b, ["conv_id", "n"], "left")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def processed_anti_join(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+# Groups, sets and order
+
+
+@query("SELECT doc_id, sha1(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def dedup_first(spark, sf_dir):
+    return R.first_of_content(_t(spark, sf_dir, "documents"), F.col("text"), ["doc_id"]).select("doc_id", F.sha1("text").alias("digest"))
+
+
+@query("""
+    SELECT doc_id, lang, source, n_chars FROM (SELECT *, max(n_chars) OVER w AS most, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY lang, source))
+    WHERE n = 1 OR most <= 8 OR n_chars >= 0.6 * most
+""")
+def diversity_filter(spark, sf_dir):
+    return R.diverse_enough(_t(spark, sf_dir, "documents"), ["lang", "source"], "n_chars").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 7 + 1 AS INTEGER) AS hand FROM documents")
+def round_robin(spark, sf_dir):
+    return R.dealt(_t(spark, sf_dir, "documents"), ["doc_id"], 7, ["source"]).select("doc_id", "source", "hand")
+
+
+@query("""
+    SELECT user_id, round(median(gap), 3) AS median_gap, count(gap) AS gaps FROM (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY user_id
+""")
+def median_gap(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return R.median_gap(rows, ["user_id"], "at", F.col("value")).withColumn("median_gap", F.round("median_gap", 3))
+
+
+@query("""
+    SELECT n_nationkey, concat_ws('  ', lpad(CAST(n_nationkey AS VARCHAR), CAST(max(length(CAST(n_nationkey AS VARCHAR))) OVER () AS INTEGER), ' '), lpad(n_name, CAST(max(length(n_name)) OVER () AS INTEGER), ' ')) AS line FROM nation
+""")
+def column_width_format(spark, sf_dir):
+    return R.right_justified(_t(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], separator="  ").select("n_nationkey", "line")
+
+
+@query("SELECT vec_id, CAST(1 AS INTEGER) AS rows, CAST(len(embedding) AS INTEGER) AS columns FROM embeddings")
+def table_dim(spark, sf_dir):
+    dim = scalars.table_dim(F.array("embedding"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", dim["rows"].alias("rows"), dim["columns"].alias("columns"))
+
+
+_UNITS = "CASE p_partkey % 7 WHEN 0 THEN 'in' WHEN 1 THEN 'cm' WHEN 2 THEN 'mm' WHEN 3 THEN 'pt' WHEN 4 THEN 'pc' WHEN 5 THEN 'px' ELSE 'ell' END"
+
+
+@query(f"""
+    SELECT p_partkey, coalesce(CAST(round_even(p_size * CASE u WHEN 'in' THEN 96.0 WHEN 'cm' THEN 96.0 / 2.54 WHEN 'mm' THEN 96.0 / 25.4 WHEN 'pt' THEN 96.0 / 72 WHEN 'pc' THEN 16.0 WHEN 'px' THEN 1.0 END, 0) AS INTEGER), -1) AS px
+    FROM (SELECT p_partkey, p_size, {_UNITS} AS u FROM part)
+""")
+def length_to_px(spark, sf_dir):
+    px = scalars.length_to_px(F.concat(F.col("p_size").cast("string"), F.expr(_UNITS)))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.coalesce(px, F.lit(-1)).alias("px"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2') UNION ALL SELECT doc_id, source FROM documents WHERE source = 'src2'")
+def bag_union_listing(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    return docs.where(F.col("source").isin("src1", "src2")).unionAll(R.bag_union(docs, F.col("source"), ["src2"]))
+
+
+@query("SELECT DISTINCT k AS key FROM (SELECT source AS k FROM documents UNION ALL SELECT lang FROM documents)")
+def supported_union(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select(F.col("source").alias("key")).unionAll(docs.select("lang")).distinct()
+
+
+@query("""
+    WITH RECURSIVE nodes AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier),
+    walk AS (SELECT id, name AS path, 0 AS depth FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, w.path || '/' || n.name, w.depth + 1 FROM nodes n JOIN walk w ON n.parent = w.id)
+    SELECT id AS node, path, CAST(depth AS INTEGER) AS depth FROM walk
+""")
+def recursive_walk(spark, sf_dir):
+    nodes = (
+        _t(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) AS id", "CAST(NULL AS string) AS parent", "r_name AS name")
+        .unionAll(_t(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)", "n_name"))
+        .unionAll(_t(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey)", "concat('n', s_nationkey)", "s_name"))
+    )
+    return R.nested_paths(nodes, "id", "parent", "name", 2)
+
+
+@query("""
+    SELECT c_custkey, '{"_type":"Customer","name":"' || c_name || '","segment":"' || c_mktsegment || '","nation":' || c_nationkey || '}' AS json FROM customer
+""")
+def to_json(spark, sf_dir):
+    record = F.struct(F.lit("Customer").alias("_type"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.to_json(record).alias("json"))
+
+
+@query("""
+    SELECT event_id, value, CASE WHEN event_type IN ('view', 'click') THEN 'title' WHEN event_type = 'error' THEN 'skip' ELSE 'other' END AS kind,
+        row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts, event_id) AS place FROM events
+""")
+def position_sort(spark, sf_dir):
+    """Shapes classified, and numbered by (-y, x) with their own order last."""
+    by = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "ts", "event_id")
+    kind = F.when(F.col("event_type").isin("view", "click"), "title").when(F.col("event_type") == "error", "skip").otherwise("other")
+    return _t(spark, sf_dir, "events").select("event_id", "value", kind.alias("kind"), F.row_number().over(by).alias("place"))
+
+
+@query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1")
+def first_only(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
+
 
-def html_links_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+@query("SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE 'fraction' END AS shown FROM customer")
+def display_value(spark, sf_dir):
+    shown = scalars.display_value(F.col("c_acctbal"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") == F.floor("c_acctbal"), shown).otherwise("fraction").alias("shown"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
