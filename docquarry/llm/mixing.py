@@ -194,8 +194,9 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, temp
     blocks, sizes = _numbered(meta)
     slots = draw_slots(docs.sparkSession, sizes, weights or target_weights(sizes, temperature), min_epochs, shard_slots, seed)
     uses = slots.groupBy("source", "block").agg(F.count("*").cast("int").alias("__uses"))
-    per_row = uses.join(blocks.select("source", "block", "starts"), ["source", "block"]).select(F.explode("starts").alias("__dq_id"), "__uses")
+    # The planner takes what is made of a range for small; these sides grow with the corpus.
+    per_row = uses.hint("merge").join(blocks.select("source", "block", "starts"), ["source", "block"]).select(F.explode("starts").alias("__dq_id"), "__uses")
     most = per_row.where("__dq_id IS NOT NULL").groupBy("__dq_id").agg(F.max("__uses").alias("__uses"))
-    rows = docs.withColumn("__dq_id", F.col(id_col).cast("long")).join(most, "__dq_id", "left")
+    rows = docs.withColumn("__dq_id", F.col(id_col).cast("long")).join(most.hint("merge"), "__dq_id", "left")
     copies = F.expr("CASE WHEN __dq_id IS NULL THEN array(1) WHEN __uses IS NULL THEN array() ELSE sequence(1, __uses) END")
     return rows.withColumn("__copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])
