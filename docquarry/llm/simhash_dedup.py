@@ -51,7 +51,7 @@ class _Words:
         self.bits = np.empty((1 << 16, 4), np.uint64)
         self.weight = np.empty(1 << 16, np.float32)
 
-    def learn(self, new: set[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         if len(self.number) > 600_000:
             self.number.clear()
         at = len(self.number)
@@ -77,10 +77,11 @@ def signature(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     distinct = set(text.split())
-    new = distinct - _words.number.keys()
+    known = _words.number
+    new = [w for w in distinct if w not in known]
     if new:
         if len(_words.number) + len(new) > 600_000:
-            new = distinct
+            new = list(distinct)
         _words.learn(new)
     at = np.fromiter(map(_words.number.__getitem__, distinct), np.int64, len(distinct))
     weight = _words.weight[at]
