@@ -179,7 +179,7 @@ def read_odt(data: bytes, path: str | None = None) -> Iterator[Document]:
         doc.parts.append(Part(attribute(note, "note-class") or "footnote", "\n".join(text_of(p) for p in find_all(inner, "p")), attribute(note, "id") or ""))
     doc.parts += _notes_of(text)
     doc.parts += [Part("bookmark", name) for kind in ("bookmark", "bookmark-start") for b in find_all(text, kind) if (name := attribute(b, "name"))]
-    doc.parts += [Part("style", s) for s in sorted({s for e in text.iter() if (s := attribute(e, "style-name"))})]
+    doc.parts += [Part("style", s) for s in sorted({attribute(e, "style-name") or "" for e in text.iter()} - {""})]
     for kind in ("header", "footer"):
         for e in find_all(package.root("styles.xml"), kind):
             if (found := "\n".join(t for p in find_all(e, "p") if (t := text_of(p)).strip())):
