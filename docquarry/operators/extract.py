@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import routing
 from ..formats.dispatch import MAX_FILE_SIZE
@@ -76,19 +78,13 @@ def rows_of(path: str | None, content: bytes | None, binary: bool = False, attac
         yield _failed(path, error.kind, str(error))
 
 
-def _arrow_schema() -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(SCHEMA))
-
-
 def documents(files: DataFrame, binary: bool = False, attachments: bool = False, max_file_size: int = MAX_FILE_SIZE, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """One row a document of files (path, content); columns as in SCHEMA. Image and attachment
     bytes are left out unless asked for. A NULL or too large content gives an error row."""
 
+    schema = to_arrow_schema(T.StructType.fromDDL(SCHEMA))
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _arrow_schema()
         for batch in batches:
             for path, content in zip(*batch.columns):
                 rows = list(rows_of(path.as_py(), content.as_py(), binary, attachments, max_file_size))
@@ -156,27 +152,23 @@ def chunks(docs: DataFrame) -> DataFrame:
     return found.where(strip(F.col("u.text")) != "").select("path", "doc_idx", "chunk_index", "title", "author", F.col("u.unit_number").alias("unit_number"), F.col("u.text").alias("text"))
 
 
-def full_text(column: Column = F.col("units")) -> Column:
-    """The texts of units, joined and stripped."""
+def full_text(column: Column | None = None) -> Column:
+    """The texts of units (a column of that name), joined and stripped."""
     from ..functions.scalars import strip
 
-    return strip(F.array_join(F.transform(column, lambda u: u["text"]), "\n"))
+    return strip(F.array_join(F.transform(F.col("units") if column is None else column, lambda u: u["text"]), "\n"))
 
 
-@udtf(returnType=SCHEMA)
 class Extract:
     """extract(path, content) for LATERAL joins in SQL; without image and attachment bytes."""
 
     def eval(self, path: str, content: bytes):
-        from pyspark.sql.types import Row
-
-        names = [c.split(" ")[0] for c in _TOP]
         for row in rows_of(path, bytes(content) if content is not None else None):
             for part in row.get("parts") or ():
                 part["attrs"] = dict(part["attrs"])
             if "metadata" in row:
                 row["metadata"] = dict(row["metadata"])
-            yield Row(*names)(*(row.get(n) for n in names))
+            yield tuple(row.get(n) for n in _TOP)
 
 
 _TOP = ("path", "doc_idx", "file_type", "full_text", "detected_encoding", "metadata", "units", "tables", "images", "parts", "email", "error")
@@ -184,4 +176,4 @@ _TOP = ("path", "doc_idx", "file_type", "full_text", "detected_encoding", "metad
 
 def register(spark: SparkSession) -> None:
     """Make extract(path, content) known to SQL."""
-    spark.udtf.register("extract", Extract)
+    spark.udtf.register("extract", udtf(Extract, returnType=SCHEMA))

@@ -38,10 +38,12 @@ def upsert(write: Callable[[DataFrame, int], None], id_col: str = "path", time_c
     return lambda batch, number: write(newest(batch, id_col, time_col), number)
 
 
-def counts_by_window(files: DataFrame, time_col: str = "modificationTime", window: str = "1 hour", delay: str = "1 day") -> DataFrame:
-    """Files and bytes by type and tumbling window; late ones count until the watermark."""
+def counts_by_window(files: DataFrame, time_col: str = "modificationTime", window: str = "1 hour", delay: str | None = "1 day") -> DataFrame:
+    """Files and bytes by type and tumbling window; late ones count until the watermark. With
+    delay None the files have a watermark already."""
     from .. import routing
 
     kind = routing.file_type_column(F.col("path"))
-    grouped = files.withWatermark(time_col, delay).groupBy(F.window(time_col, window), kind.alias("file_type"))
+    marked = files.withWatermark(time_col, delay) if delay else files
+    grouped = marked.groupBy(F.window(time_col, window), kind.alias("file_type"))
     return grouped.agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
