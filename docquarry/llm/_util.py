@@ -4,22 +4,74 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only up to this many rows of a few numbers each.
 BROADCAST_ROWS = 200_000
 
-#: Per worker, entries a memo of words may hold before it is emptied.
-MEMO_ENTRIES = 1_500_000
+#: Entries a memo of words may hold before it is emptied.
+MEMO_ENTRIES = 250_000
+
+
+class Memo(dict):
+    """What a worker process keeps of words. Workers live through several operators, so only
+    the memo that was used last keeps its entries, and at most `most` of them."""
+
+    _last: Memo | None = None
+
+    def __init__(self, make: Callable[[str], Any] | None = None, most: int = MEMO_ENTRIES):
+        super().__init__()
+        self._make, self._most = make, most
+
+    def __missing__(self, word: str) -> Any:
+        found = self[word] = self._make(word)
+        return found
+
+    def ready(self, more: int = 0) -> None:
+        """To be called before every text: makes room for so many entries at least."""
+        if Memo._last is not self:
+            if Memo._last is not None:
+                Memo._last.clear()
+            Memo._last = self
+        if len(self) + more > self._most:
+            self.clear()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fields(docs: DataFrame, **picked: str) -> DataFrame:
+    """Columns under new names: picked[new] is found by its exact name, even where others differ
+    from it by case alone; of several with one name the first counts."""
+    flat = docs.toDF(*[f"__{i}" for i in range(len(docs.columns))])
+    return flat.select(*[F.col(f"__{docs.columns.index(old)}").alias(new) for new, old in picked.items()])
+
+
+def with_row(docs: DataFrame, **picked: str) -> DataFrame:
+    """fields, and all columns as the struct __row, so that no name of theirs can clash."""
+    flat = docs.toDF(*[f"__{i}" for i in range(len(docs.columns))])
+    return flat.select(*[F.col(f"__{docs.columns.index(old)}").alias(new) for new, old in picked.items()], F.struct(*flat.columns).alias("__row"))
+
+
+def rows_back(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that with_row packed, under their names."""
+    return rows.select(*[F.col(f"__row.__{i}").alias(name) for i, name in enumerate(names)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)

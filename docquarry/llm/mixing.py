@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import cut, maybe_broadcast, mix64, written
+from ._util import cut, fields, maybe_broadcast, mix64, rows_back, slices, with_row, written
 from .tokens import DEFAULT_VOCAB, END_OF_TEXT, bpe
 
 BLOCK = 2048
@@ -90,7 +90,7 @@ def pack_blocks(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", tex
             out.clear()
             return pa.RecordBatch.from_arrays(columns, names=["source", "part", "local", "doc_ids", "starts", "tokens"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for source, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 buffer, ids, starts = streams.setdefault(source, (bytearray(), [], []))
                 ids.append(doc)

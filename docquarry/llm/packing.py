@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cut, maybe_broadcast, parallelism
+from ._util import cut, fields, maybe_broadcast, parallelism, slices
 from .tokens import DEFAULT_VOCAB, bpe
 
 CAPACITY = 2048
@@ -86,7 +86,7 @@ def piece_lengths(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe(vocab)
-        for batch in batches:
+        for batch in slices(batches):
             counts = [encode.count(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["__id", "__tokens"])
 

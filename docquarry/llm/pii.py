@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CUES = ("account", "acct", "konto", "compte", "cuenta", "passport", "iban", "ssn", "social security", "tax id", "member id", "customer id", "patient id", "driver license", "licence no", "license no")
+from ._util import fields, slices
+
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.!#$%&'*+/=?^_`{|}~-")
 _HOST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-")
@@ -264,7 +266,7 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, start, end, kind, value) of every piece of personal data; bounds in code points."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, starts, ends, kinds, values = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 for start, end, kind in find_private(text) if text else ():

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, maybe_broadcast, mix64, parallelism
+from ._util import Memo, cut, fields, maybe_broadcast, mix64, parallelism, rows_back, slices, with_row
 
 BITS = 64
 TAU = 10
@@ -47,13 +47,11 @@ class _Words:
     """Word numbers of this worker, with each number's 256 hashed bits and weight."""
 
     def __init__(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Memo()
         self.bits = np.empty((1 << 16, 4), np.uint64)
         self.weight = np.empty(1 << 16, np.float32)
 
     def learn(self, new: list[str]) -> None:
-        if len(self.number) > 600_000:
-            self.number.clear()
         at = len(self.number)
         while len(self.bits) < at + len(new):
             self.bits = np.concatenate([self.bits, np.empty_like(self.bits)])
@@ -78,10 +76,9 @@ def signature(text: str | None) -> np.ndarray | None:
         return None
     distinct = set(text.split())
     known = _words.number
+    known.ready(len(distinct))
     new = [w for w in distinct if w not in known]
     if new:
-        if len(_words.number) + len(new) > 600_000:
-            new = list(distinct)
         _words.learn(new)
     at = np.fromiter(map(_words.number.__getitem__, distinct), np.int64, len(distinct))
     weight = _words.weight[at]
@@ -104,7 +101,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(__id, __h, s0, s1, s2, s3) of every document that has words; __h is the text's hash."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(i, s) for i, s in enumerate(map(signature, batch.column(2).to_pylist())) if s is not None]
             at = pa.array([i for i, _ in found], pa.int64())
             sigs = np.array([s for _, s in found], np.uint64).reshape(-1, 4).view(np.int64)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import MEMO_ENTRIES, mix64
+from ._util import Memo, fields, mix64, slices
 
 MIN_WORDS = 50
 HEAD = 8
@@ -42,18 +42,12 @@ _FACTORS = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 _PLACE_BITS = 28
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        found = self[word] = xxhash.xxh32_intdigest(word) | 1  # no zero low byte: see _sorted_suffixes
-        return found
-
-
-_hashes = _WordHashes()
+#: No zero low byte: see _sorted_suffixes.
+_hashes = Memo(lambda word: xxhash.xxh32_intdigest(word) | 1)
 
 
 def word_hashes(text: str) -> np.ndarray:
-    if len(_hashes) > MEMO_ENTRIES:
-        _hashes.clear()
+    _hashes.ready()
     words = text.split()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint32, len(words))
 
@@ -148,7 +142,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = H
     rows = _keyed(docs, id_col, text_col)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             grams, places, sizes = [], [], []
             for text in batch.column(2).to_pylist():
                 found = gram_hashes(word_hashes(text), head)

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._util import fields, slices
 from .tokens import DEFAULT_VOCAB, END_OF_TEXT, bpe
 
 BLOCK = 2048
@@ -367,7 +368,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         buffer, pieces = bytearray(), ([], [], [])
         size = 2 * BLOCK
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is None:
                     continue

@@ -23,11 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import MEMO_ENTRIES
+from ._util import fields
 from .tokens import DEFAULT_VOCAB, PATTERN, read_ranks
 
 ZIPF_SHIFT = 2.7
 
+#: Chunks and pre-tokens whose counts a worker keeps before it empties its memo.
+MEMO_ENTRIES = 1_500_000
+
 _models: dict[str, "UnigramCounter"] = {}
 
 

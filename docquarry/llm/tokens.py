@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 from array import array
 
+from ._util import Memo
+
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -23,16 +25,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
-class _Chunks(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self._encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = self[chunk] = array("H", self._encode(" " + chunk)).tobytes()
-        return found
-
-
 class BpeTokens:
     """Encodes a text as little-endian unsigned 16-bit ids."""
 
@@ -41,15 +33,14 @@ class BpeTokens:
 
         self._encoding = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
         self._encode = self._encoding.encode_ordinary
-        self._chunks = _Chunks(self._encode)
+        self._chunks = Memo(lambda chunk: array("H", self._encode(" " + chunk)).tobytes())
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
         if "  " in text or text[0] == " " or text[-1] == " ":
             return array("H", self._encode(text)).tobytes()
-        if len(self._chunks) > 600_000:
-            self._chunks.clear()
+        self._chunks.ready()
         first, *rest = text.split(" ")
         return array("H", self._encode(first)).tobytes() + b"".join(map(self._chunks.__getitem__, rest))
 

@@ -30,6 +30,8 @@ from ._util import cut, written
 
 K = 10
 BUCKET = 4096
+#: The longest buckets, one for every dimension, are broadcast up to this number.
+MOST_TOPS = 4
 #: From this local cosine threshold on, coordinates prune more than lengths.
 COORDINATE_FROM = 0.9
 FOCUS = 4

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import MEMO_ENTRIES, cut, mix64
+from ._util import Memo, cut, fields, mix64, rows_back, with_row
 
 BITS = 20
 THRESHOLD = 0.5
@@ -34,19 +34,12 @@ MAX_ROWS = 4000
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…“”‘’«»–—¡¿"
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word.strip(_PUNCTUATION).lower())
-        return found
-
-
-_hashes = _WordHashes()
+_hashes = Memo(lambda word: xxhash.xxh64_intdigest(word.strip(_PUNCTUATION).lower()))
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """The sorted distinct places of a text's words, pairs and skip-pairs."""
-    if len(_hashes) > MEMO_ENTRIES:
-        _hashes.clear()
+    _hashes.ready()
     words = text.split() if text else []
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
@@ -137,8 +130,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
         dense[at] = w
         for batch in texts:
             found = np.empty(len(batch))
-            for i, text in enumerate(batch.to_pylist()):
-                places = features(text, bits)
+            for i, scalar in enumerate(batch):
+                places = features(scalar.as_py(), bits)
                 # Few places have a weight; only those are made distinct.
                 hit = places[dense[places] != 0]
                 if len(hit):
