@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cut, maybe_broadcast, parallelism
+from ._util import cut, fields, maybe_broadcast, parallelism, rows_back, with_row
 
 
 def golomb_encode(values: np.ndarray, low: int, span: int) -> bytes:
@@ -68,7 +68,7 @@ def _split(hashes: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("__dq_id"), F.col(text_col).alias("__dq_text")).where("__dq_id IS NOT NULL AND __dq_text IS NOT NULL").withColumn("__dq_h", F.xxhash64("__dq_text"))
+    return fields(docs, __dq_id=id_col, __dq_text=text_col).where("__dq_id IS NOT NULL AND __dq_text IS NOT NULL").withColumn("__dq_h", F.xxhash64("__dq_text"))
 
 
 def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,11 +140,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = cut(pairs.select("__dq_id", "__dq_h").distinct())
     repeated = cut(found.groupBy("__dq_id", "__dq_h").count().where("count > 1").select("__dq_id", "__dq_h"))
     n_pairs, n_repeated = pairs.count(), repeated.count()
-    names = docs.columns
-    rows = docs.withColumn("__dq_id", F.col(id_col)).withColumn("__dq_h", F.xxhash64(F.col(text_col)))
+    rows = with_row(docs, __dq_id=id_col, __dq_text=text_col).withColumn("__dq_h", F.xxhash64("__dq_text"))
     kept = rows.join(maybe_broadcast(pairs, n_pairs), ["__dq_id", "__dq_h"], "left_anti")
     if not n_repeated:
-        return kept.select(*names)
+        return rows_back(kept, docs.columns)
     once = kept.join(maybe_broadcast(repeated, n_repeated), ["__dq_id", "__dq_h"], "left_anti")
-    again = kept.join(maybe_broadcast(repeated, n_repeated), ["__dq_id", "__dq_h"], "left_semi").dropDuplicates([id_col, text_col])
-    return once.select(*names).unionByName(again.select(*names))
+    again = kept.join(maybe_broadcast(repeated, n_repeated), ["__dq_id", "__dq_h"], "left_semi").dropDuplicates(["__dq_id", "__dq_text"])
+    return rows_back(once.unionByName(again), docs.columns)

@@ -69,7 +69,7 @@ def shard_counts(shard: int, slots: int, weights: list[float], seed: int) -> np.
 def pack_blocks(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocab: str = DEFAULT_VOCAB, with_tokens: bool = True) -> DataFrame:
     """(source, part, local, doc_ids, starts, tokens): doc_ids of a block's documents, starts
     those that begin in it; tokens as little-endian 16-bit ids, or NULL if not wanted."""
-    rows = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    rows = fields(docs, __source=source_col, __id=id_col, __text=text_col).select(F.coalesce(F.col("__source").cast("string"), F.lit("")).alias("__source"), F.col("__id").cast("long"), F.col("__text").cast("string"))
     end = np.array([END_OF_TEXT], "<u2").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +197,6 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, temp
     # The planner takes what is made of a range for small; these sides grow with the corpus.
     per_row = uses.hint("merge").join(blocks.select("source", "block", "starts"), ["source", "block"]).select(F.explode("starts").alias("__dq_id"), "__uses")
     most = per_row.where("__dq_id IS NOT NULL").groupBy("__dq_id").agg(F.max("__uses").alias("__uses"))
-    rows = docs.withColumn("__dq_id", F.col(id_col).cast("long")).join(most.hint("merge"), "__dq_id", "left")
+    rows = with_row(docs, __dq_id=id_col).withColumn("__dq_id", F.col("__dq_id").cast("long")).join(most.hint("merge"), "__dq_id", "left")
     copies = F.expr("CASE WHEN __dq_id IS NULL THEN array(1) WHEN __uses IS NULL THEN array() ELSE sequence(1, __uses) END")
-    return rows.withColumn("__copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows_back(rows.withColumn("__copy", F.explode(copies)), docs.columns)

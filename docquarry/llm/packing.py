@@ -90,7 +90,7 @@ def piece_lengths(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_
             counts = [encode.count(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["__id", "__tokens"])
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    rows = fields(docs, __id=id_col, __text=text_col).withColumn("__text", F.col("__text").cast("string"))
     return rows.mapInArrow(count, f"__id {rows.schema[0].dataType.simpleString()}, __tokens long").where("__tokens > 0")
 
 

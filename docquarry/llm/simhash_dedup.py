@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sigs = np.array([s for _, s in found], np.uint64).reshape(-1, 4).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.ascontiguousarray(sigs[:, k])) for k in range(4))], names=["__id", "__h", "s0", "s1", "s2", "s3"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__h"), F.col(text_col).cast("string").alias("__text")).where("__id IS NOT NULL")
+    rows = fields(docs, __id=id_col, __text=text_col).select(F.col("__id").cast("long"), F.xxhash64("__text").alias("__h"), F.col("__text").cast("string")).where("__id IS NOT NULL")
     return rows.mapInArrow(sign, "__id long, __h long, s0 long, s1 long, s2 long, s3 long")
 
 
@@ -337,5 +337,5 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, verify: int = VERIFY, id_co
 def drop_near_duplicates(docs: DataFrame, tau: int = TAU, verify: int = VERIFY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without all but one of each group, all columns kept."""
     gone = cut(_grouped(docs, tau, verify, id_col, text_col).select(F.col("__id").alias("__dq_id"), F.col("__h").alias("__dq_h")).distinct())
-    rows = docs.withColumn("__dq_id", F.col(id_col).cast("long")).withColumn("__dq_h", F.xxhash64(F.col(text_col)))
-    return rows.join(maybe_broadcast(gone, gone.count()), ["__dq_id", "__dq_h"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = with_row(docs, __dq_id=id_col, __dq_text=text_col).select(F.col("__dq_id").cast("long"), F.xxhash64("__dq_text").alias("__dq_h"), "__row")
+    return rows_back(rows.join(maybe_broadcast(gone, gone.count()), ["__dq_id", "__dq_h"], "left_anti"), docs.columns)

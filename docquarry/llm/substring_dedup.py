@@ -132,7 +132,7 @@ def repeated_windows(right: np.ndarray, left: np.ndarray, docs: np.ndarray, min_
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__h"), F.col(text_col).cast("string").alias("__text")).where("__id IS NOT NULL AND __text IS NOT NULL")
+    return fields(docs, __id=id_col, __text=text_col).select(F.col("__id").cast("long"), F.xxhash64("__text").alias("__h"), F.col("__text").cast("string")).where("__id IS NOT NULL AND __text IS NOT NULL")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -391,7 +391,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if waiting:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(encode, SCHEMA)
+    return fields(docs, __id=id_col, __text=text_col).select(F.col("__id").cast("long"), F.col("__text").cast("string")).mapInArrow(encode, SCHEMA)
 
 
 def decode_corpus(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -128,6 +128,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 counts = counter.counts(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=[id_col, "n_tokens"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    rows = fields(docs, __id=id_col, __text=text_col).select("__id", F.col("__text").cast("string"))
     kind = rows.schema[0].dataType.simpleString()
     return rows.mapInArrow(count, f"`{id_col}` {kind}, n_tokens long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cut, written
+from ._util import cut, fields, maybe_broadcast, written
 
 K = 10
 BUCKET = 4096
@@ -121,17 +121,20 @@ def buckets(vectors: DataFrame, size: int = BUCKET, id_col: str = "vec_id", vect
 
     Bounds are quantiles of the length; a range with many equal lengths is split by id.
     """
-    e = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("__id"), e.alias("__e")).where("__id IS NOT NULL AND size(__e) > 0 AND NOT exists(__e, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))")
+    rows = fields(vectors, __id=id_col, __e=vector_col).select(F.col("__id").cast("long"), F.col("__e").cast("array<double>")).where("__id IS NOT NULL AND size(__e) > 0 AND NOT exists(__e, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))")
     rows = rows.withColumn("dim", F.size("__e")).withColumn("__norm", F.sqrt(F.aggregate("__e", F.lit(0.0), lambda s, x: s + x * x)))
     n = rows.count()
     cuts = sorted(set(rows.approxQuantile("__norm", [i / (-(-n // size)) for i in range(1, -(-n // size))], 0.001))) if n > size else []
-    span = F.array(*[F.lit(c) for c in cuts]) if cuts else None
+    bounds = vectors.sparkSession.sparkContext.broadcast(np.array(cuts))
+
+    def place(norms: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in norms:
+            yield pa.array((len(bounds.value) - np.searchsorted(bounds.value, batch.to_numpy(), side="right")).astype(np.int32))
+
     # At equal length the vectors are in one range; ranges are numbered from the longest.
-    place = F.lit(len(cuts)) - F.size(F.filter(span, lambda c: c <= F.col("__norm"))) if cuts else F.lit(0)
-    placed = rows.withColumn("__range", place)
-    counts = placed.groupBy("dim", "__range").agg(F.count("*").alias("__n"))
-    split = placed.join(F.broadcast(counts), ["dim", "__range"]).withColumn("__part", F.pmod(F.xxhash64("__id"), F.ceil(F.col("__n") / (1.5 * size))).cast("int"))
+    placed = rows.withColumn("__range", F.arrow_udf(place, "int")("__norm"))
+    counts = cut(placed.groupBy("dim", "__range").agg(F.count("*").alias("__n")))
+    split = placed.join(maybe_broadcast(counts, counts.count()), ["dim", "__range"]).withColumn("__part", F.pmod(F.xxhash64("__id"), F.ceil(F.col("__n") / (1.5 * size))).cast("int"))
 
     def pack(key, group):
         ids, norms = group.column("__id").to_numpy(), group.column("__norm").to_numpy()
@@ -148,7 +151,7 @@ def top_k_neighbours(vectors: DataFrame, k: int = K, size: int = BUCKET, id_col:
     """(id, neighbour_id, score, rank) of the k other rows with the greatest products."""
     packed = buckets(vectors, size, id_col, vector_col)
     first = packed.where("bucket = 0").select("dim", F.col("ids").alias("top_ids"), F.col("matrix").alias("top_matrix"))
-    meta = packed.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("bucket", "longest"))).alias("meta"))
+    first = maybe_broadcast(first, first.count(), MOST_TOPS)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,10 +167,11 @@ def top_k_neighbours(vectors: DataFrame, k: int = K, size: int = BUCKET, id_col:
                 theta = np.full(len(own[0]), np.inf)
                 np.minimum.at(theta, query, score)
                 theta[np.bincount(query, minlength=len(theta)) < k] = -np.inf
-                visits = [m["bucket"] for m in row["meta"] if m["bucket"] not in (0, row["bucket"]) and (own[2] * m["longest"] >= theta - _SLACK).any()]
-                yield pa.RecordBatch.from_arrays([pa.array([row["dim"]], pa.int32()), pa.array([row["bucket"]], pa.int32()), pa.array([theta.tobytes()]), pa.array([query.tolist()], pa.list_(pa.int32())), pa.array([found.tolist()], pa.list_(pa.int64())), pa.array([score.tolist()], pa.list_(pa.float64())), pa.array([visits], pa.list_(pa.int32()))], names=["dim", "bucket", "theta", "query", "found", "score", "visits"])
+                # Buckets whose longest vector isn't this long hold no answer for any query here.
+                need = np.divide(theta - _SLACK, own[2], out=np.where(theta <= _SLACK, -np.inf, np.inf), where=own[2] > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([row["dim"]], pa.int32()), pa.array([row["bucket"]], pa.int32()), pa.array([theta.tobytes()]), pa.array([query.tolist()], pa.list_(pa.int32())), pa.array([found.tolist()], pa.list_(pa.int64())), pa.array([score.tolist()], pa.list_(pa.float64())), pa.array([float(need.min())])], names=["dim", "bucket", "theta", "query", "found", "score", "least"])
 
-    begun = cut(packed.join(first, "dim").join(meta, "dim").select("dim", "bucket", "ids", "matrix", "top_ids", "top_matrix", "meta").repartition("dim", "bucket").mapInArrow(begin, "dim int, bucket int, theta binary, query array<int>, found array<long>, score array<double>, visits array<int>"))
+    begun = cut(packed.repartition("dim", "bucket").join(first, "dim").select("dim", "bucket", "ids", "matrix", "top_ids", "top_matrix").mapInArrow(begin, "dim int, bucket int, theta binary, query array<int>, found array<long>, score array<double>, least double"))
     early = begun.select("dim", "bucket", F.explode(F.arrays_zip("query", "found", "score")).alias("x")).select("dim", "bucket", "x.query", "x.found", "x.score")
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +180,8 @@ def top_k_neighbours(vectors: DataFrame, k: int = K, size: int = BUCKET, id_col:
                 query, found, score = _searched(_read(row["ids"], row["matrix"]), np.frombuffer(row["theta"], np.float64), _read(row["other_ids"], row["other_matrix"]), k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(query), row["dim"], np.int32)), pa.array(np.full(len(query), row["bucket"], np.int32)), pa.array(query.astype(np.int32)), pa.array(found), pa.array(score)], names=["dim", "bucket", "query", "found", "score"])
 
-    visits = begun.select("dim", "bucket", "theta", F.explode("visits").alias("visit"))
+    spans = packed.select("dim", F.col("bucket").alias("visit"), "longest")
+    visits = begun.select("dim", "bucket", "theta", "least").join(maybe_broadcast(spans, packed.count()), "dim").where("longest >= least AND visit <> 0 AND visit <> bucket").select("dim", "bucket", "theta", "visit")
     others = packed.select("dim", F.col("bucket").alias("visit"), F.col("ids").alias("other_ids"), F.col("matrix").alias("other_matrix"))
     pairs = visits.join(packed.select("dim", "bucket", "ids", "matrix"), ["dim", "bucket"]).join(others, ["dim", "visit"]).repartition("dim", "bucket", "visit")
     late = pairs.mapInArrow(go_on, "dim int, bucket int, query int, found long, score double")

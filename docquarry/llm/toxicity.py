@@ -11,7 +11,7 @@ Every document is scored, over its whole text.
 
 Defined cases: a NULL text scores as an empty one (the bias alone); labels that are NULL are
 left out; of several labels for a document the largest counts; without labels of both classes
-all weights are zero and nothing is rejected; repeated rows get the same score.
+all weights are zero, every score is 0.5 and nothing is rejected; repeated rows get the same score.
 """
 
 from __future__ import annotations
@@ -95,13 +95,13 @@ def fit(rows: list[tuple[str | None, int]], bits: int = BITS, epochs: int = 3, s
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(text, label) of at most max_rows documents of each class, by the hash of the id."""
-    marked = labels.select(F.col(id_col).alias("__dq_id"), F.col(label_col).cast("int").alias("__dq_label")).where("__dq_id IS NOT NULL AND __dq_label IS NOT NULL").groupBy("__dq_id").agg(F.max("__dq_label").alias("__dq_label"))
+    marked = fields(labels, __dq_id=id_col, __dq_label=label_col).withColumn("__dq_label", F.col("__dq_label").cast("int")).where("__dq_id IS NOT NULL AND __dq_label IS NOT NULL").groupBy("__dq_id").agg(F.max("__dq_label").alias("__dq_label"))
     picked = None
     for label in (0, 1):
         some = marked.where(F.col("__dq_label") == label).orderBy(F.xxhash64("__dq_id"), "__dq_id").limit(max_rows)
         picked = some if picked is None else picked.unionByName(some)
     # At most 2 * max_rows rows, so this side may always be broadcast.
-    texts = docs.select(F.col(id_col).alias("__dq_id"), F.col(text_col).cast("string").alias("__dq_text"))
+    texts = fields(docs, __dq_id=id_col, __dq_text=text_col).withColumn("__dq_text", F.col("__dq_text").cast("string"))
     return texts.join(F.broadcast(picked), "__dq_id")
 
 
@@ -120,8 +120,14 @@ def fit_sample(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: i
     return places["at"].to_numpy(np.int64), places["w"].to_numpy(), float(bias.iloc[0]) if len(bias) else 0.0
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, toxicity, toxic) of every document; with keep, its other columns too, and the score as __dq_toxicity."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, toxicity, toxic) of every document."""
+    rated = _rated(fields(docs, __id=id_col, __text=text_col), model, bits)
+    return rated.select(F.col("__id").alias(id_col), F.round("__score", 6).alias("toxicity"), (F.col("__score") > threshold).alias("toxic"))
+
+
+def _rated(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int) -> DataFrame:
+    """docs with the __score of __text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -139,10 +145,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
                 found[i] = bias + float(dense[hit].sum(dtype=np.float64))
             yield pa.array(1 / (1 + np.exp(-np.clip(found, -35, 35))), pa.float64())
 
-    rated = docs.withColumn("__dq_toxicity", F.arrow_udf(scores, "double")(F.col(text_col).cast("string")))
-    if keep:
-        return rated
-    return rated.select(F.col(id_col), F.round("__dq_toxicity", 6).alias("toxicity"), (F.col("__dq_toxicity") >= threshold).alias("toxic"))
+    return docs.withColumn("__score", F.arrow_udf(scores, "double")(F.col("__text").cast("string")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **names: str) -> DataFrame:
@@ -150,6 +153,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is under the threshold, all columns kept."""
-    rated = score(docs, fit_sample(docs, labels), threshold, keep=True)
-    return rated.where(F.col("__dq_toxicity") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose score isn't above the threshold, all columns kept."""
+    rated = _rated(with_row(docs, __text="text"), fit_sample(docs, labels), BITS)
+    return rows_back(rated.where(F.col("__score") <= threshold), docs.columns)
