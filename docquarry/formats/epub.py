@@ -12,7 +12,7 @@ from ..errors import Encrypted, Failed
 from . import images
 from .html import BLOCKS, DROPPED
 from .package import Element, Package, attribute, find_all, local
-from .record import Document, Image, Part, Table, Unit, joined
+from .record import Document, Image, Part, Table, Unit, joined, tidy
 
 _NAV_LINK = re.compile(r"""<a[^>]+href=["']([^"']+)["'][^>]*>([^<]+)</a>""", re.I)
 
@@ -77,7 +77,7 @@ class _Chapter(HTMLParser):
             self.out.append(data)
 
     def text(self) -> str:
-        text = re.sub(r" {2,}", " ", re.sub(r"\n{3,}", "\n\n", "".join(self.out)))
+        text = re.sub(r" {2,}", " ", tidy("".join(self.out), blanks=False))
         return "\n".join(line.strip() for line in text.split("\n")).strip()
 
 
@@ -133,7 +133,7 @@ def read(data: bytes, path: str | None = None) -> Iterator[Document]:
     # Entries that give no chapter are counted all the same.
     for number, item in enumerate(find_all(root, "itemref"), 1):
         href, kind = manifest.get(item.get("idref", ""), ("", ""))
-        if href not in book or not (kind.startswith(("application/xhtml", "text/html")) or href.endswith((".xhtml", ".html", ".htm"))):
+        if href not in book or not (re.match("application/xhtml|text/html", kind) or re.search(r"\.x?html?$", href)):
             continue
         chapter = _Chapter()
         chapter.feed(book.text(href))

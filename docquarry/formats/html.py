@@ -7,7 +7,7 @@ import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from .record import Document, Part, Table, Unit
+from .record import Document, Part, Table, Unit, tidy
 
 DROPPED = frozenset("script style noscript iframe object embed applet".split())
 VOID = frozenset("br hr img input meta link area base col embed param source track wbr".split())
@@ -185,7 +185,7 @@ def extract_markup(markup: str, file_type: str = "html") -> Document:
             parts.append(Part("link", text, node.attrs["href"]))
     renderer = _Renderer()
     text = renderer.render(next((n for n in nodes if n.tag == "body"), root))
-    text = re.sub(r"\n{3,}", "\n\n", text)
+    text = tidy(text, blanks=False)
     text = "\n".join(line.strip() for line in text.split("\n")).strip()
     return Document(file_type, text, [Unit(1, text)], [Table(rows, 1) for rows in renderer.tables], parts=parts, metadata=page_metadata(nodes))
 

@@ -6,7 +6,7 @@ import struct
 
 _MAGIC = ((b"\x89PNG\r\n\x1a\n", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"BM", "image/bmp"), (b"II*\0", "image/tiff"), (b"MM\0*", "image/tiff"))
 
-BY_SUFFIX = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "emf": "image/x-emf", "wmf": "image/x-wmf", "svg": "image/svg+xml", "webp": "image/webp"}
+BY_SUFFIX = {suffix: f"image/{kind}" for kind, names in (("png", "png"), ("jpeg", "jpg jpeg"), ("gif", "gif"), ("bmp", "bmp"), ("tiff", "tif tiff"), ("x-emf", "emf"), ("x-wmf", "wmf"), ("svg+xml", "svg"), ("webp", "webp")) for suffix in names.split()}
 
 
 def content_type(data: bytes, name: str = "") -> str:

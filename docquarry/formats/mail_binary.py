@@ -15,7 +15,7 @@ from .mail import header_text
 from .ole import CompoundFile
 from .record import Address, Attachment, Document, Email, Unit
 
-_TAGS = re.compile(r"<(?:html|head|body|p|div|br|span|table|tr|td|style|script)[\s>]", re.I)
+_TAGS = re.compile(rf"<(?:{'|'.join('table tr td p br div span style script body head html'.split())})[\s>]", re.I)
 _TO, _CC, _BCC = 1, 2, 3
 
 
@@ -98,7 +98,7 @@ def read(data: bytes, path: str | None = None) -> Iterator[Document]:
     body = root.text("1000") or (html.decode(markup) if markup else root.text("1013"))
     if looks_like_html(body):
         mail.body_html = body
-        body = html.extract_markup(body).full_text.replace("\u200b", "").replace("\ufeff", "")
+        body = html.extract_markup(body).full_text.translate({0x200B: None, 0xFEFF: None})
     mail.body_plain = body.strip()
     for number, storage in enumerate(sorted(s for s in ole.storages() if s.startswith("__attach_version1.0_") and "/" not in s), 1):
         one = _Properties(ole, storage)

@@ -17,6 +17,8 @@ _GLYPHS |= {c: c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _GLYPHS |= dict(bullet="•", endash="–", emdash="—", quoteleft="‘", quoteright="’", quotedblleft="“", quotedblright="”", ellipsis="…", Euro="€", fi="fi", fl="fl", ff="ff", ffi="ffi", ffl="ffl", minus="−", degree="°", section="§", paragraph="¶", copyright="©", registered="®", trademark="™", germandbls="ß", nbspace="\xa0", periodcentered="·", dagger="†", daggerdbl="‡", guillemotleft="«", guillemotright="»", sterling="£", yen="¥", cent="¢", ae="æ", AE="Æ", oslash="ø", Oslash="Ø", dotlessi="ı", lslash="ł", Lslash="Ł")
 _ACCENTS = dict(grave="̀", acute="́", circumflex="̂", tilde="̃", dieresis="̈", ring="̊", cedilla="̧", caron="̌")
 
+_HYPHENS = frozenset("-–—")
+
 Matrix = tuple[float, float, float, float, float, float]
 
 
@@ -324,7 +326,7 @@ def spaced_lines(pieces: list[Piece], text: str) -> list[str]:
         out = ""
         last = None
         for p in sorted(line, key=lambda p: p.x):
-            if last is not None and p.x - last > max(1.0, usual * 0.4) and not out.endswith(("-", "–", "—")) and not p.text.startswith(("-", "–", "—")):
+            if last is not None and p.x - last > max(1.0, usual * 0.4) and out[-1:] not in _HYPHENS and p.text[:1] not in _HYPHENS:
                 out += " "
             out += p.text
             last = p.x

@@ -14,11 +14,12 @@ Rows = list[list[str]]
 MOST_BLANK = 2
 LEAST_VALUES = 2
 
-_DATE = re.compile(r"\d{2}/\d{2}/\d{4}")
+_DATE = re.compile(r"\d\d/\d\d/\d{4}")
 _MONTHS = frozenset(m.lower() for m in (*calendar.month_name, *calendar.month_abbr) if m)
 _MONTH_NAMES = re.compile(r"\b(?:" + "|".join(m for m in calendar.month_name if m) + r")\b", re.I)
 _BLOB = re.compile(r"[\d.,]+$")
-_TWO_NUMBERS = re.compile(r"(\d[\d,]*\.\d)(\d[\d,]*\.\d+)")
+_WHOLE = r"\d[\d,]*\."
+_TWO_NUMBERS = re.compile(rf"({_WHOLE}\d)({_WHOLE}\d+)")
 
 
 def _dashes(text: str) -> str:
@@ -76,7 +77,7 @@ def token_runs(lines: list[str]) -> Rows:
 
 class _Machine:
     def __init__(self, lines: list[str]):
-        self.lines = [line.strip() for line in lines]
+        self.lines = list(map(str.strip, lines))
         self.known = Counter(w.lower() for line in self.lines for w in re.findall("[A-Za-z]+", line))
         self.done: list[Rows] = []
         self.rows: Rows = []
@@ -141,8 +142,7 @@ class _Machine:
         return [r for r in rows if any(r)], block[-1] + 1
 
     def numbers(self, line: str) -> tuple[str, list[str]]:
-        tokens = line.split()
-        k = len(tokens)
+        k = len(tokens := line.split())
         while k and is_numeric_token(tokens[k - 1]):
             k -= 1
         label = " ".join(t[:-1] if t[-1].isdigit() and t[:-1].isalpha() else t for t in tokens[:k])
@@ -214,7 +214,7 @@ class _Machine:
         label, values = self.numbers(line)
         if values:
             self.label = ""
-            if _MONTH_NAMES.search(line) and values[-1].isdigit() and len(values[-1]) == 4:
+            if re.fullmatch(r"\d{4}", values[-1]) and _MONTH_NAMES.search(line):
                 values = []
         if not values and self.rows and self.ends(line):
             self.close()

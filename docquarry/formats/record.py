@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -99,6 +100,15 @@ class Document:
         return asdict(self)
 
 
+_BLANK_LINES = re.compile("\n\n\n+")
+_BLANKS = re.compile("[ \t]+")
+
+
+def tidy(text: str, blanks: bool = True) -> str:
+    """Runs of blank lines as one; with blanks, runs of blanks and tabs as one blank too."""
+    return _BLANK_LINES.sub("\n\n", _BLANKS.sub(" ", text) if blanks else text)
+
+
 def joined(texts: list[str]) -> str:
     return "\n".join(texts).strip()
 

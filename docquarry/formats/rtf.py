@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterator
 
 from . import images
-from .record import Document, Image, Part, Table, Unit, joined
+from .record import Document, Image, Part, Table, Unit, joined, tidy
 
 _SKIPPED = (
     "fonttbl colortbl stylesheet info pict object datafield fldinst ftnsep aftnsep header footer "
@@ -28,6 +28,7 @@ _WORD = re.compile(r"\\[a-zA-Z]+(?:-?\d+)?\s?")
 _BODY_WORD = re.compile(r"([^\W\d_]+)[\d-]*")
 _SKIP = re.compile(rf"\\(?:\*|{'|'.join(_SKIPPED)})")
 _IGNORED = re.compile(r"\{\\(?:pict|object|\*)", re.I)
+_NO_BRACES = dict.fromkeys(map(ord, "{}"))
 _QUOTED_LINK = re.compile(r'HYPERLINK\s+"([^"]+)"', re.I)
 
 
@@ -63,10 +64,6 @@ def _without(text: str, opening: re.Pattern, shallow: int | None = None) -> str:
     return "".join(out)
 
 
-def _tidy(text: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text))
-
-
 def plain(text: str) -> str:
     """A piece of markup as text."""
     text = _without(text, _IGNORED)
@@ -74,7 +71,7 @@ def plain(text: str) -> str:
     text = _BYTE.sub(lambda m: chr(int(m[1], 16)), text)
     text = _SYMBOL.sub(lambda m: _SYMBOLS.get(m[1]) or _MARKS[m[1]], text)
     text = _WORD.sub("", text)
-    return _tidy(text.replace("{", "").replace("}", "")).strip()
+    return tidy(text.translate(_NO_BRACES)).strip()
 
 
 class Body:
@@ -92,7 +89,7 @@ class Body:
         self._page.append(piece)
 
     def _turn(self) -> None:
-        page = _tidy("".join(self._page).strip())
+        page = tidy("".join(self._page).strip())
         if page:
             self.pages.append(page)
         self._page = []
@@ -212,7 +209,7 @@ def _cells(row: str) -> list[str]:
     for piece in re.split(r"\\cell\b", row)[:-1]:
         cell = re.sub("[0-9a-fA-F]{64,}", "", plain(piece))
         cell = re.sub(r" *\n *", "\n", re.sub(r"[ \t\f\v]+", " ", cell))
-        out.append(re.sub(r"\n{3,}", "\n\n", cell).strip())
+        out.append(tidy(cell, blanks=False).strip())
     return out
 
 
@@ -294,13 +291,17 @@ def _tables_of_the_header(text: str) -> Iterator[Part]:
                 yield Part("style", name, number[2] if number else "0", {"type": kind, **{k: str(v) for k, w in (("based_on", "sbasedon"), ("next", "snext")) if (v := _number(style, w)) is not None}})
 
 
-def read(data: bytes, path: str | None = None) -> Iterator[Document]:
-    for encoding in ("utf-8", "cp1252", "latin-1"):
+def _decoded(data: bytes) -> str:
+    for name in ("utf-8", "cp1252"):
         try:
-            text = data.decode(encoding)
-            break
+            return data.decode(name)
         except UnicodeDecodeError:
-            continue
+            pass
+    return data.decode("latin-1")
+
+
+def read(data: bytes, path: str | None = None) -> Iterator[Document]:
+    text = _decoded(data)
     doc = Document("rtf")
     if not text.startswith("{\\rtf"):
         doc.full_text = text

@@ -39,11 +39,8 @@ def serial_date(serial: float, from_1904: bool = False) -> str:
 
 
 def display(value: Any) -> str:
-    if value is None:
-        return ""
-    if isinstance(value, float) and value == int(value):
-        return str(int(value))
-    return str(value)
+    whole = isinstance(value, float) and value.is_integer()
+    return "" if value is None else str(int(value) if whole else value)
 
 
 def blank(value: Any) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from ..errors import Encrypted, LegacyParsing
 from .blips import pictures, records
@@ -17,17 +17,17 @@ _SLIDE, _NOTES, _MASTER = 0x03EE, 0x03F0, 0x03F8
 _TITLES, _BODIES, _NOTE = (0, 6), (1, 5, 7, 8), 2
 
 _CONTROLS = {c: None for c in range(32) if c not in (9, 10)} | {13: "\n", 11: "\n", 12: "\n"}
-_META = ("title", "subject", "author", "keywords", "comments", "last_saved_by", "revision_number", "category", "company", "manager", "creating_application")
+_META = "title subject author keywords comments last_saved_by revision_number category company manager creating_application".split()
 
 Block = tuple[str, int | None]
 
 
 @dataclass
 class Slide:
+    body: list[str]
+    other: list[str]
+    notes: list[str]
     title: str | None = None
-    body: list[str] = field(default_factory=list)
-    other: list[str] = field(default_factory=list)
-    notes: list[str] = field(default_factory=list)
 
     @property
     def text(self) -> str:
@@ -96,7 +96,7 @@ def _contained(data: bytes) -> dict[int, list[list[Block]]]:
 
 
 def _slide(blocks: list[Block]) -> Slide:
-    slide = Slide()
+    slide = Slide([], [], [])
     for text, style in blocks:
         if style in _TITLES and not slide.title:
             slide.title = text
@@ -123,13 +123,13 @@ def read(data: bytes, path: str | None = None) -> Iterator[Document]:
     if not any(s.title or s.body or s.other or s.notes for s in slides):
         raw = [t for kind, _, _, content, _, _ in records(stream) if kind in (_CHARS, _BYTES, _STRING) and (t := _text(kind, content))]
         if raw:
-            slides.append(Slide(other=raw))
+            slides.append(Slide([], raw, []))
     found = ole.properties()
     doc = Document("ppt", metadata={k: shown(found.get(k)) for k in _META})
     doc.metadata |= {"created": shown(found.get("create_time")), "modified": shown(found.get("last_saved_time")), **{f"num_{k}": str(found.get(k) or 0) for k in ("slides", "notes", "hidden_slides")}}
     doc.images = pictures((kind, instance, content) for kind, instance, _, content, _, _ in records(ole.stream("Pictures") or b""))
     if doc.images and not slides:
-        slides.append(Slide())
+        slides.append(Slide([], [], []))
     for i, image in enumerate(doc.images):
         image.unit_number = i % len(slides) + 1
     doc.units = [Unit(i, s.text, name=s.title) for i, s in enumerate(slides, 1)]

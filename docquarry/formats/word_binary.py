@@ -11,7 +11,7 @@ from itertools import groupby
 from ..errors import Encrypted, LegacyParsing
 from . import images
 from .ole import CompoundFile, shown
-from .record import Document, Image, Part, Table, Unit, joined
+from .record import Document, Image, Part, Table, Unit, joined, tidy
 
 _CLEAN = str.maketrans({"\a": "\t", "\v": "\n", "\f": "\n\n", "\r": "\n", "\x14": " ", "\xa0": " ", "\x7f": None, **{chr(c): None for c in (*range(7), 8, *range(14, 20), *range(21, 32))}})
 _SEQUENCE = re.compile(r'\bSEQ\b\s+"?[^"\\]+"?\s+(?:\\\*\w+\s+)?', re.I)
@@ -19,7 +19,7 @@ _WESTERN = frozenset(b"\xe4\xf6\xfc\xc4\xd6\xdc\xdf")
 
 
 def clean(text: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text.translate(_CLEAN))).strip()
+    return tidy(text.translate(_CLEAN)).strip()
 
 
 def text_start(stream: bytes) -> tuple[int, str]:
@@ -42,7 +42,7 @@ def line_tables(text: str) -> list[list[list[str]]]:
         half = len(tokens) // 2
         if half < 2 or len(tokens) % 2:
             continue
-        if all(re.fullmatch("[A-Za-z]+", t) for t in tokens[:half]) and all(re.fullmatch(r"\d+(?:[.,]\d+)?", t) for t in tokens[half:]):
+        if re.fullmatch("(?:[A-Za-z]+ )+", " ".join(tokens[:half]) + " ") and re.fullmatch(r"(?:\d+([.,]\d+)? )+", " ".join(tokens[half:]) + " "):
             found.append([tokens[:half], tokens[half:]])
     return found
 

@@ -18,12 +18,13 @@ def to_json(value: Any, binary: bool = True) -> Any:
     """What json.dumps takes; without binary, bytes are null."""
     if dataclasses.is_dataclass(value) and not isinstance(value, type):
         return {TYPE: type(value).__name__} | {f.name: to_json(getattr(value, f.name), binary) for f in dataclasses.fields(value)}
-    if isinstance(value, (bytes, bytearray)):
-        return {"_bytes": base64.b64encode(value).decode()} if binary else None
-    if isinstance(value, dict):
-        return {str(k): to_json(v, binary) for k, v in value.items()}
-    if isinstance(value, (list, tuple, set)):
-        return [to_json(v, binary) for v in value]
+    match value:
+        case bytes() | bytearray():
+            return {"_bytes": base64.b64encode(value).decode()} if binary else None
+        case dict():
+            return {str(k): to_json(v, binary) for k, v in value.items()}
+        case list() | tuple() | set():
+            return [to_json(v, binary) for v in value]
     return value
 
 

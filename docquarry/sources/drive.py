@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import fnmatch
 import json
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -55,22 +56,12 @@ class AppCredentials:
     scope: str = "https://graph.microsoft.com/.default"
 
 
-@dataclass(frozen=True)
-class DriveFile:
-    name: str
-    id: str
-    web_url: str = ""
-    download_url: str | None = None
-    size: int | None = None
-    mime_type: str | None = None
-    last_modified: str | None = None
-    created: str | None = None
-    parent_path: str | None = None
-    custom_fields: dict[str, Any] | None = None
+class DriveFile(namedtuple("DriveFile", [f.split()[0] for f in SCHEMA.split(", ")], defaults=["", *[None] * 7])):
+    """A row of the listing; times are texts as the drive gives them."""
 
     @property
     def full_path(self) -> str:
-        return f"{self.parent_path}/{self.name}" if self.parent_path else self.name
+        return "/".join(filter(None, (self.parent_path, self.name)))
 
 
 def parse_iso(text: str | None) -> datetime | None:
@@ -82,20 +73,21 @@ def parse_iso(text: str | None) -> datetime | None:
     return when if when.tzinfo else when.replace(tzinfo=timezone.utc)
 
 
+Bounds = tuple["datetime | None", "datetime | None"]
+
+
 @dataclass(frozen=True)
 class DriveFilter:
     """Half-open bounds of times; the suffixes and shell patterns of which one must fit."""
 
-    created_after: datetime | None = None
-    created_before: datetime | None = None
-    modified_after: datetime | None = None
-    modified_before: datetime | None = None
+    created: Bounds = (None, None)
+    modified: Bounds = (None, None)
     folder_paths: tuple[str, ...] = ()
     path_patterns: tuple[str, ...] = ()
     extensions: tuple[str, ...] = ()
 
     def matches(self, file: DriveFile) -> bool:
-        for text, low, high in ((file.created, self.created_after, self.created_before), (file.last_modified, self.modified_after, self.modified_before)):
+        for text, (low, high) in ((file.created, self.created), (file.last_modified, self.modified)):
             if low or high:
                 when = parse_iso(text)
                 if when is None or low and when < low or high and when >= high:
@@ -214,10 +206,10 @@ class DriveClient:
             yield from filter(test.matches, self.walk(start, path, drive_id))
 
     def files_modified_since(self, since: datetime, **more: Any) -> Iterator[DriveFile]:
-        return self.files(DriveFilter(modified_after=since, **more))
+        return self.files(DriveFilter(modified=(since, None), **more))
 
     def files_created_since(self, since: datetime, **more: Any) -> Iterator[DriveFile]:
-        return self.files(DriveFilter(created_after=since, **more))
+        return self.files(DriveFilter(created=(since, None), **more))
 
     def files_in_folder(self, path: str = "/", drive_id: str | None = None) -> list[DriveFile]:
         inner = path.strip("/")
@@ -249,7 +241,8 @@ def _client(options: dict[str, str]) -> DriveClient:
 
 def _filter(options: dict[str, str]) -> DriveFilter:
     listed = lambda key: tuple(x for x in options.get(key, "").split(";") if x)
-    return DriveFilter(*(parse_iso(options.get(k)) for k in ("created_after", "created_before", "modified_after", "modified_before")), listed("folder_paths"), listed("path_patterns"), listed("extensions"))
+    bounds = lambda what: (parse_iso(options.get(f"{what}_after")), parse_iso(options.get(f"{what}_before")))
+    return DriveFilter(bounds("created"), bounds("modified"), listed("folder_paths"), listed("path_patterns"), listed("extensions"))
 
 
 def _data_source():
@@ -312,8 +305,9 @@ def _data_source():
 
 def register(spark) -> None:
     """Make spark.read.format("drive") and spark.readStream.format("drive") known. Options:
-    site_url, tenant_id, client_id, client_secret, drive_id, the fields of DriveFilter (lists
-    parted by ";"), and sender: the dotted name of a function to send requests with."""
+    site_url, tenant_id, client_id, client_secret, drive_id, created_after, created_before,
+    modified_after, modified_before, folder_paths, path_patterns, extensions (lists parted by
+    ";"), and sender: the dotted name of a function to send requests with."""
     spark.dataSource.register(_data_source())
 
 
