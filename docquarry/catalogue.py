@@ -411,6 +411,76 @@ def display_value(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") == F.floor("c_acctbal"), shown).otherwise("fraction").alias("shown"))
 
 
+@query("""
+    SELECT conv_id, turn, CASE WHEN contains(u, 'PAGE') THEN 'page' WHEN contains(u, 'DATE') THEN 'date' WHEN contains(u, 'TIME') THEN 'time' WHEN contains(u, 'STYLEREF') THEN 'styleref' WHEN contains(u, 'TOC') THEN 'toc' ELSE 'unknown' END AS kind
+    FROM (SELECT conv_id, turn, upper(text) AS u FROM conversations) WHERE NOT contains(u, 'HYPERLINK')
+""")
+def field_kind(spark, sf_dir):
+    """Instructions of fields by the first word they hold; links aren't fields."""
+    return _t(spark, sf_dir, "conversations").where(~F.upper("text").contains("HYPERLINK")).select("conv_id", "turn", scalars.field_kind(F.col("text")).alias("kind"))
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS n FROM {_LINES})
+    SELECT doc_id, CAST(sum(CASE WHEN n >= 2 THEN 2 WHEN n = 1 THEN -1 ELSE 0 END) - 2 AS BIGINT) AS score FROM t GROUP BY doc_id
+""")
+def table_score(spark, sf_dir):
+    lines = R.lines_of(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    filled = F.size(F.filter(F.split("line", r"\s+"), lambda t: t != ""))
+    return R.table_scores(lines.select("doc_id", filled.alias("filled")), ["doc_id"], "filled")
+
+
+@query("""
+    WITH s AS (SELECT user_id, sum(CASE WHEN event_type = 'view' THEN 2 ELSE -1 END) AS raw, sum(CASE WHEN event_type = 'click' THEN 2 ELSE -1 END) AS spatial FROM events GROUP BY user_id)
+    SELECT user_id, CASE WHEN spatial > raw THEN 'spatial' ELSE 'raw' END AS chosen, CAST(greatest(raw, spatial) AS BIGINT) AS score FROM s
+""")
+def better_of_two(spark, sf_dir):
+    """The second candidate only where its score is strictly greater."""
+    points = lambda kind: F.sum(F.when(F.col("event_type") == kind, 2).otherwise(-1))
+    scored = _t(spark, sf_dir, "events").groupBy("user_id").agg(points("view").alias("raw"), points("click").alias("spatial"))
+    return scored.select("user_id", F.when(F.col("spatial") > F.col("raw"), "spatial").otherwise("raw").alias("chosen"), F.greatest("raw", "spatial").alias("score"))
+
+
+@query("""
+    WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY user_id, event_type)
+    SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS kinds FROM f GROUP BY user_id
+""")
+def ordered_distinct(spark, sf_dir):
+    return R.distinct_in_order(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", F.array_join("values", ",").alias("kinds"))
+
+
+@query(f"""
+    SELECT doc_id, max(line_no) FILTER (line <> '') AS last_row, CAST(max(len(regexp_split_to_array(line, ' '))) FILTER (line <> '') AS INTEGER) AS columns FROM {_LINES} GROUP BY doc_id
+""")
+def data_box(spark, sf_dir):
+    """The last row that isn't empty, and the widest row: where a sheet's data ends."""
+    lines = R.lines_of(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    there = F.col("line") != ""
+    return lines.groupBy("doc_id").agg(F.max(F.when(there, F.col("line_no"))).alias("last_row"), F.max(F.when(there, F.size(F.split("line", " ")))).alias("columns"))
+
+
+@query("SELECT p_partkey, round(p_size * 100 / 1440.0, 4) AS inches, CAST(p_size * 1000 // 9525 AS INTEGER) AS px FROM part")
+def paper_units(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(scalars.twips_to_inches(F.col("p_size") * 100), 4).alias("inches"), scalars.emu_to_px(F.col("p_size") * 1000).alias("px"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN contains(lower(o_orderpriority), 'first') OR contains(o_orderpriority, '1-') THEN 'first' WHEN contains(o_orderpriority, '2-') THEN 'even' ELSE 'default' END AS kind FROM orders
+""")
+def header_kind(spark, sf_dir):
+    name = F.col("o_orderpriority")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.lower(name).contains("first") | name.contains("1-"), "first").when(name.contains("2-"), "even").otherwise("default").alias("kind"))
+
+
+@query("""
+    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, len(json_keys(props)) - CASE WHEN list_contains(json_keys(props), 'id') THEN 1 ELSE 0 END AS n_custom FROM events
+""")
+def custom_fields(spark, sf_dir):
+    """Columns of a listing that its users made: what isn't built in."""
+    fields = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: ~k.isin("id", "Title") & ~k.startswith("@odata"))
+    return _t(spark, sf_dir, "events").select("event_id", fields["k"].cast("long").alias("k"), F.size(fields).cast("long").alias("n_custom"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

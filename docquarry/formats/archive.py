@@ -1,5 +1,5 @@
-"""Archives: the documents of their members. Hidden members, archives within archives and
-members of unknown type are left out; a member that fails is left out too."""
+"""Archives: the documents of their members. Hidden members, archives within archives, members
+of unknown type and those over MEMBER_MOST bytes are left out; a member that fails is too."""
 
 from __future__ import annotations
 
@@ -14,9 +14,9 @@ from ..routing import file_type
 from .record import Document
 from .sevenzip import SIGNATURE, SevenZip
 
-MEMBER_MOST = 100 << 20
+MEMBER_MOST = 10 << 20
 SEVENZIP_MOST = 100 << 20
-_NESTED = (".zip", ".tar", ".tgz", ".tar.gz", ".tbz2", ".tar.bz2", ".txz", ".tar.xz", ".7z", ".rar", ".gz", ".bz2", ".xz")
+_NESTED = (".zip", ".tar", ".tgz", ".tar.gz", ".tbz2", ".tar.bz2", ".txz", ".tar.xz", ".7z")
 _MAGIC = ((b"PK\3\4", "zip"), (b"PK\5\6", "zip"), (SIGNATURE, "7z"), (b"\x1f\x8b", "tar"), (b"BZh", "tar"), (b"\xfd7zXZ\0", "tar"))
 
 

@@ -6,7 +6,7 @@ import importlib
 import os
 from collections.abc import Callable, Iterator
 
-from ..errors import ExtractionError, Failed, TooLarge, UnsupportedFormat
+from ..errors import Encrypted, ExtractionError, Failed, TooLarge, UnsupportedFormat
 from ..routing import READERS, file_type
 from .record import Document
 
@@ -65,14 +65,17 @@ def read_file(path: str | os.PathLike, max_file_size: int = MAX_FILE_SIZE) -> It
 
 
 def attachments(doc: Document) -> Iterator[Document]:
-    """Documents in the attachments of a message whose type is known; those that fail are left out."""
+    """Documents in the attachments of a message whose type is known, by the name and then by the
+    MIME type; encrypted ones are an error, others that fail are left out."""
     from ..routing import MIME_TYPES
 
     for one in doc.email.attachments if doc.email else ():
-        kind = MIME_TYPES.get(one.mime_type) or file_type(one.filename)
+        kind = file_type(one.filename) or MIME_TYPES.get(one.mime_type)
         if kind is None:
             continue
         try:
             yield from read_as(kind, one.data, one.filename)
+        except Encrypted:
+            raise
         except ExtractionError:
             continue

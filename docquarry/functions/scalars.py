@@ -104,3 +104,12 @@ def clean_lines(text: Column) -> Column:
     lines = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), strip)
     kept = F.filter(lines, lambda x: ~(x.startswith("___PPT") | x.startswith("Click to edit") | (x == "*") | x.rlike("^(Second|Third|Fourth|Fifth|Sixth|Seventh|Eighth|Ninth) (level|Outline Level)$")))
     return strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
+
+
+def field_kind(instruction: Column) -> Column:
+    """What a field shows, by the first of these words in its instruction."""
+    upper = F.upper(instruction)
+    out = F.lit("unknown")
+    for kind in ("toc", "styleref", "time", "date", "page"):
+        out = F.when(upper.contains(kind.upper()), kind).otherwise(out)
+    return out

@@ -159,3 +159,18 @@ def nested_paths(nodes: DataFrame, node_id: str, parent_id: str, name: str, dept
         level = nodes.select(F.col(node_id).alias("__n"), F.col(parent_id).alias("node"), F.col(name).alias("__name")).join(level, "node").select(F.col("__n").alias("node"), F.concat_ws("/", "path", "__name").alias("path"), F.lit(d).alias("depth"))
         found = found.unionAll(level)
     return found
+
+
+def table_scores(rows: DataFrame, keys: list[str], filled: str) -> DataFrame:
+    """Score of the tables of a group: 2 for a row with two cells filled, -1 for one with one,
+    and -2 for being a table."""
+    points = F.when(F.col(filled) >= 2, 2).when(F.col(filled) == 1, -1).otherwise(0)
+    return rows.groupBy(*keys).agg((F.sum(points) - 2).alias("score"))
+
+
+def distinct_in_order(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, values): different values by their first place. Values are folded to their first
+    places before they are sorted, so a group's array has one entry a value."""
+    firsts = rows.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("__first"))
+    ordered = F.array_sort(F.collect_list(F.struct("__first", value)))
+    return firsts.groupBy(*keys).agg(F.transform(ordered, lambda r: r[value]).alias("values"))
