@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import cut, fields, maybe_broadcast, mix64, rows_back, slices, with_row, written
+from ._util import BROADCAST_ROWS, cut, fields, maybe_broadcast, mix64, parallelism, rows_back, slices, with_row, written
 from .tokens import DEFAULT_VOCAB, END_OF_TEXT, bpe
 
 BLOCK = 2048
@@ -176,14 +176,17 @@ def draw_slots(spark: SparkSession, sizes: dict[str, int], weights: dict[str, fl
                 slots = permute(np.arange(place, place + n), shard_slots if shard < shards - 1 else last, source_key("", shard, seed))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int64)), pa.array(slots.astype(np.int32)), pa.array([names[k]] * n, pa.string()), pa.array(found), pa.array(epochs)], names=["shard", "slot", "source", "block", "epoch"])
 
-    return placed.select("shard", "k", "n", "first", "place").mapInArrow(fill, schema)
+    return placed.select("shard", "k", "n", "first", "place").repartition(parallelism(spark), "shard").mapInArrow(fill, schema)
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, min_epochs: float | None = None, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, vocab: str = DEFAULT_VOCAB, **names: str) -> DataFrame:
     """(shard, slot, source, block, epoch, doc_ids, tokens) of the mixed blocks."""
     blocks, sizes = _numbered(written(pack_blocks(docs, block, vocab=vocab, **names)))
-    slots = draw_slots(docs.sparkSession, sizes, weights or target_weights(sizes, temperature), min_epochs, shard_slots, seed)
-    return slots.join(blocks.select("source", "block", "doc_ids", "tokens"), ["source", "block"]).select("shard", "slot", "source", "block", "epoch", "doc_ids", "tokens")
+    weights = weights or target_weights(sizes, temperature)
+    slots = draw_slots(docs.sparkSession, sizes, weights, min_epochs, shard_slots, seed)
+    # Slots grow with the corpus, though the planner takes what is made of a range for small.
+    few = slot_total(sizes, weights, min_epochs) <= BROADCAST_ROWS
+    return (F.broadcast(slots) if few else slots.hint("merge")).join(blocks.select("source", "block", "doc_ids", "tokens"), ["source", "block"]).select("shard", "slot", "source", "block", "epoch", "doc_ids", "tokens")
 
 
 def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, min_epochs: float | None = 1.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, vocab: str = DEFAULT_VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -30,7 +30,9 @@ def test_blocks_hold_all_tokens(make, rng):
     assert sorted(i for r in found for i in r.starts) == sorted(i for i, *_ in rows)
 
 
-def test_mix_follows_the_weights_and_the_permutation(make, rng):
+@pytest.mark.parametrize("broadcast_rows", [M.BROADCAST_ROWS, 0])
+def test_mix_follows_the_weights_and_the_permutation(make, rng, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(M, "BROADCAST_ROWS", broadcast_rows)
     _, docs = docs_of(rng, make)
     weights = {"s0": 0.5, "s1": 0.3, "s2": 0.2}
     found = M.mix_sources(docs, weights, block=16, shard_slots=20, min_epochs=3.0).collect()
