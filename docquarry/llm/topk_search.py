@@ -60,8 +60,10 @@ def coordinate_mask(unit: np.ndarray, others: np.ndarray, threshold: float, focu
     return mask
 
 
-def search_bucket(queries: np.ndarray, query_norms: np.ndarray, theta: np.ndarray, vectors: np.ndarray, norms: np.ndarray, coordinate_from: float = COORDINATE_FROM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, vector, product) of all products of at least theta; norms descending."""
+def search_bucket(queries: np.ndarray, query_norms: np.ndarray, theta: np.ndarray, vectors: np.ndarray, norms: np.ndarray, coordinate_from: float = COORDINATE_FROM, apart: tuple[np.ndarray, np.ndarray, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, vector, product) of all products of at least theta; norms descending. With apart,
+    the ids of both sides and k, pairs of one id are left out, and of 256 queries at a time no
+    more is given than what the k-th product in this bucket lets through."""
     longest = float(norms[0])
     reach = query_norms * longest
     alive = np.flatnonzero(reach >= theta - _SLACK)
@@ -85,7 +87,13 @@ def search_bucket(queries: np.ndarray, query_norms: np.ndarray, theta: np.ndarra
         some = rest[order[i : i + 256]]
         n = int(lengths[order[i : i + 256]].max())
         scores = queries[some] @ vectors[:n].T
-        q, x = np.nonzero(scores >= (theta[some] - _SLACK)[:, None])
+        least = theta[some]
+        if apart:
+            ids, other_ids, k = apart
+            scores[ids[some][:, None] == other_ids[:n]] = -np.inf
+            if n > k:
+                least = np.maximum(least, np.partition(scores, n - k, axis=1)[:, n - k])
+        q, x = np.nonzero(scores >= np.maximum(least - _SLACK, np.finfo(np.float64).min)[:, None])
         yield some[q], x, scores[q, x]
 
 
@@ -102,12 +110,14 @@ def _searched(own: tuple, theta: np.ndarray, other: tuple, k: int) -> tuple[np.n
     """(query place, neighbour id, rounded score) of the k best in a bucket that reach theta."""
     ids, vectors, norms = own
     other_ids, other_vectors, other_norms = other
-    got = list(search_bucket(vectors, norms, theta, other_vectors, other_norms))
-    query, place, score = (np.concatenate([g[i] for g in got]) if got else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
-    apart = ids[query] != other_ids[place]
-    query, found, score = query[apart], other_ids[place[apart]], np.round(score[apart], 6) + 0.0
-    kept = best(query, found, score, k)
-    return query[kept], found[kept], score[kept]
+    got = []
+    for query, place, score in search_bucket(vectors, norms, theta, other_vectors, other_norms, apart=(ids, other_ids, k)):
+        apart = ids[query] != other_ids[place]
+        query, found, score = query[apart], other_ids[place[apart]], np.round(score[apart], 6) + 0.0
+        # All products of a query come at once, so what isn't among its k best can go at once.
+        kept = best(query, found, score, k)
+        got.append((query[kept], found[kept], score[kept]))
+    return tuple(np.concatenate([g[i] for g in got]) if got else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
 
 
 def _read(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
