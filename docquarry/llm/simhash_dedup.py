@@ -219,8 +219,9 @@ def _parts_for(n: int, tau: int) -> int:
     return min(range(4, 9), key=cost)
 
 
-def hamming_pairs(sigs: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b) with a < b of all (__id, s0) within tau bits on s0. Ids must be distinct."""
+def value_pairs(sigs: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b) with a < b of all values of s0 within tau bits. Values must be distinct: they stand
+    for themselves, so that nothing else is exchanged with them."""
     spark = sigs.sparkSession
     n = sigs.count()
     parts = _parts_for(n, tau)
@@ -245,54 +246,63 @@ def hamming_pairs(sigs: DataFrame, tau: int = TAU) -> DataFrame:
     masks = [[ball_masks(w, r) for r in range(MOST)] for w in widths]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(keys: np.ndarray, ids: np.ndarray, found: np.ndarray, probe: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(found.view(np.int64)), pa.array(np.full(len(keys), probe))], names=["key", "id", "sig", "probe"])
+        def rows(keys: np.ndarray, found: np.ndarray, probe: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys << 1 | probe), pa.array(found.view(np.int64))], names=["key", "sig"])
 
         for batch in batches:
-            ids, found = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            found = batch.column(0).to_numpy().view(np.uint64)
             own = [part_values(found, g) for g in groups]
-            costs = [np.vstack([np.zeros(len(ids)), *(balls.value[k][r][own[k]] * CANDIDATE + len(masks[k][r]) * PROBE for r in range(MOST))]) for k in range(parts)]
+            costs = [np.vstack([np.zeros(len(found)), *(balls.value[k][r][own[k]] * CANDIDATE + len(masks[k][r]) * PROBE for r in range(MOST))]) for k in range(parts)]
             levels = allocate(costs, tau)
             for k in range(parts):
-                yield rows(own[k] | k << 32, ids, found, False)
+                yield rows(own[k] | k << 24, found, 0)
                 for u in range(1, MOST + 1):
                     mine = np.flatnonzero(levels[k] == u)
                     if len(mine):
                         near = masks[k][u - 1]
-                        keys = (own[k][mine][:, None] ^ near).ravel() | k << 32
-                        at = np.repeat(mine, len(near))
-                        yield rows(keys, ids[at], found[at], True)
+                        keys = (own[k][mine][:, None] ^ near).ravel() | k << 24
+                        yield rows(keys, found[np.repeat(mine, len(near))], 1)
 
     slices = parallelism(spark) * 4
 
     def verify(key, group: pa.Table) -> pa.Table:
         keys = group.column("key").to_numpy()
         order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], group.column("id").to_numpy()[order]
-        found = group.column("sig").to_numpy().view(np.uint64)[order]
-        probe = group.column("probe").to_numpy(zero_copy_only=False)[order]
+        keys, found = keys[order], group.column("sig").to_numpy().view(np.uint64)[order]
+        probe, keys = (keys & 1).astype(bool), keys >> 1
         edges = np.flatnonzero(np.diff(keys, prepend=-1))
         left, right = [], []
         for low, high in zip(edges, np.append(edges[1:], len(keys))):
             asks = probe[low:high]
-            ask_ids, have_ids = ids[low:high][asks], ids[low:high][~asks]
-            if not len(ask_ids) or not len(have_ids):
-                continue
             ask, have = found[low:high][asks], found[low:high][~asks]
+            if not len(ask) or not len(have):
+                continue
             step = max(1, 2_000_000 // len(have))
             for i in range(0, len(ask), step):
                 q, x = np.nonzero(np.bitwise_count(ask[i : i + step, None] ^ have) <= tau)
-                less = ask_ids[i + q] < have_ids[x]
-                left.append(ask_ids[i + q][less])
-                right.append(have_ids[x][less])
+                one, other = ask[i + q].view(np.int64), have[x].view(np.int64)
+                less = one < other
+                left.append(one[less])
+                right.append(other[less])
         pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0) if left else np.empty((0, 2), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    sent = sigs.select("__id", "s0").mapInArrow(send, "key long, id long, sig long, probe boolean")
-    found = sent.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")).groupBy("slice").applyInArrow(lambda k, t: verify(k, t), "a long, b long")
+    sent = sigs.select("s0").mapInArrow(send, "key long, sig long")
+    found = sent.withColumn("slice", F.pmod(F.xxhash64(F.shiftright("key", 1)), F.lit(slices)).cast("int")).groupBy("slice").applyInArrow(lambda k, t: verify(k, t), "a long, b long")
     return found.distinct()
 
 
+def hamming_pairs(sigs: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b) with a < b of all rows within tau bits on s0, by their distinct __id, and their
+    other columns as a_... and b_...; rows with the same s0 are found by an equi-join."""
+    a, b = (sigs.select(F.col("__id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sigs.columns if c != "__id"]) for side in "ab")
+    values = value_pairs(cut(sigs.select("s0").distinct()), tau)
+    both = values.unionByName(values.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("a_s0", "b_s0")
+    apart = both.join(a, "a_s0").join(b, "b_s0").where("a < b")
+    same = a.join(b, F.col("a_s0") == F.col("b_s0")).where("a < b")
+    return same.unionByName(apart)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, root) of every id in pairs (a, b): root is the least id of its connected component.
 
@@ -317,10 +327,8 @@ def _grouped(docs: DataFrame, tau: int, verify: int, id_col: str, text_col: str)
     # An id may have several texts, so entries are numbered by the id of one of their documents
     # only where that is unique; the least (id, hash) stands for all with the same signature.
     heads = cut(sigs.groupBy(*same).agg(F.min(F.struct("__id", "__h")).alias("__head")).select(*same, F.col("__head.__id").alias("__keep"), F.xxhash64("__head.__id", "__head.__h").alias("__id")))
-    pairs = hamming_pairs(heads.select("__id", "s0"), tau)
-    a, b = (heads.select(F.col("__id").alias(side), *[F.col(s).alias(f"{side}_{s}") for s in same]) for side in "ab")
     apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in same[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    near = cut(pairs.join(a, "a").join(b, "b").where(apart <= verify).select("a", "b"))
+    near = cut(hamming_pairs(heads.select("__id", *same), tau).where(apart <= verify).select("a", "b"))
     roots = components(near)
     # The least document of a component, by (id, hash), stays.
     in_group = heads.join(roots.withColumnRenamed("id", "__id"), "__id", "left").select(*same, F.coalesce("root", "__id").alias("__root"))

@@ -21,9 +21,9 @@ def test_pairs_equal_brute_force(spark, tau):
         for _ in range(3):
             flips = rng.choice(64, rng.integers(1, 14), replace=False)
             sigs.append(s ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)))
-    sigs = np.array(sigs, np.uint64)
+    sigs = np.array([*sigs, sigs[3], sigs[3]], np.uint64)
     df = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sigs.view(np.int64))], "__id long, s0 long").repartition(3)
-    got = {tuple(r) for r in S.hamming_pairs(df, tau).collect()}
+    got = {tuple(r) for r in S.hamming_pairs(df, tau).select("a", "b").collect()}
     distance = np.bitwise_count(sigs[:, None] ^ sigs)
     assert got == {(i, j) for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if distance[i, j] <= tau}
 
