@@ -29,7 +29,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), kinds=True)
 
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,26 @@
-"""Passages that repeat across documents, by prefix-partitioned suffix trees over words.
+"""Passages that repeat, across documents or within one, by prefix-partitioned suffix trees over words.
 
 A passage is a run of at least MIN_WORDS words (split at white space, compared exactly) that
-also stands in another document. The suffixes that can begin in one are found by sampling
+also stands in another document or at another place of its own. The suffixes that can begin in one are found by sampling
 that never misses: of the HEAD-word grams in every window of MIN_WORDS words the one with the
 least hash is an anchor, so equal windows hold equal anchors at equal places.
 
-1. Anchors are exchanged by their gram (24 bytes each); those whose gram is in one document
-   alone are dropped.
+1. Anchors are exchanged by their gram (24 bytes each); those whose gram stands at one
+   place alone are dropped.
 2. The suffixes at the others are partitioned by prefix. A prefix is the HEAD-word gram; one
    with more than GROUP suffixes is lengthened to all MIN_WORDS words, once for each start
    that a window around the anchor can have, so that every group fits in memory.
 3. In a group the suffixes are sorted, with the common prefix of neighbours; the runs whose
    common prefix is at least r words are the nodes of depth r of the group's suffix tree. Under
-   a node, leaves are joined by their preceding MIN_WORDS - r words: leaves of several
-   documents there are one repeated window around the anchor. All windows of an anchor unite
-   to one span, and the spans of a document to its maximal repeated passages.
+   a node, leaves are joined by their preceding MIN_WORDS - r words: two leaves
+   there are one repeated window around the anchor, across documents if their ids differ. All
+   windows of an anchor unite to one span a kind, and the spans of a document to its maximal
+   repeated passages.
 
 Defined cases: NULL ids and NULL texts take no part; texts under MIN_WORDS words (empty ones
-too) have no passage; a passage that repeats within one document only isn't reported; rows
-that repeat an id and text are one document; an empty table gives no rows. Whole texts are
+too) have no passage; occurrences may overlap (one word 60 times is a repeat); rows that
+repeat an id and text are one document; texts of one id are no other documents to each other,
+so what only they share repeats within; an empty table gives no rows. Whole texts are
 used, and no group is cut short.
 """
 
@@ -87,16 +89,29 @@ def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(got) if got else None
 
 
-def _across(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, whether its key is in several documents, and the rows that have its key."""
+def _repeats(keys: np.ndarray, docs: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row, whether its key is in several documents, whether it is at several suffixes
+    of one document alone, and the rows that have its key."""
     order = np.argsort(keys, kind="stable")
-    ordered, owner = keys[order], docs[order]
+    ordered = keys[order]
     edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     sizes = np.diff(np.append(edges, len(keys)))
-    several = np.minimum.reduceat(owner, edges) != np.maximum.reduceat(owner, edges)
-    flags, counts = np.empty(len(keys), bool), np.empty(len(keys), np.int64)
-    flags[order], counts[order] = np.repeat(several, sizes), np.repeat(sizes, sizes)
-    return flags, counts
+
+    def several(owner: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(owner[order], edges) != np.maximum.reduceat(owner[order], edges)
+
+    across = several(docs)
+    out = []
+    for found in (across, several(suffixes) & ~across, sizes):
+        out.append(np.empty(len(keys), found.dtype))
+        out[-1][order] = np.repeat(found, sizes)
+    return tuple(out)
+
+
+def _suffix_ids(rows: pa.Table, place: np.ndarray) -> np.ndarray:
+    """A 64-bit name of every row's suffix; rows that repeat an id, text and place share it."""
+    doc, digest = (rows.column(c).to_numpy().view(np.uint64) for c in ("__id", "__h"))
+    return mix64(doc ^ mix64(digest ^ mix64(place.astype(np.int64).view(np.uint64))))
 
 
 def _sorted_suffixes(right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,13 +124,14 @@ def _sorted_suffixes(right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], common])
 
 
-def repeated_windows(right: np.ndarray, left: np.ndarray, docs: np.ndarray, min_words: int, head: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(right: np.ndarray, left: np.ndarray, docs: np.ndarray, suffixes: np.ndarray, min_words: int, head: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For every anchor the least and greatest number of words that a repeated window has
-    before it; -1 where there is none. right: the words from the anchor on; left: those
-    before it, the nearest first."""
+    before it; -1 where there is none: first of windows in several documents, then of those
+    within one alone. right: the words from the anchor on; left: those before it, the nearest
+    first."""
     order, common = _sorted_suffixes(right)
-    left, owner = left[order].astype(np.uint64), docs[order]
-    low, high = np.full(len(order), -1), np.full(len(order), -1)
+    left, owner, suffixes = left[order].astype(np.uint64), docs[order], suffixes[order]
+    bounds = [(np.full(len(order), -1), np.full(len(order), -1)) for _ in range(2)]
     before = np.zeros(len(order), np.uint64)
     with np.errstate(over="ignore"):
         for depth in range(min_words, head - 1, -1):
@@ -123,21 +139,23 @@ def repeated_windows(right: np.ndarray, left: np.ndarray, docs: np.ndarray, min_
             if back:
                 before += left[:, back - 1] * _FACTORS[back]
             node = np.cumsum(common < depth).astype(np.uint64)
-            several, _ = _across(mix64(before ^ mix64(node)), owner)
-            low[several & (low < 0)] = back
-            high[several] = back
-    back_low, back_high = np.empty_like(low), np.empty_like(high)
-    back_low[order], back_high[order] = low, high
-    return back_low, back_high
+            across, within, _ = _repeats(mix64(before ^ mix64(node)), owner, suffixes)
+            for several, (low, high) in zip((across, within), bounds):
+                low[several & (low < 0)] = back
+                high[several] = back
+    place = np.argsort(order)
+    return [(low[place], high[place]) for low, high in bounds]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return fields(docs, __id=id_col, __text=text_col).select(F.col("__id").cast("long"), F.xxhash64("__text").alias("__h"), F.col("__text").cast("string")).where("__id IS NOT NULL AND __text IS NOT NULL")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", kinds: bool = False) -> DataFrame:
     """(id, word_from, word_to, n_words): the maximal runs of words [word_from, word_to) that
-    are covered by passages of at least min_words words which another document has too."""
+    are covered by passages of at least min_words words which stand elsewhere too, in another
+    document or in this one. With kinds there is also the column across, and each kind has runs
+    of its own: of passages that another document has (true), and that this one alone has."""
     span = min_words - head + 1
     rows = _keyed(docs, id_col, text_col)
 
@@ -157,7 +175,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = H
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _table(batches)
         if got is not None:
-            flags, counts = _across(got.column("gram").to_numpy(), got.column("__id").to_numpy())
+            across, within, counts = _repeats(got.column("gram").to_numpy(), got.column("__id").to_numpy(), _suffix_ids(got, got.column("place").to_numpy()))
+            flags = across | within
             kept = got.filter(pa.array(flags)).drop_columns(["gram"]).append_column("large", pa.array(counts[flags] > group))
             yield from kept.to_batches(max_chunksize=100_000)
 
@@ -187,26 +206,29 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = H
         for part in (got.filter(pa.array(back < 0)), got.filter(pa.array(back >= 0))):
             if not part.num_rows:
                 continue
-            owner = part.column("__id").to_numpy()
+            owner, place = part.column("__id").to_numpy(), part.column("place").to_numpy()
             if part.column("back")[0].as_py() < 0:
                 words = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32).reshape(part.num_rows, -1)
-                low, high = repeated_windows(words[:, :min_words], words[:, min_words:], owner, min_words, head)
+                bounds = repeated_windows(words[:, :min_words], words[:, min_words:], owner, _suffix_ids(part, place), min_words, head)
             else:
-                flags, _ = _across(part.column("key").to_numpy(), owner)
-                low = high = np.where(flags, part.column("back").to_numpy(), -1)
-            hit = np.flatnonzero(high >= 0)
-            place = part.column("place").to_numpy()[hit]
-            kept = part.select(["__id", "__h"]).take(pa.array(hit))
-            kept = kept.append_column("word_from", pa.array((place - high[hit]).astype(np.int32))).append_column("word_to", pa.array((place - low[hit] + min_words).astype(np.int32)))
-            yield from kept.to_batches(max_chunksize=100_000)
-
-    spans = spread.mapInArrow(trees, "__id long, __h long, word_from int, word_to int")
-    mine = Window.partitionBy("__id", "__h").orderBy("word_from", "word_to")
+                # Several anchors of a text may send one window: its start tells it from others.
+                back = part.column("back").to_numpy()
+                found = _repeats(part.column("key").to_numpy(), owner, _suffix_ids(part, place - back))
+                bounds = [(at, at) for at in (np.where(flags, back, -1) for flags in found[:2])]
+            for across, (low, high) in zip((True, False), bounds):
+                hit = np.flatnonzero(high >= 0)
+                kept = part.select(["__id", "__h"]).take(pa.array(hit))
+                kept = kept.append_column("word_from", pa.array((place[hit] - high[hit]).astype(np.int32))).append_column("word_to", pa.array((place[hit] - low[hit] + min_words).astype(np.int32)))
+                yield from kept.append_column("across", pa.array(np.full(len(hit), across))).to_batches(max_chunksize=100_000)
+
+    spans = spread.mapInArrow(trees, "__id long, __h long, word_from int, word_to int, across boolean")
+    apart = ["__id", "__h", *["across"] * kinds]
+    mine = Window.partitionBy(*apart).orderBy("word_from", "word_to")
     reach = F.max("word_to").over(mine.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("__new", F.coalesce((F.col("word_from") > reach).cast("int"), F.lit(1)))
     islands = marked.withColumn("__island", F.sum("__new").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("__id", "__h", "__island").agg(F.min("word_from").alias("word_from"), F.max("word_to").alias("word_to"))
-    return merged.select(F.col("__id").alias(id_col), "word_from", "word_to", (F.col("word_to") - F.col("word_from")).alias("n_words"))
+    merged = islands.groupBy(*apart, "__island").agg(F.min("word_from").alias("word_from"), F.max("word_to").alias("word_to"))
+    return merged.select(F.col("__id").alias(id_col), "word_from", "word_to", (F.col("word_to") - F.col("word_from")).alias("n_words"), *["across"] * kinds)
 
 
 def _suffix_rows(doc: int, digest: int, words: np.ndarray, place: np.ndarray, large: np.ndarray, min_words: int, head: int) -> Iterator[pa.RecordBatch]:

@@ -62,3 +62,43 @@ def test_anchors_cover_every_window(rng):
 
 def test_empty_table(make):
     assert S.repeated_passages(make([])).count() == 0
+
+
+def brute_kinds(rows, least):
+    """Runs of words covered by windows that another id has (True), or that stand at several
+    places of one id's texts alone (False)."""
+    places, out = {}, set()
+    texts = {(i, t) for i, t in rows if i is not None and t is not None}
+    for i, t in texts:
+        w = t.split()
+        for k in range(len(w) - least + 1):
+            places.setdefault(tuple(w[k : k + least]), set()).add((i, t, k))
+    for i, t in texts:
+        w = t.split()
+        covered = {True: set(), False: set()}
+        for k in range(len(w) - least + 1):
+            found = places[tuple(w[k : k + least])]
+            if len(found) > 1:
+                covered[len({j for j, _, _ in found}) > 1] |= set(range(k, k + least))
+        for across, mine in covered.items():
+            for start in sorted(k for k in mine if k - 1 not in mine):
+                end = start
+                while end in mine:
+                    end += 1
+                out.add((i, start, end, end - start, across))
+    return out
+
+
+@pytest.mark.parametrize("group", [S.GROUP, 3])
+def test_repeats_within_a_document(make, rng, group):
+    own, both, split = words(rng, 14), words(rng, 13), words(rng, 12)
+    rows = [(1, f"{words(rng, 9)} {own} {words(rng, 20)} {own} {words(rng, 5)} {own}"), (2, words(rng, 60)), (3, f"{both} {words(rng, 8)} {both}"), (4, f"{words(rng, 6)} {both}")]
+    rows += [(5, "one " * 40), (6, f"{split} {words(rng, 9)}"), (6, f"{words(rng, 4)} {split}"), (7, words(rng, 25)), (8, "a b c d e " * 9)]
+    rows += [rows[1], rows[1], rows[7]]
+    docs = make(rows, clash=True)
+    found = S.repeated_passages(docs, min_words=10, head=4, group=group, kinds=True).collect()
+    expected = brute_kinds(rows, 10)
+    assert found[0].asDict().keys() == {"doc_id", "word_from", "word_to", "n_words", "across"}
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    assert {(r[0], r[4]) for r in expected} == {(1, False), (3, True), (4, True), (5, False), (6, False), (8, False)}
+    assert {1, 3, 4, 5, 6, 8} == {r.doc_id for r in S.repeated_passages(docs, min_words=10, head=4, group=group).collect()}
