@@ -1,16 +1,17 @@
 """Near-duplicate documents by SimHash and the generalised pigeonhole principle.
 
 A document's signature has 256 bits: signs of weighted sums over its distinct words, the
-weight growing with a word's length up to 12. The first 64 bits are searched exactly for all
-pairs within TAU bits:
+weight growing with a word's length up to 12. All pairs within VERIFY of the 256 bits are
+found: they are within r of 64 bits in one of the four words, for radii r whose sum of r + 1
+is VERIFY + 1. So each word is searched exactly for all pairs within its radius tau:
 
 - bits are grouped into parts so that correlated ones lie together;
 - every signature gets its own thresholds t_i >= -1 (-1: the part isn't probed) with
-  sum(t_i + 1) = TAU + 1, chosen by dynamic programming over the estimated candidates: the
+  sum(t_i + 1) = tau + 1, chosen by dynamic programming over the estimated candidates: the
   exact count of signatures within t_i of its value in part i, from the parts' histograms;
-- a pair within TAU then agrees to within t_i in some part, so probing the values within t_i
-  misses nothing; candidates are verified on all 64 bits, then on all 256 (at most VERIFY
-  bits), which removes chance collisions of short texts.
+- a pair within tau then agrees to within t_i in some part, so probing the values within t_i
+  misses nothing; candidates are verified on the word's 64 bits, then on all 256, which
+  removes chance collisions of short texts.
 
 Groups are connected components over the verified pairs; the document with the least id of
 each group stays. Documents whose signatures are the same are one entry in the search.
@@ -22,6 +23,7 @@ gives no pairs.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 from ._util import Memo, cut, fields, maybe_broadcast, mix64, parallelism, rows_back, slices, with_row
 
 BITS = 64
-TAU = 10
 VERIFY = 44
 MOST = 4  # the largest t_i + 1 that is considered
 
@@ -178,7 +179,7 @@ def ball_masks(width: int, radius: int) -> np.ndarray:
 PROBE, CANDIDATE = 1.0, 0.003
 
 
-def allocate(costs: list[np.ndarray], tau: int = TAU) -> np.ndarray:
+def allocate(costs: list[np.ndarray], tau: int) -> np.ndarray:
     """For each query the t_i + 1 of every part that sum to tau + 1 at least cost.
 
     costs[i][u, q]: cost for query q of t_i + 1 = u in part i, 0 at u = 0.
@@ -219,7 +220,7 @@ def _parts_for(n: int, tau: int) -> int:
     return min(range(4, 9), key=cost)
 
 
-def value_pairs(sigs: DataFrame, tau: int = TAU) -> DataFrame:
+def value_pairs(sigs: DataFrame, tau: int) -> DataFrame:
     """(a, b) with a < b of all values of s0 within tau bits. Values must be distinct: they stand
     for themselves, so that nothing else is exchanged with them."""
     spark = sigs.sparkSession
@@ -292,7 +293,7 @@ def value_pairs(sigs: DataFrame, tau: int = TAU) -> DataFrame:
     return found.distinct()
 
 
-def hamming_pairs(sigs: DataFrame, tau: int = TAU) -> DataFrame:
+def hamming_pairs(sigs: DataFrame, tau: int) -> DataFrame:
     """(a, b) with a < b of all rows within tau bits on s0, by their distinct __id, and their
     other columns as a_... and b_...; rows with the same s0 are found by an equi-join."""
     a, b = (sigs.select(F.col("__id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sigs.columns if c != "__id"]) for side in "ab")
@@ -303,6 +304,32 @@ def hamming_pairs(sigs: DataFrame, tau: int = TAU) -> DataFrame:
     return same.unionByName(apart)
 
 
+def word_radii(verify: int) -> list[int]:
+    """Of pairs within verify bits in all, each is within its radius in one of the four words."""
+    return [(verify + 1 + k) // 4 - 1 for k in range(3, -1, -1)]
+
+
+def near_pairs(heads: DataFrame, verify: int = VERIFY) -> DataFrame:
+    """(a, b) with a < b, once each, of all rows within verify bits on s0 to s3, by their distinct __id."""
+    found = None
+    radii = word_radii(verify)
+    apart = [F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)]
+    for k, radius in enumerate(radii):
+        if radius < 0:
+            continue
+        # The word that is searched goes by the name s0, so the k-th and the first change places.
+        at = [k, *(0 if i == k else i for i in range(1, 4))]
+        wanted = sum(apart[1:], apart[0]) <= verify
+        for earlier in range(k):
+            wanted &= apart[at.index(earlier)] > radii[earlier]
+        pairs = cut(hamming_pairs(heads.select("__id", *[F.col(f"s{i}").alias(f"s{j}") for j, i in enumerate(at)]), radius).where(wanted).select("a", "b"))
+        found = pairs if found is None else found.unionByName(pairs)
+        # What this word's search has shuffled stays on disk until the driver collects its garbage.
+        gc.collect()
+        heads.sparkSession.sparkContext._jvm.System.gc()
+    return found
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, root) of every id in pairs (a, b): root is the least id of its connected component.
 
@@ -320,15 +347,14 @@ def components(pairs: DataFrame) -> DataFrame:
         labels = after.select("id", "root")
 
 
-def _grouped(docs: DataFrame, tau: int, verify: int, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, verify: int, id_col: str, text_col: str) -> DataFrame:
     """(__id, __h, __keep) of every document whose group has another with a lesser key."""
     sigs = cut(signatures(docs, id_col, text_col).distinct())
     same = ["s0", "s1", "s2", "s3"]
     # An id may have several texts, so entries are numbered by the id of one of their documents
     # only where that is unique; the least (id, hash) stands for all with the same signature.
     heads = cut(sigs.groupBy(*same).agg(F.min(F.struct("__id", "__h")).alias("__head")).select(*same, F.col("__head.__id").alias("__keep"), F.xxhash64("__head.__id", "__head.__h").alias("__id")))
-    apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in same[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    near = cut(hamming_pairs(heads.select("__id", *same), tau).where(apart <= verify).select("a", "b"))
+    near = near_pairs(heads.select("__id", *same), verify)
     roots = components(near)
     # The least document of a component, by (id, hash), stays.
     in_group = heads.join(roots.withColumnRenamed("id", "__id"), "__id", "left").select(*same, F.coalesce("root", "__id").alias("__root"))
@@ -337,13 +363,13 @@ def _grouped(docs: DataFrame, tau: int, verify: int, id_col: str, text_col: str)
     return members.join(kept, "__root").where("__id <> __kept.__id OR __h <> __kept.__h").select("__id", "__h", F.col("__kept.__id").alias("__keep"))
 
 
-def near_duplicates(docs: DataFrame, tau: int = TAU, verify: int = VERIFY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, verify: int = VERIFY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, keep_id) of every document that goes, with the one of its group that stays."""
-    return _grouped(docs, tau, verify, id_col, text_col).select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id")).distinct()
+    return _grouped(docs, verify, id_col, text_col).select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id")).distinct()
 
 
-def drop_near_duplicates(docs: DataFrame, tau: int = TAU, verify: int = VERIFY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, verify: int = VERIFY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without all but one of each group, all columns kept."""
-    gone = cut(_grouped(docs, tau, verify, id_col, text_col).select(F.col("__id").alias("__dq_id"), F.col("__h").alias("__dq_h")).distinct())
+    gone = cut(_grouped(docs, verify, id_col, text_col).select(F.col("__id").alias("__dq_id"), F.col("__h").alias("__dq_h")).distinct())
     rows = with_row(docs, __dq_id=id_col, __dq_text=text_col).select(F.col("__dq_id").cast("long"), F.xxhash64("__dq_text").alias("__dq_h"), "__row")
     return rows_back(rows.join(maybe_broadcast(gone, gone.count()), ["__dq_id", "__dq_h"], "left_anti"), docs.columns)

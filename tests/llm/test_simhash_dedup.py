@@ -70,3 +70,32 @@ def test_signature_ignores_case_order_and_punctuation(rng):
     text = words(rng, 60)
     turned = " ".join(reversed(text.upper().split())) + " !"
     assert (S.signature(text) == S.signature(turned)).all() and S.signature("  ") is None
+
+
+@pytest.mark.parametrize("verify", [S.VERIFY, 14, 2])
+def test_pairs_within_all_bits_equal_brute_force(spark, verify):
+    rng = np.random.default_rng(verify)
+    assert sum(r + 1 for r in S.word_radii(verify)) == verify + 1
+    sigs = list(rng.integers(0, 2**63, (20, 4), dtype=np.uint64))
+    for s in sigs[:20]:
+        for k in range(5):
+            bits = np.zeros(256, np.uint8)
+            # All over the signature, or in one or two of its words alone.
+            low, high = [(0, 256), (0, 64), (64, 192), (128, 192), (192, 256)][k]
+            bits[rng.choice(np.arange(low, high), rng.integers(1, min(verify + 6, 60)), replace=False)] = 1
+            sigs.append(s ^ np.packbits(bits, bitorder="little").view(np.uint64))
+    sigs = np.array(sigs)
+    df = spark.createDataFrame([(i, *map(int, s)) for i, s in enumerate(sigs.view(np.int64))], "__id long, s0 long, s1 long, s2 long, s3 long").repartition(3)
+    distance = np.bitwise_count(sigs[:, None] ^ sigs).sum(axis=2)
+    got = [tuple(r) for r in S.near_pairs(df, verify).collect()]
+    assert sorted(got) == [(i, j) for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if distance[i, j] <= verify]
+
+
+def test_pairs_whose_first_words_differ_are_found(make, rng):
+    while True:
+        text = words(rng, 200)
+        other = near(rng, text, 22)
+        apart = np.bitwise_count(S.signature(text) ^ S.signature(other))
+        if apart[0] > 12 and apart.sum() <= S.VERIFY:
+            break
+    assert {tuple(r) for r in S.near_duplicates(make([(1, text), (2, other)])).collect()} == {(2, 1)}
