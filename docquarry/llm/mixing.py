@@ -10,8 +10,9 @@
    epoch n div N. A source is thus used up before any of its blocks comes again.
 4. Slots and blocks are joined on (source, block number).
 
-`min_epochs` sets how many slots there are in all: enough that each source's expected share,
-less four standard deviations, is so many times its blocks; None: as many slots as blocks.
+`min_epochs` sets how many slots there are in all: first so many that each source's expected
+share, less four standard deviations, is so many times its blocks; then, where the draw gave a
+source fewer after all, slots are added until none has fewer. None: as many slots as blocks.
 Weights are in proportion to blocks to the power `temperature` unless given.
 
 Defined cases: a NULL source is a source by itself, named ""; NULL texts count as empty and
@@ -138,6 +139,20 @@ def slot_total(sizes: dict[str, int], weights: dict[str, float], min_epochs: flo
     return max((math.ceil((min_epochs * n + 4 * math.sqrt(min_epochs * n)) / weights[s]) for s, n in sizes.items() if weights.get(s)), default=0)
 
 
+def _shard_draws(spark: SparkSession, total: int, shares: list[float], shard_slots: int, seed: int) -> tuple[DataFrame, int, int]:
+    """(shard, k, n): the slots of every shard that the k-th share gets; the shards, and the slots of the last."""
+    shards = -(-total // shard_slots)
+    last = total - (shards - 1) * shard_slots
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = np.repeat(batch.column(0).to_numpy(), len(shares))
+            counts = [shard_counts(s, shard_slots if s < shards - 1 else last, shares, seed) for s in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.tile(np.arange(len(shares), dtype=np.int32), batch.num_rows)), pa.array(np.concatenate(counts).astype(np.int64))], names=["shard", "k", "n"])
+
+    return spark.range(shards).mapInArrow(draw, "shard long, k int, n long"), shards, last
+
+
 def draw_slots(spark: SparkSession, sizes: dict[str, int], weights: dict[str, float], min_epochs: float | None = None, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """(shard, slot, source, block, epoch) of every slot of every shard."""
     names = [s for s in sorted(sizes) if weights.get(s)]
@@ -147,16 +162,16 @@ def draw_slots(spark: SparkSession, sizes: dict[str, int], weights: dict[str, fl
     scale = math.fsum(weights[s] for s in names)
     shares = [weights[s] / scale for s in names]
     total = slot_total(sizes, dict(zip(names, shares)), min_epochs)
-    shards = -(-total // shard_slots)
-    last = total - (shards - 1) * shard_slots
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard = np.repeat(batch.column(0).to_numpy(), len(names))
-            counts = [shard_counts(s, shard_slots if s < shards - 1 else last, shares, seed) for s in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.tile(np.arange(len(names), dtype=np.int32), batch.num_rows)), pa.array(np.concatenate(counts).astype(np.int64))], names=["shard", "k", "n"])
+    while True:
+        counts, shards, last = _shard_draws(spark, total, shares, shard_slots, seed)
+        if min_epochs is None:
+            break
+        drawn = {r[0]: r[1] for r in counts.groupBy("k").agg(F.sum("n")).collect()}
+        lacking = max((math.ceil((min_epochs * sizes[s] - drawn.get(k, 0)) / shares[k]) for k, s in enumerate(names)), default=0)
+        if lacking <= 0:
+            break
+        total += lacking
 
-    counts = spark.range(shards).mapInArrow(draw, "shard long, k int, n long")
     by_source = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     by_shard = Window.partitionBy("shard").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("first", F.coalesce(F.sum("n").over(by_source), F.lit(0))).withColumn("place", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))

@@ -70,3 +70,20 @@ def test_null_ids_repeats_and_empty_tables(make):
 def test_sources_without_weight_get_no_slot(make):
     docs = make([(1, "a b c", "x"), (2, "d e f", "y")])
     assert {r.source for r in M.mix_sources(docs, {"x": 1.0}, block=4).collect()} == {"x"}
+
+
+@pytest.mark.parametrize("epochs", [1.0, 2.0])
+def test_every_source_is_used_whole_whatever_the_draw(spark, epochs):
+    sizes, weights = {"a": 30, "b": 1}, {"a": 0.9, "b": 0.1}
+    total = M.slot_total(sizes, weights, epochs)
+
+    def drawn(seed, source):
+        shards = -(-total // 20)
+        return sum(M.shard_counts(s, min(20, total - 20 * s), [0.9, 0.1], seed)[source] for s in range(shards))
+
+    # A seed whose first draw gives the small source too few.
+    seed = next(s for s in range(100_000) if drawn(s, 1) < epochs)
+    found = M.draw_slots(spark, sizes, weights, epochs, shard_slots=20, seed=seed).collect()
+    assert all(sum(r.source == s for r in found) >= epochs * n for s, n in sizes.items())
+    assert {(r.source, r.block) for r in found} == {("b", 0)} | {("a", i) for i in range(30)}
+    assert len({(r.shard, r.slot) for r in found}) == len(found) > total
