@@ -16,6 +16,10 @@ reports exact bounds:
 - phone: "+" and 8 to 15 digits, with blanks, hyphens, dots or brackets between them;
 - ssn: three, two and four digits with hyphens, in the ranges that are issued.
 
+Where digits go on behind one blank, into another number, a phone ends at the blank before an
+item of another kind, or else at the last blank that leaves it valid; a card or ssn is
+any valid run between blanks.
+
 Spans never overlap: the earlier start wins, then the longer span, then a kind that was checked
 over an account that was only cued, then the kind's name.
 
@@ -43,6 +47,8 @@ _HEX = frozenset("0123456789abcdefABCDEF:.")
 _DIGITS = frozenset("0123456789")
 _URL_END = frozenset("\"'<>`{}|\\^")
 _AFTER_CUE = re.compile(r"(?:[ \t]*(?:no|nr|num|number|id|#)\b\.?)?[ \t]*[:#=]?[ \t]*([A-Za-z0-9](?:[A-Za-z0-9]|[ -](?=[A-Za-z0-9]*\d)){4,33})", re.IGNORECASE)
+#: Parts between blanks that a card may have at most.
+PIECES = 5
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
 
 Span = tuple[int, int, str]
@@ -171,33 +177,54 @@ def _bounded(text: str, start: int, end: int) -> bool:
     return not (before.isalnum() or before == "_" or after.isalnum() or after == "_")
 
 
-def _number(text: str, at: int) -> Span | None:
+def _numbers(text: str, at: int) -> list[Span]:
+    """Cards, ssns and plain accounts around the digit at at; of several, find_private takes the first."""
     start, end = _digit_run(text, at, "")
     if _bounded(text, start, end) and 12 <= end - start <= 19:
         digits = text[start:end]
-        return start, end, "card" if len(digits) >= 13 and digits[0] in "23456" and luhn(digits) else "account"
+        return [(start, end, "card" if len(digits) >= 13 and digits[0] in "23456" and luhn(digits) else "account")]
     start, end = _digit_run(text, at, " -")
-    if not _bounded(text, start, end):
-        return None
-    shown = text[start:end]
+    first, past = _piece(text, at, start, end)
+    starts, ends = [first], [past]
+    while len(starts) < PIECES and starts[-1] > start:
+        starts.append(_piece(text, starts[-1] - 2, start, end)[0])
+    while len(ends) < PIECES and ends[-1] < end:
+        ends.append(_piece(text, ends[-1] + 1, start, end)[1])
+    found = [(low, high, _card_or_ssn(text[low:high])) for low in starts for high in ends if _bounded(text, low, high)]
+    return [span for span in found if span[2]]
+
+
+def _piece(text: str, at: int, start: int, end: int) -> tuple[int, int]:
+    """The part of text[start:end] around at that is without blanks."""
+    after = text.find(" ", at, end)
+    return text.rfind(" ", start, at) + 1 or start, after if after >= 0 else end
+
+
+def _card_or_ssn(shown: str) -> str | None:
     digits = re.sub("[ -]", "", shown)
     if 13 <= len(digits) <= 19 and len(set(shown) & set(" -")) == 1 and digits[0] in "23456" and luhn(digits) and re.fullmatch(r"\d{4}(?:[ -]\d{2,7}){2,4}", shown):
-        return start, end, "card"
+        return "card"
     if re.fullmatch(r"\d{3}-\d{2}-\d{4}", shown) and shown[:3] not in ("000", "666") and shown[0] != "9" and shown[4:6] != "00" and shown[7:] != "0000":
-        return start, end, "ssn"
+        return "ssn"
     return None
 
 
 def _phone(text: str, at: int) -> Span | None:
     if at and (text[at - 1].isalnum() or text[at - 1] == "+"):
         return None
-    end, digits, last, n = at + 1, 0, at, len(text)
+    end, digits, last, n, ends = at + 1, 0, at, len(text), []
     while end < n and (text[end] in _DIGITS or text[end] in " -.()/" and end - last <= 2):
         if text[end] in _DIGITS:
+            if text[last] in _DIGITS and text[last + 1 : end] == " " and 8 <= digits <= 15:
+                ends.append(last + 1)
             digits, last = digits + 1, end
         end += 1
-    end = last + 1
-    return (at, end, "phone") if 8 <= digits <= 15 and not (end < n and text[end].isalnum()) else None
+    for end in ends:
+        if any(found and found[0] == end + 1 for found in (_ipv4(text, end + 1), *_numbers(text, end + 1))):
+            return at, end, "phone"
+    if 8 <= digits <= 15 and not (last + 1 < n and text[last + 1].isalnum()):
+        ends.append(last + 1)
+    return (at, ends[-1], "phone") if ends else None
 
 
 def iban_valid(compact: str) -> bool:
@@ -247,7 +274,7 @@ def find_private(text: str) -> list[Span]:
                 done = _reach(text, at, 1, _DIGITS | {"."})
         elif kind == "run":
             if at > run_done:
-                spans.add(_number(text, at))
+                spans.update(_numbers(text, at))
                 spans.add(_iban(text, at))
                 run_done = _digit_run(text, at, "")[1] - 1
         elif kind == "hex":

@@ -46,3 +46,25 @@ def test_table(make):
     found = sorted(((r.doc_id, r.value, r.start) for r in pii.private_spans(make(rows, clash=True)).collect()), key=repr)
     assert found == sorted([(1, "a@b.org", 0), (1, "c@d.org", 12), (None, "e@f.org", 0), (4, "g@h.org", 0), (4, "g@h.org", 0), (5, "i@j.org", 400_000)], key=repr)
     assert pii.private_spans(make([])).count() == 0
+
+
+BESIDE = [
+    ("call +1 (826) 555-4081 190.137.223.204 now", [("phone", "+1 (826) 555-4081"), ("ipv4", "190.137.223.204")]),
+    ("call +1 555 40 81 7 1.2.3.4 now", [("phone", "+1 555 40 81 7"), ("ipv4", "1.2.3.4")]),
+    ("call +1 826 555 4081 4111 1111 1111 1111.", [("phone", "+1 826 555 4081"), ("card", "4111 1111 1111 1111")]),
+    ("call +1 826 555 4081 123-45-6789.", [("phone", "+1 826 555 4081"), ("ssn", "123-45-6789")]),
+    ("call +1 826 555 4081 123456789012.", [("phone", "+1 826 555 4081"), ("account", "123456789012")]),
+    ("call +1 826 555 4081 3rd floor", [("phone", "+1 826 555 4081")]),
+    ("row 12 123-45-6789", [("ssn", "123-45-6789")]),
+    ("row 123-45-6789 12 of 345", [("ssn", "123-45-6789")]),
+    ("row 123-45-6789 7th", [("ssn", "123-45-6789")]),
+    ("row 7 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]),
+    ("row 2024 7 4111-1111-1111-1111 9", [("card", "4111-1111-1111-1111")]),
+    ("row 4111 1111 1111 1111 123-45-6789 x", [("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789")]),
+    ("row 12-123-45-6789 and 123-45-6789-1", []),
+]
+
+
+@pytest.mark.parametrize("text, expected", BESIDE)
+def test_numbers_beside_numbers(text, expected):
+    assert kinds(text) == expected
