@@ -250,7 +250,7 @@ def neighbour_caption(spark, sf_dir):
     SELECT b.item_id, coalesce(min(d.doc_id), -1) AS doc_id FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY b.item_id
 """)
 def contains_match(spark, sf_dir):
-    needles = _t(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle"))
+    needles = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
     return R.contains_match(_t(spark, sf_dir, "documents"), "doc_id", "text", needles, "item_id", "needle", fallback=-1)
 
 

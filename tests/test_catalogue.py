@@ -20,3 +20,10 @@ def test_entry_module_has_all(spark, tiny):
 
     assert set(catalogue.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert "n_links" in entry.entry(spark).columns
+
+
+def test_contains_match_needs_the_whole_passage(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(30))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, passage[:70]), (2, f"so: {passage}!"), (3, passage)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalogue.queries()["contains_match"](spark, str(tmp_path)).collect()] == [(1, 2)]
