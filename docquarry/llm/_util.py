@@ -15,39 +15,48 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only up to this many rows of a few numbers each.
 BROADCAST_ROWS = 200_000
 
-#: Entries a memo of words may hold before it is emptied.
-MEMO_ENTRIES = 250_000
+#: Bytes that a memo of words may hold before it is emptied.
+MEMO_BYTES = 96 << 20
 
 
 class Memo(dict):
     """What a worker process keeps of words. Workers live through several operators, so only
-    the memo that was used last keeps its entries, and at most `most` of them."""
+    the memo that was used last keeps its entries, and at most MEMO_BYTES of them, by `used`."""
 
     _last: Memo | None = None
 
-    def __init__(self, make: Callable[[str], Any] | None = None, most: int = MEMO_ENTRIES):
+    def __init__(self, make: Callable[[str], Any] | None = None, most: int = MEMO_BYTES):
         super().__init__()
-        self._make, self._most = make, most
+        self._make, self._most, self.used = make, most, 0
 
     def __missing__(self, word: str) -> Any:
         found = self[word] = self._make(word)
+        self.used += len(word) + 150
         return found
 
-    def ready(self, more: int = 0) -> None:
-        """To be called before every text: makes room for so many entries at least."""
+    def clear(self) -> None:
+        super().clear()
+        self.used = 0
+
+    def ready(self, more: int = 0) -> bool:
+        """To be called before every batch of so many bytes; whether the memo was emptied."""
         if Memo._last is not self:
             if Memo._last is not None:
                 Memo._last.clear()
             Memo._last = self
-        if len(self) + more > self._most:
+        if self and self.used + more > self._most:
             self.clear()
+            return True
+        return not self
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that few texts are Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, of about `most` bytes or one row, so that few texts are
+    Python objects at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, batch.num_rows * most // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

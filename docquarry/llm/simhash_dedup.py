@@ -61,6 +61,7 @@ class _Words:
         for i, raw in enumerate(new):
             word = raw.strip(_PUNCTUATION).lower()
             self.number[raw] = at + i
+            self.number.used += len(raw) + 190
             hashes[i] = xxhash.xxh64_intdigest(word)
             self.weight[at + i] = min(len(word), 12) - 2 if len(word) > 2 else 1 / 64 if word else 0
         for k in range(4):
@@ -77,7 +78,7 @@ def signature(text: str | None) -> np.ndarray | None:
         return None
     distinct = set(text.split())
     known = _words.number
-    known.ready(len(distinct))
+    known.ready(200 * len(distinct))
     new = [w for w in distinct if w not in known]
     if new:
         _words.learn(new)
