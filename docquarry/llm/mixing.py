@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._util import BROADCAST_ROWS, cut, fields, maybe_broadcast, mix64, parallelism, rows_back, slices, with_row, written
-from .tokens import DEFAULT_VOCAB, END_OF_TEXT, bpe
+from .tokens import DEFAULT_VOCAB, END_OF_TEXT, TEXT_BYTES, TokenStream, bpe, closed, gathered
 
 BLOCK = 2048
 SHARD_SLOTS = 512
@@ -70,49 +70,52 @@ def shard_counts(shard: int, slots: int, weights: list[float], seed: int) -> np.
 def pack_blocks(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocab: str = DEFAULT_VOCAB, with_tokens: bool = True) -> DataFrame:
     """(source, part, local, doc_ids, starts, tokens): doc_ids of a block's documents, starts
     those that begin in it; tokens as little-endian 16-bit ids, or NULL if not wanted."""
-    rows = fields(docs, __source=source_col, __id=id_col, __text=text_col).select(F.coalesce(F.col("__source").cast("string"), F.lit("")).alias("__source"), F.col("__id").cast("long"), F.col("__text").cast("string"))
-    end = np.array([END_OF_TEXT], "<u2").tobytes()
+    rows = fields(docs, __source=source_col, __id=id_col, __text=text_col).select(F.coalesce(F.col("__source").cast("string"), F.lit("")).alias("__source"), "__id", F.coalesce(F.col("__text").cast("string"), F.lit("")))
+    kind = rows.schema[1].dataType.simpleString()
+    names = ["source", "part", "local", "doc_ids", "starts", "tokens"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = bpe(vocab), TaskContext.get().partitionId()
-        streams: dict[str, tuple[bytearray, list, list]] = {}
+        encoder, part = bpe(vocab), TaskContext.get().partitionId()
+        streams: dict[str, TokenStream] = {}
         numbers: dict[str, int] = {}
-        out: list[tuple] = []
-        held = 0
-
-        def emit(source: str, ids: list, starts: list, tokens: bytes) -> None:
-            out.append((source, part, numbers.get(source, 0), ids, starts, tokens if with_tokens else None))
-            numbers[source] = numbers.get(source, 0) + 1
-
-        def batch_of() -> pa.RecordBatch:
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["source", "part", "local", "doc_ids", "starts", "tokens"])
-
-        for batch in slices(batches):
-            for source, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                buffer, ids, starts = streams.setdefault(source, (bytearray(), [], []))
-                ids.append(doc)
-                starts.append(doc)
-                buffer += (encode.ids(text) if text else b"") + end
-                at, size = 0, 2 * block
-                while len(buffer) - at >= size:
-                    emit(source, ids[:], starts[:], bytes(buffer[at : at + size]))
-                    at += size
-                    ids[:] = [doc] if len(buffer) > at else []
-                    starts.clear()
-                del buffer[:at]
-                if len(out) >= 512:
-                    yield batch_of()
-        for source, (buffer, ids, starts) in streams.items():
-            if buffer:
-                emit(source, ids, starts, bytes(buffer + end * ((2 * block - len(buffer)) // 2)))
-        if out:
-            yield batch_of()
-
-    return rows.mapInArrow(pack, "source string, part int, local long, doc_ids array<long>, starts array<long>, tokens binary")
+
+        def emit(source: str, size: int) -> pa.RecordBatch:
+            cut = streams[source].cut(size, block)
+            n, at = len(cut.blocks), numbers.get(source, 0)
+            numbers[source] = at + n
+            begun = cut.taken == 0
+            starting = np.concatenate([[0], np.cumsum(begun)])[cut.lists].astype(np.int32)
+            padded = [np.pad(b, (0, block - len(b)), constant_values=END_OF_TEXT).astype("<u2").tobytes() for b in cut.blocks] if with_tokens else [None] * n
+            columns = [
+                pa.array([source] * n, pa.string()),
+                pa.array(np.full(n, part, np.int32)),
+                pa.array(np.arange(at, at + n)),
+                pa.ListArray.from_arrays(pa.array(cut.lists), cut.names),
+                pa.ListArray.from_arrays(pa.array(starting), cut.names.filter(pa.array(begun))),
+                pa.array(padded, pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in slices(batches, 1024, TEXT_BYTES):
+            ids, ends = closed(*encoder.batch(batch.column(2)))
+            lengths = np.diff(ends, prepend=0)
+            coded = batch.column(0).dictionary_encode()
+            own = coded.indices.to_numpy()
+            order = np.argsort(own, kind="stable")
+            edges = np.searchsorted(own[order], np.arange(len(coded.dictionary) + 1))
+            for k, source in enumerate(coded.dictionary.to_pylist()):
+                mine = order[edges[k] : edges[k + 1]]
+                stream = streams.setdefault(source, TokenStream())
+                stream.add(ids[gathered(ends[mine] - lengths[mine], lengths[mine])], np.cumsum(lengths[mine]), batch.column(1).take(pa.array(mine)))
+                if len(stream) >= block:
+                    yield emit(source, len(stream) // block * block)
+        for source, stream in streams.items():
+            if len(stream):
+                yield emit(source, len(stream))
+
+    return rows.mapInArrow(pack, f"source string, part int, local long, doc_ids array<{kind}>, starts array<{kind}>, tokens binary")
 
 
 def _numbered(blocks: DataFrame) -> tuple[DataFrame, dict[str, int]]:
@@ -215,6 +218,6 @@ def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, temp
     # The planner takes what is made of a range for small; these sides grow with the corpus.
     per_row = uses.hint("merge").join(blocks.select("source", "block", "starts"), ["source", "block"]).select(F.explode("starts").alias("__dq_id"), "__uses")
     most = per_row.where("__dq_id IS NOT NULL").groupBy("__dq_id").agg(F.max("__uses").alias("__uses"))
-    rows = with_row(docs, __dq_id=id_col).withColumn("__dq_id", F.col("__dq_id").cast("long")).join(most.hint("merge"), "__dq_id", "left")
+    rows = with_row(docs, __dq_id=id_col).join(most.hint("merge"), "__dq_id", "left")
     copies = F.expr("CASE WHEN __dq_id IS NULL THEN array(1) WHEN __uses IS NULL THEN array() ELSE sequence(1, __uses) END")
     return rows_back(rows.withColumn("__copy", F.explode(copies)), docs.columns)

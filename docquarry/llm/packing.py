@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import cut, fields, maybe_broadcast, parallelism, slices
-from .tokens import DEFAULT_VOCAB, bpe
+from .tokens import DEFAULT_VOCAB, TEXT_BYTES, bpe
 
 CAPACITY = 2048
 
@@ -86,9 +86,8 @@ def piece_lengths(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe(vocab)
-        for batch in slices(batches):
-            counts = [encode.count(t) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["__id", "__tokens"])
+        for batch in slices(batches, 1024, TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encode.counts(batch.column(1)), pa.int64())], names=["__id", "__tokens"])
 
     rows = fields(docs, __id=id_col, __text=text_col).withColumn("__text", F.col("__text").cast("string"))
     return rows.mapInArrow(count, f"__id {rows.schema[0].dataType.simpleString()}, __tokens long").where("__tokens > 0")

@@ -17,8 +17,11 @@ and resolves carries at the end.
 The encoder works on many blocks at once, one lane each: what depends on the past alone is
 found by sorting, and the mixer and the coder go through the blocks side by side.
 
-Defined cases: a NULL text isn't coded; an empty text is one end-of-text id; a NULL id is kept
-in doc_ids; repeated rows are coded one by one; an empty table gives no blocks.
+Defined cases: a NULL text isn't coded; an empty text is one end-of-text id; a very long text
+goes on through as many blocks as it needs; a NULL id is kept in doc_ids, and ids may be of any
+type; repeated rows are coded one by one, and where several ids in a block are as likely, the
+order of their first places decides; an empty table gives no blocks; the id and text columns are
+picked by exact name, and other columns, of any name, take no part.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._util import fields, slices
-from .tokens import DEFAULT_VOCAB, END_OF_TEXT, bpe
+from .tokens import DEFAULT_VOCAB, TEXT_BYTES, TokenStream, bpe, closed
 
 BLOCK = 2048
 CHUNK = 128
@@ -42,9 +45,8 @@ LANES = 1024
 _PLACE = BLOCK.bit_length() - 1
 _HASH2 = 2_654_435_761
 _WEIGHT, _RATE = 22_000, 6
-
-SCHEMA = "part int, block long, n_tokens int, crc32 long, payload binary, doc_ids array<long>, starts array<int>, from_token array<int>"
-
+#: Weights stay within this, so that sums of their products fit 32 bits.
+_MOST = 1 << 18
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """squash[x + 2048]: 12-bit probability of a logit x / 256; stretch: its inverse."""
@@ -58,137 +60,186 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 SQUASH, STRETCH = _tables()
+_SQUASH, _STRETCH = SQUASH.astype(np.int32), STRETCH.astype(np.int32)
 #: Slots of the three predictions' tables: order 2, order 1, order 0.
 _SLOTS = (0, 8, 24, 32)
 
 
-def _history(ids: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every place: the last place with the same context (-1: none), how many there were
-    (3 at most), and whether that one's own candidate was right. Contexts are under 2**21."""
-    lanes, n = ids.shape
-    places = np.arange(n, dtype=np.uint32)
-    keys = np.sort(context.astype(np.uint32) << np.uint32(_PLACE) | places, axis=1)
-    at = (keys & np.uint32(BLOCK - 1)).astype(np.int32)
-    same = np.zeros(keys.shape, bool)
-    same[:, 1:] = keys[:, 1:] >> np.uint32(_PLACE) == keys[:, :-1] >> np.uint32(_PLACE)
-    before = np.full(keys.shape, -1, np.int32)
-    before[:, 1:][same[:, 1:]] = at[:, :-1][same[:, 1:]]
-    count = same.astype(np.int8)
-    count[:, 1:] += (same[:, 1:] & same[:, :-1]).astype(np.int8)
-    count[:, 2:] += (same[:, 2:] & same[:, 1:-1] & same[:, :-2]).astype(np.int8)
-    last, seen = np.empty_like(before), np.empty_like(count)
-    np.put_along_axis(last, at, before, axis=1)
-    np.put_along_axis(seen, at, count, axis=1)
-    right = (last >= 0) & (np.take_along_axis(ids, np.maximum(last, 0), axis=1) == ids)
-    did = (last >= 0) & np.take_along_axis(right, np.maximum(last, 0), axis=1)
-    return last, seen, did
-
-
-def _dense(ids: np.ndarray) -> np.ndarray:
-    """Ids renumbered in the order in which they first occur in their lane."""
-    last, _, _ = _history(ids, ids)
-    first = last < 0
-    number = np.cumsum(first, axis=1, dtype=np.int32) - 1
-    root = np.where(first, np.arange(ids.shape[1], dtype=np.int32), last)
-    while True:
-        further = np.take_along_axis(root, root, axis=1)
-        if np.array_equal(further, root):
-            return np.take_along_axis(number, root, axis=1)
-        root = further
-
-
-def _bucket(count: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(count.astype(np.float32))[1], 7)
-
-
-def _mixed(slots: np.ndarray, bits: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """12-bit probabilities of a yes. slots: (time, 3, lanes); bits and active: (time, lanes)."""
-    steps, _, lanes = slots.shape
-    table = np.full(_SLOTS[3] * lanes, 32768, np.int64)
-    weights = np.full((3, lanes), _WEIGHT, np.int64)
-    lane = np.arange(lanes)
-    found = np.empty((steps, lanes), np.int16)
-    for t in range(steps):
-        on = active[t]
-        if not on.any():
-            found[t] = 2048
-            continue
-        at, bit = slots[t] * np.int64(lanes) + lane, bits[t].astype(np.int64)
-        p = table[at]
-        logit = STRETCH[p >> 4]
-        mixed = SQUASH[np.minimum(np.maximum((weights * logit).sum(axis=0) >> 16, -2047), 2047) + 2048]
-        found[t] = mixed
-        error = np.where(on, ((bit << 12) - mixed) * _RATE, 0)
-        weights += (logit * error + 0x2000) >> 14
-        table[at] = p + np.where(on, ((bit << 16) - bit - p) >> 4, 0)
+_BUCKETS = np.minimum(np.frexp(np.arange(BLOCK + 1, dtype=np.float32))[1], 7).astype(np.int32)
+
+
+def _forecasts(known: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """What the place before with the same context foretells, places in the order of contexts.
+
+    known: id | number << 16 of every place. Gives, packed: that place's id (16 bits) and number
+    (11), how many such places there were (2, 3 at most), and whether its own forecast was right.
+    No such places: no forecast."""
+    found = np.zeros_like(known)
+    found[:, 1:] = known[:, :-1]
+    right = same & ((found ^ known) & 0xFFFF == 0)
+    seen = same.astype(np.int32)
+    seen[:, 1:] += same[:, 1:] & same[:, :-1]
+    seen[:, 2:] += same[:, 2:] & same[:, 1:-1] & same[:, :-2]
+    found |= seen << 27
+    found[:, 1:] |= right[:, :-1].astype(np.int32) << 29
+    found *= same
     return found
 
 
+#: Fields of _Group.state, by their lowest bit: slots of order 2 and order 1, buckets of both
+#: guesses' counts, then whether each decision is made, and whether order 2 and order 1 are right.
+_SECOND, _OF2, _OF1, _ASK2, _HIT2, _ASK1, _HIT1, _ASK0, _RAW = 3, 7, 10, 13, 14, 15, 16, 17, 18
+
+
 class _Group(NamedTuple):
-    """What the coder needs of some lanes; all arrays are (lanes, places)."""
-
-    slots: tuple[np.ndarray, np.ndarray]  # (places, 3, lanes) for order 2 and order 1
-    hits: tuple[np.ndarray, np.ndarray]
-    asks: tuple[np.ndarray, np.ndarray]
-    plain: tuple[np.ndarray, np.ndarray, np.ndarray]  # order 0: low, size, total
-    ask0: np.ndarray
-    raw: np.ndarray
+    """What the coder needs of some lanes; all arrays are (places, lanes), total is (chunks, lanes)."""
+
+    state: np.ndarray
+    plain: np.ndarray  # order 0: low | size << 16
+    total: np.ndarray
     ids: np.ndarray
 
 
 def _examine(blocks: list[np.ndarray], n: int) -> _Group:
-    lengths = np.array([len(b) for b in blocks])
     lanes = len(blocks)
-    ids = np.zeros((lanes, n), np.int32)
+    lengths = np.array([len(b) for b in blocks])
+    # A last column for what would follow the last place.
+    ids = np.zeros((lanes, n + 1), np.int32)
     for i, b in enumerate(blocks):
         ids[i, : len(b)] = b
-    there = np.arange(n, dtype=np.int32) < lengths[:, None]
-
-    # Places without a full context get the context after the last one.
-    context1 = np.full((lanes, n), 1 << 16, np.uint32)
-    context1[:, 1:] = ids[:, :-1]
-    context2 = np.full((lanes, n), 1 << 20, np.uint32)
-    context2[:, 2:] = ((ids[:, :-2].astype(np.int64) << 16 | ids[:, 1:-1]) * _HASH2 >> 12) & 0xFFFFF
-    last1, seen1, did1 = _history(ids, context1)
-    last2, seen2, did2 = _history(ids, context2)
-    seen1[:, :1] = 0
-    seen2[:, :2] = 0
-    dense = _dense(ids)
-    has1, has2 = seen1 > 0, seen2 > 0
-    place1, place2 = np.maximum(last1, 0), np.maximum(last2, 0)
-    guess1, guess2 = (np.take_along_axis(ids, p, axis=1) for p in (place1, place2))
-    agree = has1 & has2 & (guess1 == guess2)
-    number1, number2 = (np.take_along_axis(dense, p, axis=1) for p in (place1, place2))
+    rows = np.arange(lanes, dtype=np.int64)[:, None] * (n + 1)
+    places = np.arange(n, dtype=np.uint32)
+
+    def ordered(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the order of their contexts, and which share theirs with the place before."""
+        keys = context << np.uint32(_PLACE)
+        keys |= places
+        keys.sort(axis=1)
+        same = np.zeros(keys.shape, bool)
+        same[:, 1:] = (keys[:, 1:] ^ keys[:, :-1]) < BLOCK
+        return (keys & np.uint32(BLOCK - 1)).astype(np.int64), same
+
+    # Ids are numbered in the order in which they first occur in their lane.
+    at, same = ordered(ids[:, :n].astype(np.uint32))
+    flat = at + rows
+    index = np.arange(n, dtype=np.int32)
+    head = np.maximum.accumulate(np.where(same, 0, index), axis=1)
+    first = np.zeros((lanes, n + 1), bool)
+    first.ravel()[flat[~same]] = True
+    distinct = np.cumsum(first, axis=1, dtype=np.int32)
+    number = distinct.ravel()[flat.ravel()[(head + index[:1] + np.arange(lanes, dtype=np.int64)[:, None] * n)]] - 1
+    of_id = np.zeros((lanes, n + 1), np.int32)
+    of_id.ravel()[flat] = number | (index - head) << 16
+    dense, times = of_id[:, :n] & 0xFFFF, (of_id[:, :n] >> 16) + 1
+
+    # Order 1: the contexts are the ids, each for the place after its own.
+    known = ids | (of_id & 0xFFFF) << 16
+    one, two = np.zeros((lanes, n + 1), np.int32), np.zeros((lanes, n + 1), np.int32)
+    flat += 1
+    one.ravel()[flat] = _forecasts(known.ravel()[flat], same)
+    # Order 2: places without a full context get the context after the last one.
+    context = np.full((lanes, n), 1 << 20, np.uint32)
+    context[:, 2:] = ((ids[:, : n - 2].astype(np.int64) << 16 | ids[:, 1 : n - 1]) * _HASH2 >> 12) & 0xFFFFF
+    at, same = ordered(context)
+    flat = at + rows
+    two.ravel()[flat] = _forecasts(known.ravel()[flat], same)
+    two[:, :2] = 0
+    one, two = one[:, :n], two[:, :n]
 
     # Order 0: counts as they stood when the chunk began.
-    counts = np.zeros((lanes, n + 1), np.int32)
-    low, size, total = np.empty_like(ids), np.empty_like(ids), np.empty_like(ids)
-    of1, of2 = np.empty_like(ids), np.empty_like(ids)
-    rows = np.arange(lanes, dtype=np.int32)[:, None] * (n + 1)
-    for at in range(0, n, CHUNK):
-        upto = slice(at, min(at + CHUNK, n))
-        own = dense[:, upto] + rows
-        freq = counts.ravel()[own]
-        escape = np.maximum(1, np.count_nonzero(counts, axis=1)).astype(np.int32)[:, None]
-        sums = np.cumsum(counts, axis=1, dtype=np.int32).ravel()[own]
-        low[:, upto] = np.where(freq > 0, sums - freq, at)
-        size[:, upto] = np.where(freq > 0, freq, escape)
-        total[:, upto] = at + escape
-        of1[:, upto], of2[:, upto] = counts.ravel()[number1[:, upto] + rows], counts.ravel()[number2[:, upto] + rows]
-        size[:, upto][freq == 0] *= -1
-        counts += np.bincount(own.ravel(), minlength=lanes * (n + 1)).reshape(lanes, n + 1)
-    known = size > 0
-    size = np.abs(size)
-
-    hit2 = has2 & (guess2 == ids)
-    ask2 = has2 & there
-    ask1 = has1 & ~hit2 & ~agree & there
-    hit1 = ask1 & (guess1 == ids)
-    rest = there & ~(hit2 & ask2) & ~hit1
-    first = np.ascontiguousarray((np.minimum(seen2, 3) * 2 + did2).astype(np.int8).T)
-    second = np.ascontiguousarray((_SLOTS[1] + np.minimum(seen1, 3) * 2 + did1 + 8 * agree).astype(np.int8).T)
-    slots = tuple(np.stack([first, second, np.ascontiguousarray((_SLOTS[2] + _bucket(c)).astype(np.int8).T)], axis=1) for c in (of2, of1))
-    return _Group(slots, (hit2, hit1), (ask2, ask1), (low, size, total), rest & (np.arange(n) >= CHUNK), rest & ~known, ids)
+    counts = np.zeros((lanes, n), np.int32)
+    plain, buckets = np.zeros((lanes, n), np.int32), np.zeros((lanes, n), np.int32)
+    total = np.ones((-(-n // CHUNK), lanes), np.int32)
+    new = np.ones((lanes, n), bool)
+    lane = np.arange(lanes, dtype=np.int64)[:, None] * n
+    for start in range(0, n, CHUNK):
+        upto = slice(start, min(start + CHUNK, n))
+        mine = dense[:, upto]
+        own = mine + lane
+        if start:
+            escape = distinct[:, start - 1 : start]
+            most = int(escape.max())
+            freq = counts.ravel()[own]
+            sums = np.zeros((lanes, most + 1), np.int32)
+            np.cumsum(counts[:, :most], axis=1, out=sums[:, 1:])
+            below = sums.ravel()[np.minimum(mine, most) + np.arange(lanes, dtype=np.int64)[:, None] * (most + 1)]
+            new[:, upto] = freq == 0
+            plain[:, upto] = np.where(freq > 0, below | freq << 16, start | escape << 16)
+            total[start // CHUNK] = start + escape[:, 0]
+            of1, of2 = (counts.ravel()[(f[:, upto] >> 16 & BLOCK - 1) + lane] for f in (one, two))
+            buckets[:, upto] = _BUCKETS[of2] << _OF2 | _BUCKETS[of1] << _OF1
+        counts.ravel()[own] = times[:, upto]
+
+    there = index < lengths[:, None]
+    own = ids[:, :n]
+    has1, has2 = one >= 1 << 27, two >= 1 << 27
+    agree = has1 & has2 & ((one ^ two) & 0xFFFF == 0)
+    ask2, hit2 = has2 & there, has2 & ((two ^ own) & 0xFFFF == 0)
+    ask1 = has1 & there & ~hit2 & ~agree
+    hit1 = ask1 & ((one ^ own) & 0xFFFF == 0)
+    rest = there & ~hit2 & ~hit1
+    state = buckets
+    state |= (two >> 27 & 3) << 1 | two >> 29
+    state |= ((one >> 27 & 3) << 1 | one >> 29) << _SECOND
+    for flag, place in ((agree, _SECOND + 3), (ask2, _ASK2), (hit2 & ask2, _HIT2), (ask1, _ASK1), (hit1, _HIT1), (rest & (index >= CHUNK), _ASK0), (rest & new, _RAW)):
+        state |= flag.astype(np.int32) << place
+    return _Group(*(np.ascontiguousarray(x.T) for x in (state, plain)), total, np.ascontiguousarray(own.T))
+
+
+def _mixed(state: np.ndarray) -> np.ndarray:
+    """12-bit probabilities (places, 2, lanes) that order 2 and order 1 are right."""
+    places, lanes = state.shape
+    # One table a lane and order, and in it the slots of three predictions.
+    table = np.full(2 * _SLOTS[3] * lanes, 32768, np.int32)
+    weights = np.full((2, 3, lanes), _WEIGHT, np.int32)
+    lane = np.arange(lanes, dtype=np.int32) + np.array([0, _SLOTS[3] * lanes], np.int32)[:, None]
+    found = np.empty((places, 2, lanes), np.int16)
+    at = np.empty((2, 3, lanes), np.intp)
+    p, logit, step = (np.empty((2, 3, lanes), np.int32) for _ in range(3))
+    x = np.empty((2, lanes), np.int32)
+    for begin in range(0, places, 64):
+        some = state[begin : begin + 64]
+        slots = np.empty((len(some), 2, 3, lanes), np.int32)
+        slots[:, :, 0] = (some & 7)[:, None]
+        slots[:, :, 1] = (_SLOTS[1] + (some >> _SECOND & 15))[:, None]
+        slots[:, 0, 2] = _SLOTS[2] + (some >> _OF2 & 7)
+        slots[:, 1, 2] = _SLOTS[2] + (some >> _OF1 & 7)
+        slots *= lanes
+        slots += lane[:, None]
+        on = np.stack([some >> _ASK2 & 1, some >> _ASK1 & 1], axis=1)
+        bit = np.stack([some >> _HIT2 & 1, some >> _HIT1 & 1], axis=1)
+        aim, gain, goal = bit << 12, on * _RATE, (bit << 16) - bit
+        active = on.any(axis=(1, 2))
+        for t in range(len(some)):
+            if not active[t]:
+                found[begin + t] = 2048
+                continue
+            at[...] = slots[t]
+            np.take(table, at, out=p, mode="clip")
+            np.right_shift(p, 4, out=step)
+            np.take(_STRETCH, step, out=logit, mode="clip")
+            np.multiply(weights, logit, out=step)
+            np.add(step[:, 0], step[:, 1], out=x)
+            x += step[:, 2]
+            x >>= 16
+            x += 2048
+            np.maximum(x, 1, out=x)
+            np.minimum(x, 4095, out=x)
+            mixed = _SQUASH[x]
+            found[begin + t] = mixed
+            error = (aim[t] - mixed) * gain[t]
+            np.multiply(logit, error[:, None], out=step)
+            step += 0x2000
+            step >>= 14
+            weights += step
+            np.minimum(weights, _MOST, out=weights)
+            np.maximum(weights, -_MOST, out=weights)
+            np.subtract(goal[t][:, None], p, out=step)
+            step >>= 4
+            step *= on[t][:, None]
+            p += step
+            table[at] = p
+    return found
 
 
 def encode_blocks(blocks: list[np.ndarray], group: int = 128) -> list[bytes]:
@@ -197,57 +248,75 @@ def encode_blocks(blocks: list[np.ndarray], group: int = 128) -> list[bytes]:
     if not n:
         return [b""] * lanes
     groups = [_examine(blocks[i : i + group], n) for i in range(0, lanes, group)]
-    yes = [_mixed(*(np.concatenate(parts, axis=-1) for parts in ([g.slots[k] for g in groups], [g.hits[k].T for g in groups], [g.asks[k].T for g in groups]))) for k in (0, 1)]
-
-    made = []
-    for i, g in enumerate(groups):
-        own = slice(i * group, i * group + len(g.ids))
-        present = np.stack([*g.asks, g.ask0, g.raw], axis=2)
-        event = np.cumsum(present.reshape(len(g.ids), -1), axis=1, dtype=np.int32)
-        lows, sizes, totals = (np.empty(present.shape, np.int32) for _ in range(3))
-        for k in (0, 1):
-            p = yes[k][:, own].T
-            lows[:, :, k] = np.where(g.hits[k], 0, p)
-            sizes[:, :, k] = np.where(g.hits[k], p, 4096 - p)
-            totals[:, :, k] = 4096
-        lows[:, :, 2], sizes[:, :, 2], totals[:, :, 2] = g.plain
-        lows[:, :, 3], sizes[:, :, 3], totals[:, :, 3] = g.ids, 1, 1 << 16
-        lane = np.repeat(np.arange(own.start, own.stop, dtype=np.int32), event[:, -1])
-        made.append(((event.reshape(present.shape)[present] - 1) * np.int32(lanes) + lane, lows[present], sizes[present], totals[present], int(event[:, -1].max())))
-    most = max(m[4] for m in made)
-    events = [np.full(most * lanes, fill, np.int32) for fill in (0, 1, 1)]
-    for at, *values, _ in made:
-        for out, value in zip(events, values):
-            out[at] = value
-    return _range_code(*(e.reshape(most, lanes) for e in events))
-
-
-def _range_code(lows: np.ndarray, sizes: np.ndarray, totals: np.ndarray) -> list[bytes]:
-    """Code events (time, lanes); an event of size 1 of 1 changes nothing."""
-    most, lanes = lows.shape
-    digits = np.zeros((lanes, most + 3), np.int64)
-    filled = np.zeros(lanes, np.int64)
-    lane = np.arange(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 32) - 1, np.uint64)
-    sixteen, bottom, mask = np.uint64(16), np.uint64(1 << 16), np.uint64(0xFFFF)
-    for t in range(most):
-        total = totals[t].astype(np.uint64)
-        part = span // total
-        low += part * lows[t].astype(np.uint64)
-        span = np.where(total == 1, span, part * sizes[t].astype(np.uint64))
-        short = span < bottom
-        digits[lane, filled] = low >> sixteen
-        filled += short
-        low = np.where(short, (low & mask) << sixteen, low)
-        span = np.where(short, span << sixteen, span)
-    digits[lane, filled] = low >> sixteen
-    digits[lane, filled + 1] = low & mask
+    state, plain, total, ids = (np.concatenate(parts, axis=1) for parts in zip(*groups))
+    del groups
+    return _range_code(state, _mixed(state), plain, total, ids)
+
+
+def _events(state: np.ndarray, yes: np.ndarray, plain: np.ndarray, total: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(low, size, total) of the four decisions at some places of one chunk, and which are made
+    in any lane; a decision that isn't made is one of size 1 of 1."""
+    shape = (len(state), 4, state.shape[1])
+    lows, sizes, totals = np.zeros(shape), np.ones(shape), np.ones(shape)
+    made = np.empty((len(state), 4), bool)
+    for k, (ask, hit) in enumerate(((_ASK2, _HIT2), (_ASK1, _HIT1))):
+        asked, right, p = (state >> ask & 1).astype(bool), (state >> hit & 1).astype(bool), yes[:, k]
+        made[:, k] = asked.any(axis=1)
+        np.copyto(lows[:, k], p, where=asked & ~right)
+        np.copyto(sizes[:, k], np.where(right, p, 4096 - p), where=asked)
+        np.copyto(totals[:, k], 4096, where=asked)
+    asked = (state >> _ASK0 & 1).astype(bool)
+    made[:, 2] = asked.any(axis=1)
+    np.copyto(lows[:, 2], plain & 0xFFFF, where=asked)
+    np.copyto(sizes[:, 2], plain >> 16, where=asked)
+    np.copyto(totals[:, 2], total, where=asked)
+    asked = (state >> _RAW & 1).astype(bool)
+    made[:, 3] = asked.any(axis=1)
+    np.copyto(lows[:, 3], ids, where=asked)
+    np.copyto(totals[:, 3], 1 << 16, where=asked)
+    return lows, sizes, totals, made
+
+
+def _range_code(state: np.ndarray, yes: np.ndarray, plain: np.ndarray, total: np.ndarray, ids: np.ndarray) -> list[bytes]:
+    """Code all lanes side by side. Integers are held in doubles: they stay under 2**53, and a
+    quotient of a 32-bit by a 17-bit integer is never rounded up to the next one."""
+    places, lanes = state.shape
+    # Sixteen bits come out at most once a decision.
+    flags = state >> _ASK2
+    most = int(max(((flags & 1) + (flags >> 2 & 1) + (flags >> 4 & 1) + (flags >> 5 & 1)).sum(axis=0, dtype=np.int64).max(), 0)) + 3
+    digits = np.zeros((most, lanes))
+    out = digits.ravel()
+    at = np.arange(lanes, dtype=np.intp)
+    low, span = np.zeros(lanes), np.full(lanes, float((1 << 32) - 1))
+    part, short = np.empty(lanes), np.empty(lanes, bool)
+    for begin in range(0, places, 64):
+        some = slice(begin, min(begin + 64, places))
+        lows, sizes, totals, made = _events(state[some], yes[some], plain[some], total[begin // CHUNK], ids[some])
+        for t, k in np.argwhere(made).tolist():
+            np.divide(span, totals[t, k], out=part)
+            np.floor(part, out=part)
+            np.multiply(part, sizes[t, k], out=span)
+            part *= lows[t, k]
+            low += part
+            # The lanes whose span is short give out the upper half of low.
+            i = np.less(span, 65536.0, out=short).nonzero()[0]
+            if len(i):
+                mine, place = low[i], at[i]
+                high = np.floor(mine * (1 / 65536))
+                out[place] = high
+                low[i] = (mine - high * 65536.0) * 65536.0
+                span[i] *= 65536.0
+                at[i] = place + lanes
+    filled = at // lanes
+    out[at] = np.floor(low / 65536)
+    out[at + lanes] = low % 65536
     filled += 2
-    digits[np.arange(digits.shape[1]) >= filled[:, None]] = 0
-    for k in range(digits.shape[1] - 1, 0, -1):
-        digits[:, k - 1] += digits[:, k] >> 16
-        digits[:, k] &= 0xFFFF
-    coded = digits.astype(">u2")
+    whole = np.ascontiguousarray(digits.T).astype(np.int64)
+    whole[np.arange(most) >= filled[:, None]] = 0
+    for k in range(most - 1, 0, -1):
+        whole[:, k - 1] += whole[:, k] >> 16
+        whole[:, k] &= 0xFFFF
+    coded = whole.astype(">u2")
     return [coded[i, : filled[i]].tobytes() for i in range(lanes)]
 
 
@@ -265,7 +334,7 @@ class _Mixer:
 
     def learn(self, bit: int) -> None:
         error = ((bit << 12) - self.p) * _RATE
-        self.weights = [w + ((g * error + 0x2000) >> 14) for w, g in zip(self.weights, self.logits)]
+        self.weights = [max(-_MOST, min(_MOST, w + ((g * error + 0x2000) >> 14))) for w, g in zip(self.weights, self.logits)]
         for s in self.slots:
             self.table[s] += ((bit << 16) - bit - self.table[s]) >> 4
 
@@ -345,66 +414,54 @@ def decode_block(payload: bytes, n: int, crc: int | None = None) -> np.ndarray:
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = DEFAULT_VOCAB) -> DataFrame:
     """Blocks of the corpus. doc_ids[i] has ids in the block from place starts[i] on; the first
     of them is the document's from_token[i]-th."""
-    end = np.array([END_OF_TEXT], "<u2").tobytes()
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-    names = [part.split()[0] for part in SCHEMA.split(", ")]
+    rows = fields(docs, __id=id_col, __text=text_col).select("__id", F.col("__text").cast("string"))
+    kind = rows.schema[0].dataType.simpleString()
+    names = ["part", "block", "n_tokens", "crc32", "payload", "doc_ids", "starts", "from_token"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, part = bpe(vocab), TaskContext.get().partitionId()
-        waiting: list[np.ndarray] = []
-        meta: list[tuple[list, list, list]] = []
-        done = 0
+        stream, done = TokenStream(), 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(size: int) -> pa.RecordBatch:
             nonlocal done
-            payloads = encode_blocks(waiting)
-            rows = [(part, done + i, len(ids), zlib.crc32(p), p, *m) for i, (ids, p, m) in enumerate(zip(waiting, payloads, meta))]
-            done += len(rows)
-            waiting.clear()
-            meta.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-        buffer, pieces = bytearray(), ([], [], [])
-        size = 2 * BLOCK
-        for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text is None:
-                    continue
-                coded, taken = encoder.ids(text) + end, 0
-                while taken < len(coded):
-                    for column, x in zip(pieces, (doc, len(buffer) // 2, taken // 2)):
-                        column.append(x)
-                    more = coded[taken : taken + size - len(buffer)]
-                    buffer += more
-                    taken += len(more)
-                    if len(buffer) == size:
-                        waiting.append(np.frombuffer(bytes(buffer), "<u2"))
-                        meta.append(pieces)
-                        buffer, pieces = bytearray(), ([], [], [])
-                        if len(waiting) == LANES:
-                            yield flush()
-        if buffer:
-            waiting.append(np.frombuffer(bytes(buffer), "<u2"))
-            meta.append(pieces)
-        if waiting:
-            yield flush()
-
-    return fields(docs, __id=id_col, __text=text_col).select(F.col("__id").cast("long"), F.col("__text").cast("string")).mapInArrow(encode, SCHEMA)
+            cut = stream.cut(size, BLOCK)
+            payloads, lists = encode_blocks(cut.blocks), pa.array(cut.lists)
+            done += len(payloads)
+            columns = [
+                pa.array(np.full(len(payloads), part, np.int32)),
+                pa.array(np.arange(done - len(payloads), done)),
+                pa.array(np.array(list(map(len, cut.blocks)), np.int32)),
+                pa.array([zlib.crc32(p) for p in payloads], pa.int64()),
+                pa.array(payloads, pa.binary()),
+                *(pa.ListArray.from_arrays(lists, values) for values in (cut.names, pa.array(cut.starts), pa.array(cut.taken))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in slices(batches, 1024, TEXT_BYTES):
+            batch = batch.filter(batch.column(1).is_valid())
+            if batch.num_rows:
+                stream.add(*closed(*encoder.batch(batch.column(1))), batch.column(0))
+            while len(stream) >= LANES * BLOCK:
+                yield flush(LANES * BLOCK)
+        while len(stream):
+            yield flush(min(len(stream), LANES * BLOCK))
+
+    return rows.mapInArrow(encode, f"part int, block long, n_tokens int, crc32 long, payload binary, doc_ids array<{kind}>, starts array<int>, from_token array<long>")
 
 
 def decode_corpus(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, from_token, ids): the ids that a document has in each block, the end-of-text id last."""
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                ids = decode_block(row["payload"], row["n_tokens"], row["crc32"])
-                for doc, low, high, first in zip(row["doc_ids"], row["starts"], [*row["starts"][1:], len(ids)], row["from_token"]):
-                    rows.append((doc, first, ids[low:high].tolist()))
-            columns = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int32()))], names=[id_col, "from_token", "ids"])
-
-    return blocks.mapInArrow(decode, f"`{id_col}` long, from_token int, ids array<int>")
+            held = {c: batch.column(batch.schema.get_field_index(c)) for c in ("payload", "n_tokens", "crc32", "doc_ids", "starts", "from_token")}
+            for i in range(batch.num_rows):
+                ids = decode_block(held["payload"][i].as_py(), held["n_tokens"][i].as_py(), held["crc32"][i].as_py())
+                starts = np.array(held["starts"][i].as_py(), np.int32)
+                parts = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([held["doc_ids"][i].values, pa.array(held["from_token"][i].as_py(), pa.int64()), parts], names=[id_col, "from_token", "ids"])
+
+    return blocks.mapInArrow(decode, f"`{id_col}` {kind}, from_token long, ids array<int>")
