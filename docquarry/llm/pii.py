@@ -24,7 +24,9 @@ Spans never overlap: the earlier start wins, then the longer span, then a kind t
 over an account that was only cued, then the kind's name.
 
 Defined cases: NULL and empty texts give no rows; rows that repeat are reported one by one;
-a NULL id is carried along; an empty table gives no rows. Whole texts are searched.
+a NULL id is carried along, and ids may be of any type; an empty table gives no rows. Whole texts
+are searched, of whatever length. The two columns are picked by exact name, and other columns, of
+any name, take no part.
 """
 
 from __future__ import annotations
@@ -46,9 +48,10 @@ _HOST = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ012345678
 _HEX = frozenset("0123456789abcdefABCDEF:.")
 _DIGITS = frozenset("0123456789")
 _URL_END = frozenset("\"'<>`{}|\\^")
-_AFTER_CUE = re.compile(r"(?:[ \t]*(?:no|nr|num|number|id|#)\b\.?)?[ \t]*[:#=]?[ \t]*([A-Za-z0-9](?:[A-Za-z0-9]|[ -](?=[A-Za-z0-9]*\d)){4,33})", re.IGNORECASE)
-#: Parts between blanks that a card may have at most.
+_AFTER_CUE = re.compile(r"(?:[ \t]*+(?:no|nr|num|number|id|#)\b\.?)?[ \t]*+[:#=]?[ \t]*+([A-Za-z0-9](?:[A-Za-z0-9]|[ -](?=[A-Za-z0-9]*\d)){4,33})", re.IGNORECASE)
+#: Parts between blanks that a card may have at most, and more characters than one has.
 PIECES = 5
+WIDEST = 40
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
 
 Span = tuple[int, int, str]
@@ -105,25 +108,31 @@ def _email(text: str, at: int) -> Span | None:
 
 
 def _url(text: str, start: int, after: int) -> Span | None:
+    if not text[after : after + 1].isalnum():
+        return None
     end = after
     while end < len(text) and not text[end].isspace() and text[end] not in _URL_END:
         end += 1
+    counts = {c: text.count(c, after, end) for c in "()[]"}
     while end > after:
         last = text[end - 1]
         open_ = {")": "(", "]": "["}.get(last)
-        if last not in ".,;:!?'*" and not (open_ and text.count(open_, after, end) < text.count(last, after, end)):
+        if last not in ".,;:!?'*" and not (open_ and counts[open_] < counts[last]):
             break
+        if open_:
+            counts[last] -= 1
         end -= 1
-    return (start, end, "url") if end > after and text[after].isalnum() else None
+    return start, end, "url"
 
 
-def _scheme(text: str, at: int) -> Span | None:
+def _scheme(text: str, at: int) -> tuple[int, int] | None:
+    """Where the URL with its "://" at at begins, and where its scheme has ended."""
     start = at
     while start > 0 and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+-."):
         start -= 1
     while start < at and not text[start].isalpha():
         start += 1
-    return _url(text, start, at + 3) if at - start >= 2 else None
+    return (start, at + 3) if at - start >= 2 else None
 
 
 def _ipv4(text: str, at: int) -> Span | None:
@@ -141,11 +150,11 @@ def _ipv4(text: str, at: int) -> Span | None:
     return start, end, "ipv4"
 
 
-def _ipv6(text: str, at: int) -> Span | None:
-    start, end = _reach(text, at, -1, _HEX), _reach(text, at, 1, _HEX) + 1
+def _ipv6(text: str, start: int, end: int) -> Span | None:
+    """The address that all hexadecimal digits, colons and dots of text[start:end] are, but for the last dots."""
     while end > start and (text[end - 1] == "." or text[end - 1] == ":" and text[end - 2 : end] != "::"):
         end -= 1
-    if end - start < 4 or text.count(":", start, end) < 2 or start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum():
+    if not 4 <= end - start <= 45 or text.count(":", start, end) < 2 or start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum():
         return None
     try:
         ipaddress.IPv6Address(text[start:end])
@@ -162,12 +171,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _digit_run(text: str, at: int, extra: str) -> tuple[int, int]:
-    """Digits around at, with single characters of extra between digits."""
-    start, end, n = at, at + 1, len(text)
-    while start > 0 and (text[start - 1] in _DIGITS or start > 1 and text[start - 1] in extra and text[start - 2] in _DIGITS):
+def _digit_run(text: str, at: int, extra: str, widest: int | None = None) -> tuple[int, int]:
+    """Digits around at, with single characters of extra between digits, at most so many on either side."""
+    start, end = at, at + 1
+    least, n = (0, len(text)) if widest is None else (max(0, at - widest), min(len(text), at + widest))
+    while start > least and (text[start - 1] in _DIGITS or start > 1 and text[start - 1] in extra and text[start - 2] in _DIGITS):
         start -= 1
-    while end < n and (text[end] in _DIGITS or end + 1 < n and text[end] in extra and text[end + 1] in _DIGITS):
+    while end < n and (text[end] in _DIGITS or end + 1 < len(text) and text[end] in extra and text[end + 1] in _DIGITS):
         end += 1
     return start, end
 
@@ -177,21 +187,30 @@ def _bounded(text: str, start: int, end: int) -> bool:
     return not (before.isalnum() or before == "_" or after.isalnum() or after == "_")
 
 
-def _numbers(text: str, at: int) -> list[Span]:
-    """Cards, ssns and plain accounts around the digit at at; of several, find_private takes the first."""
+def _numbers(text: str, at: int, run: tuple[int, int] | None = None) -> list[Span]:
+    """Cards, ssns and plain accounts around the digit at at; of several, find_private takes the
+    first. run: the digits around at with single blanks and hyphens, if they are known."""
     start, end = _digit_run(text, at, "")
     if _bounded(text, start, end) and 12 <= end - start <= 19:
         digits = text[start:end]
         return [(start, end, "card" if len(digits) >= 13 and digits[0] in "23456" and luhn(digits) else "account")]
-    start, end = _digit_run(text, at, " -")
+    # What reaches WIDEST is too long for either kind, so the run need not be known beyond it.
+    start, end = (max(run[0], at - WIDEST), min(run[1], at + WIDEST)) if run else _digit_run(text, at, " -", WIDEST)
     first, past = _piece(text, at, start, end)
     starts, ends = [first], [past]
     while len(starts) < PIECES and starts[-1] > start:
         starts.append(_piece(text, starts[-1] - 2, start, end)[0])
     while len(ends) < PIECES and ends[-1] < end:
         ends.append(_piece(text, ends[-1] + 1, start, end)[1])
-    found = [(low, high, _card_or_ssn(text[low:high])) for low in starts for high in ends if _bounded(text, low, high)]
-    return [span for span in found if span[2]]
+    found = []
+    for low in starts:
+        ssn, card = text[low + 3 : low + 4] == "-", text[low] in "23456"
+        if ssn or card:
+            for high in ends:
+                # 11 characters, or 13 to 19 digits with two to four separators.
+                if (ssn and high - low == 11 or card and 15 <= high - low <= 23) and _bounded(text, low, high) and (kind := _card_or_ssn(text[low:high])):
+                    found.append((low, high, kind))
+    return found
 
 
 def _piece(text: str, at: int, start: int, end: int) -> tuple[int, int]:
@@ -218,6 +237,8 @@ def _phone(text: str, at: int) -> Span | None:
             if text[last] in _DIGITS and text[last + 1 : end] == " " and 8 <= digits <= 15:
                 ends.append(last + 1)
             digits, last = digits + 1, end
+            if digits > 15:
+                break
         end += 1
     for end in ends:
         if any(found and found[0] == end + 1 for found in (_ipv4(text, end + 1), *_numbers(text, end + 1))):
@@ -236,7 +257,7 @@ def _iban(text: str, at: int) -> Span | None:
     """An IBAN around the digits at at, the longest whose check sum holds. Of one in groups of
     four the first three digits in a row come after its first five characters."""
     for start in range(max(0, at - 5), at + 1):
-        if start and text[start - 1].isalnum():
+        if not "A" <= text[start] <= "Z" or start and text[start - 1].isalnum():
             continue
         found = _IBAN.match(text, start)
         if found:
@@ -256,38 +277,55 @@ def _cued(text: str, start: int, end: int) -> Span | None:
 
 
 def find_private(text: str) -> list[Span]:
-    """Spans (start, end, kind) in code points, in order."""
-    spans: set[Span] = set()
-    done = run_done = -1
+    """Spans (start, end, kind) in code points, in order. The time is in proportion to the text:
+    a run of digits or of hexadecimal groups is read once, and a URL only where it can count."""
+    spans: set[Span | None] = set()
+    urls: dict[int, list[int]] = {}
+    dots_done = run_done = hex_done = -1
+    run = (0, 0)
     for last, (kind, length) in _automaton().iter(text):
         at = last - length + 1
         if kind == "at":
             spans.add(_email(text, at))
         elif kind == "scheme":
-            spans.add(_scheme(text, at))
+            found = _scheme(text, at)
+            if found:
+                urls.setdefault(found[0], []).append(found[1])
         elif kind == "www":
             if not at or not (text[at - 1].isalnum() or text[at - 1] in "/.@"):
-                spans.add(_url(text, at, at + 4))
+                urls.setdefault(at, []).append(at + 4)
         elif kind == "dots":
-            if at > done:
+            if at > dots_done:
                 spans.add(_ipv4(text, at))
-                done = _reach(text, at, 1, _DIGITS | {"."})
+                dots_done = _reach(text, at, 1, _DIGITS | {"."})
         elif kind == "run":
             if at > run_done:
-                spans.update(_numbers(text, at))
+                if at >= run[1]:
+                    run = _digit_run(text, at, " -")
+                spans.update(_numbers(text, at, run))
                 spans.add(_iban(text, at))
                 run_done = _digit_run(text, at, "")[1] - 1
         elif kind == "hex":
-            spans.add(_ipv6(text, at))
+            if at > hex_done:
+                hex_done = _reach(text, at, 1, _HEX)
+                spans.add(_ipv6(text, _reach(text, at, -1, _HEX), hex_done + 1))
         elif kind == "phone":
             spans.add(_phone(text, at))
         else:
             spans.add(_cued(text, at, last + 1))
     spans.discard(None)
+    by_start: dict[int, list[Span]] = {}
+    for span in spans:
+        by_start.setdefault(span[0], []).append(span)
     kept: list[Span] = []
-    for span in sorted(spans, key=lambda s: (s[0], -s[1], s[2] == "account", s[2])):
-        if not kept or span[0] >= kept[-1][1]:
-            kept.append(span)
+    reached = 0
+    for start in sorted(by_start.keys() | urls.keys()):
+        if start < reached:
+            continue
+        here = by_start.get(start, []) + [u for after in urls.get(start, ()) if (u := _url(text, start, after))]
+        if here:
+            kept.append(min(here, key=lambda s: (-s[1], s[2] == "account", s[2])))
+            reached = kept[-1][1]
     return kept
 
 

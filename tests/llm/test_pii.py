@@ -1,4 +1,8 @@
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from docquarry.llm import pii
 
@@ -68,3 +72,59 @@ BESIDE = [
 @pytest.mark.parametrize("text, expected", BESIDE)
 def test_numbers_beside_numbers(text, expected):
     assert kinds(text) == expected
+
+
+def brute(text):
+    """Every parser at every place, without an automaton and without remembering what was read."""
+    found = set()
+    lower = {form for cue in pii.CUES for form in (cue, cue.upper(), cue.capitalize(), cue.title())}
+    for at in range(len(text)):
+        here = text[at:]
+        if here[0] == "@":
+            found.add(pii._email(text, at))
+        if here.startswith("://") and (begun := pii._scheme(text, at)):
+            found.add(pii._url(text, *begun))
+        if here.startswith("www.") and not (at and (text[at - 1].isalnum() or text[at - 1] in "/.@")):
+            found.add(pii._url(text, at, at + 4))
+        if here[0] in pii._DIGITS:
+            if here[1:2] == "." and here[2:3] in pii._DIGITS and here[2:3]:
+                found.add(pii._ipv4(text, at))
+            if pii.re.match("[0-9](-[0-9]|[0-9]{2})", here):
+                found.update(pii._numbers(text, at))
+                found.add(pii._iban(text, at))
+        if here[0] == ":" and here[1:2] in pii._HEX - {"."} and here[1:2]:
+            found.add(pii._ipv6(text, pii._reach(text, at, -1, pii._HEX), pii._reach(text, at, 1, pii._HEX) + 1))
+        if here[0] == "+" and here[1:2] in pii._DIGITS and here[1:2]:
+            found.add(pii._phone(text, at))
+        for cue in lower:
+            if here.startswith(cue):
+                found.add(pii._cued(text, at, at + len(cue)))
+    kept = []
+    for span in sorted(found - {None}, key=lambda s: (s[0], -s[1], s[2] == "account", s[2])):
+        if not kept or span[0] >= kept[-1][1]:
+            kept.append(span)
+    return kept
+
+
+PARTS = [text for text, _ in CASES + BESIDE] + ["123-", "4111", " ", "-", "1 ", "::", "a:b:", "1.2.", "+49 ", "@", "x@", "http://", "www.", ")", "](", ".", "acct ", "IBAN ", "DE89370400440532013000", "é", "ssn: ", "7"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=9).map("".join))
+def test_spans_equal_brute_force(text):
+    assert pii.find_private(text) == brute(text)
+
+
+LONG = ["123 ", "a:b:", "12-", "1.2.", "+1 826 ", "a@b.c ", "x@", "http://a", "www.a.", "1234", ":1", "acct  ", "DE12 ", "://(", "a.", "account no. : "]
+
+
+@pytest.mark.parametrize("unit", LONG)
+def test_the_time_is_in_proportion_to_the_text(unit):
+    def seconds(n):
+        text = unit * (n // len(unit)) + ")" * (n // 4) + " " * (n // 4) + "!"
+        began = time.process_time()
+        pii.find_private(text)
+        return time.process_time() - began
+
+    small = max(seconds(30_000), 0.02)
+    assert seconds(240_000) < 30 * small
