@@ -1,19 +1,25 @@
-"""Exact top-k inner-product search by norm-bucketed retrieval; every row is a query.
-
-Vectors are put in buckets of like length, the longest first. A first round compares every
-bucket with the longest one and with itself, which gives each query a lower bound theta of its
-k-th product. In the second round a bucket of queries meets only the buckets that can still
-hold an answer: those with some query for which theta / (|q| * longest in bucket), the local
-cosine threshold, is at most 1. There, queries whose local threshold is high use coordinate
-pruning (bounds on the vector's largest coordinates that any vector at that cosine must meet),
-the others length pruning (vectors are sorted by length; those under theta / |q| are left out).
-What remains is verified by its full product in double precision.
-
-Defined cases: NULL ids, NULL or empty vectors and vectors with NULL or non-finite elements
-take no part; only vectors of the same dimension are compared; products are rounded to six
-decimals and ties go to the lesser id; rows that repeat an id are separate vectors, but no row
-is a neighbour of its own id; with fewer than k others a query has fewer rows; zero vectors
-have product 0 with all.
+"""Exact top-k inner-product search by norm-bucketed retrieval.
+
+The queries are the vectors whose id is divisible by `every`; they are searched against all
+vectors. Vectors are put in buckets of like length, the longest first, and queries in blocks of
+like length. A first round compares every block with the longest bucket, which gives each query
+a lower bound theta of its k-th product. In the second round a query goes only to the buckets
+that can still hold an answer: those for which theta / (|q| * longest in bucket), the local cosine
+threshold, is at most 1. There, queries whose local threshold is high use coordinate pruning
+(bounds on the vector's largest coordinates that any vector at that cosine must meet), the
+others length pruning (vectors are sorted by length; those under theta / |q| are left out). What
+remains is verified by its full product in double precision.
+
+A bucket's matrix travels once for every VISITS blocks of queries, and a query's vector once to
+every bucket that it visits; both sizes of a group are bounded, and buckets grow with the table
+up to LARGEST, so that less travels.
+
+Defined cases: ids are integers; NULL ids, NULL or empty vectors and vectors with NULL or
+non-finite elements take no part; vectors may have any number of dimensions, and only those of
+the same are compared; products are rounded to six decimals and ties go to the lesser id; rows
+that repeat an id are separate vectors, but no row is a neighbour of its own id; with fewer than
+k others a query has fewer rows; zero vectors have product 0 with all; an empty table gives no
+rows; the two columns are picked by exact name, and other columns, of any name, take no part.
 """
 
 from __future__ import annotations
@@ -26,10 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import cut, fields, maybe_broadcast, written
+from ._util import BROADCAST_ROWS, cut, fields, maybe_broadcast, parallelism, written
 
 K = 10
-BUCKET = 4096
+#: Every so manieth id is a query.
+EVERY = 50
+#: Vectors of a bucket: 4096, or more where the table is large; queries of a block, and the
+#: blocks that meet a bucket in one task.
+BUCKET, LARGEST = 4096, 32768
+QUERIES, VISITS = 2048, 8
+#: Ranges of lengths at most; larger ranges are split by id.
+RANGES = 10_000
 #: The longest buckets, one for every dimension, are broadcast up to this number.
 MOST_TOPS = 4
 #: From this local cosine threshold on, coordinates prune more than lengths.
@@ -39,7 +52,7 @@ _SLACK = 2e-6
 
 ORACLE = f"""
     WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-    p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_inner_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e))
+    p AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_inner_product(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e))
     SELECT vec_id, neighbour_id, score, CAST(rank AS INTEGER) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id) AS rank FROM p)
     WHERE rank <= {K}
@@ -62,7 +75,7 @@ def coordinate_mask(unit: np.ndarray, others: np.ndarray, threshold: float, focu
 
 def search_bucket(queries: np.ndarray, query_norms: np.ndarray, theta: np.ndarray, vectors: np.ndarray, norms: np.ndarray, coordinate_from: float = COORDINATE_FROM, apart: tuple[np.ndarray, np.ndarray, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, vector, product) of all products of at least theta; norms descending. With apart,
-    the ids of both sides and k, pairs of one id are left out, and of 256 queries at a time no
+    the ids of both sides and k, pairs of one id are left out, and of some queries at a time no
     more is given than what the k-th product in this bucket lets through."""
     longest = float(norms[0])
     reach = query_norms * longest
@@ -83,8 +96,9 @@ def search_bucket(queries: np.ndarray, query_norms: np.ndarray, theta: np.ndarra
     needed = np.divide(theta[rest] - _SLACK, query_norms[rest], out=np.full(len(rest), -np.inf), where=query_norms[rest] > 0)
     lengths = np.searchsorted(-norms, -needed, side="right")
     order = np.argsort(lengths, kind="stable")
-    for i in range(0, len(order), 256):
-        some = rest[order[i : i + 256]]
+    step = max(16, 1_000_000 // max(1, len(vectors)))
+    for i in range(0, len(order), step):
+        some = rest[order[i : i + step]]
         n = int(lengths[order[i : i + 256]].max())
         scores = queries[some] @ vectors[:n].T
         least = theta[some]
@@ -120,22 +134,26 @@ def _searched(own: tuple, theta: np.ndarray, other: tuple, k: int) -> tuple[np.n
     return tuple(np.concatenate([g[i] for g in got]) if got else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
 
 
-def _read(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matrix(ids: bytes, matrix: bytes, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, np.int64)
-    vectors = np.frombuffer(matrix, np.float64).reshape(len(ids), -1)
+    vectors = np.frombuffer(matrix, kind).reshape(len(ids), -1).astype(np.float64)
     return ids, vectors, np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
 
 
-def buckets(vectors: DataFrame, size: int = BUCKET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row a bucket: (dim, bucket, longest, n, ids, matrix), rows by descending length.
+def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
+    """(__id, __e, dim, __norm) of the vectors that take part, and the NumPy kind of their elements."""
+    found = fields(vectors, __id=id_col, __e=vector_col)
+    single = found.schema["__e"].dataType.elementType.simpleString() == "float"
+    rows = found.select(F.col("__id").cast("long"), F.col("__e").cast("array<float>" if single else "array<double>")).where("__id IS NOT NULL AND size(__e) > 0 AND NOT exists(__e, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))")
+    return rows.withColumn("dim", F.size("__e")).withColumn("__norm", F.sqrt(F.aggregate("__e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))), "<f4" if single else "<f8"
 
-    Bounds are quantiles of the length; a range with many equal lengths is split by id.
+
+def buckets(rows: DataFrame, cuts: list[float], size: int) -> DataFrame:
+    """One row a bucket: (dim, bucket, longest, n, ids, matrix), vectors by descending length.
+
+    Bounds are lengths, quantiles of all; a range with many equal lengths is split by id.
     """
-    rows = fields(vectors, __id=id_col, __e=vector_col).select(F.col("__id").cast("long"), F.col("__e").cast("array<double>")).where("__id IS NOT NULL AND size(__e) > 0 AND NOT exists(__e, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))")
-    rows = rows.withColumn("dim", F.size("__e")).withColumn("__norm", F.sqrt(F.aggregate("__e", F.lit(0.0), lambda s, x: s + x * x)))
-    n = rows.count()
-    cuts = sorted(set(rows.approxQuantile("__norm", [i / (-(-n // size)) for i in range(1, -(-n // size))], 0.001))) if n > size else []
-    bounds = vectors.sparkSession.sparkContext.broadcast(np.array(cuts))
+    bounds = rows.sparkSession.sparkContext.broadcast(np.array(cuts))
 
     def place(norms: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in norms:
@@ -152,57 +170,93 @@ def buckets(vectors: DataFrame, size: int = BUCKET, id_col: str = "vec_id", vect
         matrix = group.column("__e").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "rank": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([key[2].as_py()], pa.int32()), "longest": [float(norms.max())], "n": pa.array([len(ids)], pa.int32()), "ids": [ids[order].tobytes()], "matrix": [np.ascontiguousarray(matrix).tobytes()]})
 
-    packed = split.groupBy("dim", "__range", "__part").applyInArrow(pack, "dim int, rank int, part int, longest double, n int, ids binary, matrix binary")
-    # There is one row a bucket here, so a single window is small.
-    return written(packed).withColumn("bucket", F.row_number().over(Window.partitionBy("dim").orderBy("rank", "part")) - 1).drop("rank", "part")
+    packed = written(split.groupBy("dim", "__range", "__part").applyInArrow(pack, "dim int, rank int, part int, longest double, n int, ids binary, matrix binary"))
+    # There is one row a bucket here, and only its three numbers are sorted.
+    numbered = packed.select("dim", "rank", "part", (F.row_number().over(Window.partitionBy("dim").orderBy("rank", "part")) - 1).alias("bucket"))
+    return packed.join(maybe_broadcast(cut(numbered), packed.count()), ["dim", "rank", "part"]).drop("rank", "part")
+
+
+def _results(key: dict, found: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray) -> pa.RecordBatch:
+    """Rows of _FOUND: places of queries in their block, their ids, what was found and its product."""
+    place, neighbour, score = found
+    n = len(place)
+    return pa.RecordBatch.from_arrays([*(pa.array(np.full(n, key[k], np.int32)) for k in ("dim", "block")), pa.array(place.astype(np.int32)), pa.array(own), pa.array(neighbour), pa.array(score)], names=["dim", "block", "place", "query", "found", "score"])
 
 
-def top_k_neighbours(vectors: DataFrame, k: int = K, size: int = BUCKET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, neighbour_id, score, rank) of the k other rows with the greatest products."""
-    packed = buckets(vectors, size, id_col, vector_col)
+_FOUND = "dim int, block int, place int, query long, found long, score double"
+
+
+def top_k_neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, size: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, neighbour_id, score, rank) of the k other rows with the greatest products, for every
+    row whose id is divisible by `every`."""
+    rows, kind = _valid(vectors, id_col, vector_col)
+    spark = vectors.sparkSession
+    n = rows.count()
+    size = size or min(LARGEST, max(BUCKET, n // (4 * parallelism(spark))))
+    parts = min(-(-n // size), RANGES)
+    cuts = rows.approxQuantile("__norm", [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
+    packed = buckets(rows, sorted(set(cuts)), size)
+    # About as many ranges of queries as blocks of them, at quantiles of all vectors.
+    step = max(1, parts // max(1, -(-n // (QUERIES * every))))
+    asked = buckets(rows.where(F.col("__id") % every == 0), sorted(set(cuts[step - 1 :: step])), QUERIES).select("dim", F.col("bucket").alias("block"), "ids", "matrix")
+
     first = packed.where("bucket = 0").select("dim", F.col("ids").alias("top_ids"), F.col("matrix").alias("top_matrix"))
     first = maybe_broadcast(first, first.count(), MOST_TOPS)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                own, top = _read(row["ids"], row["matrix"]), _read(row["top_ids"], row["top_matrix"])
-                nothing = np.full(len(own[0]), -np.inf)
-                query, found, score = _searched(own, nothing, own, k)
-                if row["bucket"]:
-                    more = _searched(own, nothing, top, k)
-                    query, found, score = (np.concatenate(x) for x in zip((query, found, score), more))
-                    kept = best(query, found, score, k)
-                    query, found, score = query[kept], found[kept], score[kept]
-                theta = np.full(len(own[0]), np.inf)
-                np.minimum.at(theta, query, score)
-                theta[np.bincount(query, minlength=len(theta)) < k] = -np.inf
-                # Buckets whose longest vector isn't this long hold no answer for any query here.
-                need = np.divide(theta - _SLACK, own[2], out=np.where(theta <= _SLACK, -np.inf, np.inf), where=own[2] > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([row["dim"]], pa.int32()), pa.array([row["bucket"]], pa.int32()), pa.array([theta.tobytes()]), pa.array([query.tolist()], pa.list_(pa.int32())), pa.array([found.tolist()], pa.list_(pa.int64())), pa.array([score.tolist()], pa.list_(pa.float64())), pa.array([float(need.min())])], names=["dim", "bucket", "theta", "query", "found", "score", "least"])
-
-    begun = cut(packed.repartition("dim", "bucket").join(first, "dim").select("dim", "bucket", "ids", "matrix", "top_ids", "top_matrix").mapInArrow(begin, "dim int, bucket int, theta binary, query array<int>, found array<long>, score array<double>, least double"))
-    early = begun.select("dim", "bucket", F.explode(F.arrays_zip("query", "found", "score")).alias("x")).select("dim", "bucket", "x.query", "x.found", "x.score")
-
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                own, top = _matrix(row["ids"], row["matrix"], kind), _matrix(row["top_ids"], row["top_matrix"], kind)
+                yield _results(row, found := _searched(own, np.full(len(own[0]), -np.inf), top, k), own[0][found[0]])
+
+    early = cut(asked.join(first, "dim").mapInArrow(begin, _FOUND))
+    # The k-th product so far, for queries that have so many.
+    bounds = early.groupBy("dim", "block", "place").agg(F.count("*").alias("__n"), F.min("score").alias("least")).where(F.col("__n") >= k)
+    thetas = bounds.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("place", "least"))).alias("thetas"))
+
+    # What queries must know of the buckets: the longest vector of each, or of some in a row
+    # where there are very many. Buckets are told apart by number when they are visited.
+    levels = packed.where("bucket > 0").select("dim", "bucket", "longest", F.expr(f"bucket div {-(-packed.count() // BROADCAST_ROWS)}").alias("level"))
+    levels = cut(levels.groupBy("dim", "level").agg(F.max("longest").alias("longest"), F.min("bucket").alias("low"), F.max("bucket").alias("high")).groupBy("dim").agg(F.collect_list(F.struct("longest", "low", "high")).alias("levels")))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                query, found, score = _searched(_read(row["ids"], row["matrix"]), np.frombuffer(row["theta"], np.float64), _read(row["other_ids"], row["other_matrix"]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(query), row["dim"], np.int32)), pa.array(np.full(len(query), row["bucket"], np.int32)), pa.array(query.astype(np.int32)), pa.array(found), pa.array(score)], names=["dim", "bucket", "query", "found", "score"])
-
-    spans = packed.select("dim", F.col("bucket").alias("visit"), "longest")
-    visits = begun.select("dim", "bucket", "theta", "least").join(maybe_broadcast(spans, packed.count()), "dim").where("longest >= least AND visit <> 0 AND visit <> bucket").select("dim", "bucket", "theta", "visit")
-    others = packed.select("dim", F.col("bucket").alias("visit"), F.col("ids").alias("other_ids"), F.col("matrix").alias("other_matrix"))
-    pairs = visits.join(packed.select("dim", "bucket", "ids", "matrix"), ["dim", "bucket"]).join(others, ["dim", "visit"]).repartition("dim", "bucket", "visit")
-    late = pairs.mapInArrow(go_on, "dim int, bucket int, query int, found long, score double")
-    order = Window.partitionBy("dim", "bucket", "query").orderBy(F.col("score").desc(), "found")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids, matrix, norms = _matrix(row["ids"], row["matrix"], kind)
+                theta = np.full(len(ids), -np.inf)
+                for bound in row["thetas"] or ():
+                    theta[bound["place"]] = bound["least"]
+                # Buckets whose longest vector isn't this long hold no answer.
+                need = np.divide(theta - _SLACK, norms, out=np.where(theta <= _SLACK, -np.inf, np.inf), where=norms > 0)
+                for level in row["levels"]:
+                    alive = np.flatnonzero(need <= level["longest"])
+                    if not len(alive):
+                        continue
+                    held = [alive.astype(np.int32).tobytes(), ids[alive].tobytes(), theta[alive].tobytes(), np.ascontiguousarray(matrix[alive].astype(kind)).tobytes()]
+                    for bucket in range(level["low"], level["high"] + 1):
+                        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (row["dim"], bucket, row["block"] // VISITS, row["block"])), *(pa.array([x], pa.binary()) for x in held)], names=["dim", "bucket", "salt", "block", "places", "ids", "theta", "matrix"])
+
+    visits = asked.join(thetas, ["dim", "block"], "left").join(maybe_broadcast(levels, levels.count(), MOST_TOPS), "dim").mapInArrow(visit, "dim int, bucket int, salt int, block int, places binary, ids binary, theta binary, matrix binary")
+    salts = asked.groupBy("dim").agg(F.max(F.expr(f"block div {VISITS}")).alias("last"))
+    targets = packed.where("bucket > 0").join(salts, "dim").select("dim", "bucket", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("salt"), "ids", "matrix")
+
+    def meet(mine: pa.Table, bucket: pa.Table) -> pa.Table:
+        out = []
+        if mine.num_rows and bucket.num_rows:
+            other = _matrix(bucket.column("ids")[0].as_py(), bucket.column("matrix")[0].as_py(), kind)
+            for i in range(mine.num_rows):
+                row = mine.slice(i, 1).to_pylist()[0]
+                own = _matrix(row["ids"], row["matrix"], kind)
+                place, found, score = _searched(own, np.frombuffer(row["theta"], np.float64), other, k)
+                out.append(_results(row, (np.frombuffer(row["places"], np.int32)[place], found, score), own[0][place]))
+        return pa.Table.from_batches(out, schema=_ARROW)
+
+    late = visits.groupBy("dim", "bucket", "salt").cogroup(targets.groupBy("dim", "bucket", "salt")).applyInArrow(meet, _FOUND)
+    order = Window.partitionBy("dim", "block", "place").orderBy(F.col("score").desc(), "found")
     ranked = early.unionByName(late).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(id_col), F.col("found").alias("neighbour_id"), "score", F.col("rank").cast("int").alias("rank"))
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["dim"], np.int32)), pa.array(np.full(len(ids), row["bucket"], np.int32)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids)], names=["dim", "bucket", "query", "__id"])
 
-    names = packed.select("dim", "bucket", "ids").mapInArrow(name, "dim int, bucket int, query int, __id long")
-    return ranked.join(names, ["dim", "bucket", "query"]).select(F.col("__id").alias(id_col), F.col("found").alias("neighbour_id"), "score", F.col("rank").cast("int").alias("rank"))
+_ARROW = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("place", pa.int32()), ("query", pa.int64()), ("found", pa.int64()), ("score", pa.float64())])
