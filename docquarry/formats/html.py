@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -18,18 +17,19 @@ _SPACE = re.compile(r"\s+")
 _META_CHARSET = re.compile(rb"""<meta[^>]+charset=["']?([^"'\s>]+)""", re.I)
 _CONTENT_CHARSET = re.compile(r"charset=([^\s;]+)", re.I)
 
-# Unclosed paragraphs nest; frames of pure Python functions don't use the C stack.
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
-
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "text", "tail")
+    """Unclosed elements nest, so a tree may be as deep as its markup is long: nothing here recurses."""
+
+    __slots__ = ("tag", "attrs", "children", "text", "tail", "_whole", "_begin", "_end")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs = tag, attrs
         self.children: list[Node] = []
         self.text: list[str] = []
         self.tail: list[str] = []
+        self._whole = ""
+        self._begin = self._end = 0
 
     def walk(self) -> Iterator["Node"]:
         waiting = [self]
@@ -38,20 +38,30 @@ class Node:
             yield node
             waiting.extend(reversed(node.children))
 
-    def all_text(self) -> str:
-        """The text in it, without its own tail."""
-        out: list[str] = []
-        waiting: list[Node | list[str]] = [self.text, *self.children]
-        waiting.reverse()
+    def measure(self) -> None:
+        """Note for every node which part of the text of all is in it."""
+        pieces: list[str] = []
+        size = 0
+        waiting = [(self, False)]
         while waiting:
-            item = waiting.pop()
-            if isinstance(item, list):
-                out.extend(item)
+            node, left = waiting.pop()
+            if left:
+                node._end = size
+                more = "".join(node.tail)
             else:
-                waiting.append(item.tail)
-                waiting.extend(reversed(item.children))
-                waiting.append(item.text)
-        return "".join(out)
+                node._begin = size
+                more = "".join(node.text)
+                waiting.append((node, True))
+                waiting.extend((child, False) for child in reversed(node.children))
+            pieces.append(more)
+            size += len(more)
+        whole = "".join(pieces)
+        for node in self.walk():
+            node._whole = whole
+
+    def all_text(self) -> str:
+        """The text in it, without its own tail."""
+        return self._whole[self._begin : self._end]
 
 
 class TreeBuilder(HTMLParser):
@@ -90,6 +100,7 @@ def parse(markup: str) -> Node:
     builder = TreeBuilder()
     builder.feed(markup)
     builder.close()
+    builder.root.measure()
     return builder.root
 
 
@@ -127,25 +138,48 @@ class _Renderer:
     def __init__(self) -> None:
         self.tables: list[list[list[str]]] = []
 
-    def children(self, node: Node, depth: int) -> str:
-        return "".join(self.render(child, depth) + "".join(child.tail) for child in node.children)
-
-    def render(self, node: Node, depth: int = 0) -> str:
+    def leaf(self, node: Node) -> str | None:
+        """The text of a node whose children aren't looked at one by one."""
         tag = node.tag
         if tag == "table":
             rows = table_rows(node)
             self.tables.append(rows)
             return f"\n{aligned(rows)}\n"
-        if tag == "li":
-            return "  " * depth + "- " + _clean("".join(node.text) + self.children(node, depth + 1)) + "\n"
         if tag in HEADINGS:
             return f"\n{_clean(node.all_text())}\n"
-        if tag == "br":
-            return "\n"
-        if tag == "hr":
-            return "\n---\n"
-        inner = "".join(node.text) + self.children(node, depth)
-        return f"\n{inner.strip()}\n" if tag in BLOCKS else inner
+        return {"br": "\n", "hr": "\n---\n"}.get(tag)
+
+    @staticmethod
+    def closed(node: Node, depth: int, pieces: list[str]) -> str:
+        if node.tag == "li":
+            return "  " * depth + "- " + _clean("".join(pieces)) + "\n"
+        if node.tag not in BLOCKS:
+            return "".join(pieces)
+        if len(pieces) == 1 and len(node.children) == 1 and node.children[0].tag in BLOCKS - {"li", "br", "hr", "table"}:
+            return pieces[0]  # a block in nothing but a block has its line breaks already
+        return f"\n{''.join(pieces).strip()}\n"
+
+    def render(self, top: Node) -> str:
+        found = self.leaf(top)
+        if found is not None:
+            return found
+        # What is open: a node, its depth in lists, its children that are left, and its text so far.
+        stack = [(top, 0, iter(top.children), [t for t in ("".join(top.text),) if t])]
+        while True:
+            node, depth, children, pieces = stack[-1]
+            child = next(children, None)
+            if child is None:
+                stack.pop()
+                text = self.closed(node, depth, pieces)
+                if not stack:
+                    return text
+                pieces, child = stack[-1][3], node
+            else:
+                text = self.leaf(child)
+                if text is None:
+                    stack.append((child, depth + (node.tag == "li"), iter(child.children), [t for t in ("".join(child.text),) if t]))
+                    continue
+            pieces.extend(t for t in (text, "".join(child.tail)) if t)
 
 
 def page_metadata(nodes: list[Node]) -> dict[str, str]:

@@ -16,6 +16,7 @@ PAGE = T.StructType(
         T.StructField("headings", T.ArrayType(T.StructType([T.StructField("level", T.StringType()), T.StructField("text", T.StringType())]))),
         T.StructField("links", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("href", T.StringType())]))),
         T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("error", T.StringType()),
     ]
 )
 _ARROW = pa.struct(
@@ -25,6 +26,7 @@ _ARROW = pa.struct(
         ("headings", pa.list_(pa.struct([("level", pa.string()), ("text", pa.string())]))),
         ("links", pa.list_(pa.struct([("text", pa.string()), ("href", pa.string())]))),
         ("metadata", pa.map_(pa.string(), pa.string())),
+        ("error", pa.string()),
     ]
 )
 
@@ -35,7 +37,10 @@ def _pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     def one(markup: str | None) -> dict | None:
         if markup is None:
             return None
-        doc = extract_markup(markup)
+        try:
+            doc = extract_markup(markup)
+        except Exception as error:  # one page's failure is that page's row
+            return {"error": f"{type(error).__name__}: {error}"[:2000]}
         return {
             "text": doc.full_text,
             "tables": [t.data for t in doc.tables],
@@ -45,11 +50,12 @@ def _pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         }
 
     for batch in batches:
-        yield pa.array([one(m) for m in batch.to_pylist()], _ARROW)
+        yield pa.array([one(m.as_py()) for m in batch], _ARROW)
 
 
 def parsed_pages(pages: DataFrame, html_col: str = "html", out: str = "page") -> DataFrame:
-    """pages with a struct of what its markup holds in place of the markup; NULL stays NULL.
+    """pages with a struct of what its markup holds in place of the markup; NULL stays NULL, and
+    of a page that can't be read there is only the error.
 
     The struct is computed once a row, whatever number of its fields is used later."""
     kept = [c for c in pages.columns if c != html_col]

@@ -191,3 +191,14 @@ def test_cli(tmp_path, capsys):
     assert cli.main([str(path), "--json"]) == 0 and json.loads(capsys.readouterr().out)["full_text"] == "hello"
     assert cli.main([str(path), "--json-unit"]) == 0 and json.loads(capsys.readouterr().out)[0]["text"] == "hello"
     assert cli.main([str(path), "--binary"]) == 1 and cli.main([str(tmp_path / "none")]) == 1 and cli.main([str(path), "--what"]) == 1
+
+
+@pytest.mark.parametrize("tag", ["div", "p", "ul><li", "table><tr><td", "h1", "span", "a href=x", "blockquote"])
+def test_deep_markup_is_read(tag):
+    doc = html.extract_markup("<body>" + f"<{tag}>" * 20_000 + "deep down")
+    assert "deep down" in doc.full_text
+
+
+def test_nested_blocks_and_lists():
+    doc = html.extract_markup("<body><div><div><p>one</p></div>two</div><ul><li>a<ul><li>b</li></ul></li><li>c</li></ul><div><div> x </div></div><span>y</span></body>")
+    assert doc.full_text == "one\ntwo\n\n- a - b\n- c\n\nx\ny"
