@@ -89,6 +89,16 @@ def route_extension(spark, sf_dir):
     return _named_pages(spark, sf_dir).withColumn("file_type", routing.file_type_column(F.col("path")))
 
 
+_UNCOMMON = {"a.xhtml": "html", "b.SHTML": "html", "c.srt": "txt", "d.text": "txt", "e.txt.br": "txt", "f.exe": None, "g.TZ": "tar", "h.docx.br": "docx", ".xhtml": None, "i.svgz": None}
+_UNCOMMON_NAMES = "regexp_replace(url, '[?#].*$', '') || '/' || CASE page_id % 10 " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(_UNCOMMON)) + " END"
+
+
+@query(f"SELECT page_id, {_UNCOMMON_NAMES} AS path, CASE page_id % 10 " + " ".join(f"WHEN {i} THEN '{kind}'" for i, kind in enumerate(_UNCOMMON.values()) if kind) + " END AS file_type FROM pages")
+def route_guessed(spark, sf_dir):
+    """Suffixes that aren't known themselves, by the MIME type that goes with them."""
+    return _t(spark, sf_dir, "pages").select("page_id", F.expr(_UNCOMMON_NAMES).alias("path")).withColumn("file_type", routing.file_type_column(F.col("path")))
+
+
 @query(f"""
     WITH m(mime, kind) AS (VALUES {", ".join(f"('{m}', '{k}')" for m, k in sorted(routing.MIME_TYPES.items()))}),
     e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/csv' WHEN 2 THEN 'TEXT/CSV' ELSE 'image/png' END AS mime FROM events)

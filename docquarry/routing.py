@@ -39,6 +39,25 @@ MIME_TYPES: dict[str, str] = {
 _SUFFIXES = {**{k: k for k in READERS}, **ALIASES}
 
 
+# What Python and this machine know of suffixes, and what most machines do besides.
+_MIMES = mimetypes.MimeTypes([f for f in mimetypes.knownfiles if os.path.isfile(f)])
+for _mime, _names in {"application/xhtml+xml": "xhtml xht", "text/html": "html htm shtml", "text/plain": "txt text asc brf srt"}.items():
+    for _name in _names.split():
+        _MIMES.add_type(_mime, f".{_name}")
+for _mime, _key in MIME_TYPES.items():
+    if f".{_key}" not in _MIMES.types_map[True]:
+        _MIMES.add_type(_mime, f".{_key}")
+#: Suffix -> type key where only the MIME type that goes with the suffix tells it.
+GUESSED: dict[str, str] = {
+    suffix[1:]: MIME_TYPES[mime]
+    for suffix in sorted({*_MIMES.types_map[True], *_MIMES.suffix_map})
+    if suffix[1:] not in _SUFFIXES and (mime := _MIMES.guess_type("x" + suffix)[0]) in MIME_TYPES
+}
+#: Suffixes of encodings, before which the suffix counts; most are type keys by themselves.
+ENCODINGS: list[str] = sorted(s[1:] for s in _MIMES.encodings_map if s.islower() and s[1:] not in _SUFFIXES)
+_BY_MIME: dict[str, str] = {s: MIME_TYPES[mime] for s in {*_SUFFIXES, *GUESSED} if (mime := _MIMES.guess_type(f"x.{s}")[0]) in MIME_TYPES}
+
+
 def type_of_suffix(path: str) -> str | None:
     """By compound suffix, then by the last suffix, its alias included."""
     lower = path.lower()
@@ -50,7 +69,7 @@ def type_of_suffix(path: str) -> str | None:
 
 def file_type(path: str) -> str | None:
     """The type key of a path; by MIME type where the suffix is unknown; None if unsupported."""
-    return type_of_suffix(path) or MIME_TYPES.get(mimetypes.guess_type(path.lower())[0] or "")
+    return type_of_suffix(path) or MIME_TYPES.get(_MIMES.guess_type(path.lower())[0] or "")
 
 
 def is_supported_file(path: str) -> bool:
@@ -68,15 +87,22 @@ def suffix_column(path: Column) -> Column:
 
 
 def file_type_column(path: Column) -> Column:
-    """file_type by suffix, as an expression that stays in the plan."""
-    lower = F.lower(path)
-    known = F.create_map(*[F.lit(x) for pair in sorted(_SUFFIXES.items()) for x in pair])
-    out = F.try_element_at(known, suffix_column(path))
+    """file_type as an expression that stays in the plan; by MIME type too where the suffix is unknown."""
+    lower, suffix = F.lower(path), suffix_column(path)
+    known, inner = (F.create_map(*[F.lit(x) for pair in sorted(pairs.items()) for x in pair]) for pairs in ({**GUESSED, **_SUFFIXES}, _BY_MIME))
+    encoded = F.try_element_at(inner, F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]*)\.[^./]*$", 1)))
+    out = F.when(suffix.isin(*ENCODINGS), encoded).otherwise(F.try_element_at(known, suffix))
     for suffix, key in COMPOUND.items():
         out = F.when(lower.endswith(suffix), key).otherwise(out)
     return out
 
 
+def supported_glob() -> str:
+    """A glob over file names that holds all supported ones, in whatever case; for use at listing,
+    before files are read. What it lets through is told apart by file_type_column."""
+    return "*.{%s}" % ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in sorted({*_SUFFIXES, *GUESSED, *ENCODINGS}))
+
+
 def mime_type_column(mime: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in sorted(MIME_TYPES.items()) for x in pair])
     return F.try_element_at(known, mime)

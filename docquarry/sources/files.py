@@ -26,14 +26,16 @@ def files(spark: SparkSession, path: str | Sequence[str], recursive: bool = True
 
 
 def supported(found: DataFrame, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """Files with a reader, up to a size (0: any); both tests come before the content is read."""
+    """Files with a reader, up to a size (0: any). Sizes are tested before the content is read; so
+    are names where the files are listed with routing.supported_glob()."""
     kept = found.where(routing.file_type_column(F.col("path")).isNotNull())
     return kept.where(F.col("length") <= max_file_size) if max_file_size else kept
 
 
 def read_documents(spark: SparkSession, path: str | Sequence[str], test: FileFilter | None = None, binary: bool = False, attachments: bool = False, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """Documents of all supported files below a path. Files that are too large give error rows."""
-    found = supported(files(spark, path), 0)
+    """Documents of all supported files below a path; others aren't read. Files that are too large
+    give error rows."""
+    found = supported(files(spark, path, glob=routing.supported_glob()), 0)
     if test:
         found = test.apply(found, "modificationTime", "modificationTime", "path")
     # Oversized files keep their row, but their content isn't moved to a worker.

@@ -163,3 +163,17 @@ def test_drive_as_a_source(spark):
         assert [r[0] for p in stream.partitions(start, {"time": "2024-02-15T00:00:00Z"}) for r in stream.read(p)] == ["r.docx"]
         assert [r[0] for p in stream.partitions({"time": "2024-02-15T00:00:00Z"}, stream.latestOffset()) for r in stream.read(p)] == ["s.pdf"]
     assert rows == [("r.docx", "1"), ("s.pdf", "2")]
+
+
+def test_suffixes_known_by_mime_type_alone_are_read(spark, tmp_path):
+    from docquarry import routing
+    from docquarry.sources.files import files, read_documents
+
+    for name in ("a.xhtml", "b.srt", "c.TXT", "d.exe", "e.Text", "f.txt.br", "g"):
+        (tmp_path / name).write_text("<p>text</p>")
+    assert sorted(r.path.rpartition("/")[2] for r in read_documents(spark, str(tmp_path)).select("path").collect()) == ["a.xhtml", "b.srt", "c.TXT", "e.Text", "f.txt.br"]
+    listed = files(spark, str(tmp_path), glob=routing.supported_glob())
+    assert "d.exe" not in {r.path.rpartition("/")[2] for r in listed.select("path").collect()}
+    names = spark.createDataFrame([(n,) for n in ("x.pdf", "y.XHTML", ".srt", "a/b.c/d", "p.docx.br", "t.tar.gz", "u.svgz", "w.nws")], "path string")
+    for r in names.select("path", routing.file_type_column(names.path).alias("kind")).collect():
+        assert r.kind == routing.file_type(r.path)
