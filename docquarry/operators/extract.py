@@ -7,7 +7,7 @@ that table, so any number of them can share one pass that was written out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -159,6 +159,39 @@ def full_text(column: Column | None = None) -> Column:
     return strip(F.array_join(F.transform(F.col("units") if column is None else column, lambda u: u["text"]), "\n"))
 
 
+def pieces(docs: DataFrame) -> DataFrame:
+    """All that is in documents in long form: (path, doc_idx, kind, i, j, k, value).
+
+    Kinds: text; unit, unit_name and heading_path by unit number; cell by table, row and column;
+    every kind of part, as text|ref; meta, as name=value; from, to (by place), subject and
+    attachment of mails. One pass: a document's pieces are made as one array before they are rows."""
+
+    def piece(kind: Column | str, value: Column, i: Column | int = 0, j: Column | int = 0, k: Column | int = 0) -> Column:
+        columns = [F.lit(x) if isinstance(x, (str, int)) else x for x in (kind, i, j, k)]
+        return F.struct(columns[0].alias("kind"), *[c.cast("int").alias(n) for c, n in zip(columns[1:], "ijk")], value.alias("value"))
+
+    def each(array: str, make: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(array, make)
+
+    units = [
+        each("units", lambda u, _: piece("unit", u["text"], u["unit_number"])),
+        each("units", lambda u, _: piece("unit_name", u["name"], u["unit_number"])),
+        each("units", lambda u, _: piece("heading_path", F.when(F.size(u["heading_path"]) > 0, F.array_join(u["heading_path"], " > ")), u["unit_number"])),
+    ]
+    cells = F.flatten(each("tables", lambda t, i: F.flatten(F.transform(t["data"], lambda row, j: F.transform(row, lambda v, k: piece("cell", v, i, j, k))))))
+    parts = each("parts", lambda p, _: piece(p["kind"], F.concat_ws("|", p["text"], p["ref"])))
+    meta = F.transform(F.map_entries("metadata"), lambda e: piece("meta", F.when(e["value"] != "", F.concat_ws("=", e["key"], e["value"]))))
+    person = lambda a: F.format_string("%s <%s>", a["name"], a["address"])
+    mail = [
+        F.array(piece("from", F.when(F.col("email").isNotNull(), person(F.col("email.from_email")))), piece("subject", F.col("email.subject"))),
+        each("email.to", lambda a, i: piece("to", person(a), i)),
+        each("email.attachments", lambda a, i: piece("attachment", F.concat_ws("|", a["filename"], a["mime_type"], a["supported"].cast("string")), i)),
+    ]
+    nothing = F.array().cast("array<struct<kind:string,i:int,j:int,k:int,value:string>>")
+    every = F.concat(F.array(piece("text", F.col("full_text"))), *[F.coalesce(a, nothing) for a in (*units, cells, parts, meta, *mail)])
+    return docs.where("error IS NULL").select("path", "doc_idx", F.explode(every).alias("p")).select("path", "doc_idx", "p.*").where("value IS NOT NULL")
+
+
 class Extract:
     """extract(path, content) for LATERAL joins in SQL; without image and attachment bytes."""
 
