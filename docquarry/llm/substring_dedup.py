@@ -1,27 +1,33 @@
 """Passages that repeat, across documents or within one, by prefix-partitioned suffix trees over words.
 
-A passage is a run of at least MIN_WORDS words (split at white space, compared exactly) that
-also stands in another document or at another place of its own. The suffixes that can begin in one are found by sampling
-that never misses: of the HEAD-word grams in every window of MIN_WORDS words the one with the
-least hash is an anchor, so equal windows hold equal anchors at equal places.
-
-1. Anchors are exchanged by their gram (24 bytes each); those whose gram stands at one
-   place alone are dropped.
+A passage is a run of at least MIN_WORDS words (split at white space) that also stands in another
+document or at another place of its own. Words are compared by 31-bit hashes and prefixes by 64-bit
+ones: a passage is a false find only where all its MIN_WORDS words, one after another, meet the
+hashes of other words, which no corpus comes near to. The suffixes that can begin in one are found by
+sampling that never misses: of the HEAD-word grams in every window of MIN_WORDS words the one with
+the least hash is an anchor, so equal windows hold equal anchors at equal places.
+
+1. Anchors are counted by their gram, map side first; those whose gram stands at one place
+   alone are dropped.
 2. The suffixes at the others are partitioned by prefix. A prefix is the HEAD-word gram; one
    with more than GROUP suffixes is lengthened to all MIN_WORDS words, once for each start
-   that a window around the anchor can have, so that every group fits in memory.
-3. In a group the suffixes are sorted, with the common prefix of neighbours; the runs whose
-   common prefix is at least r words are the nodes of depth r of the group's suffix tree. Under
-   a node, leaves are joined by their preceding MIN_WORDS - r words: two leaves
-   there are one repeated window around the anchor, across documents if their ids differ. All
-   windows of an anchor unite to one span a kind, and the spans of a document to its maximal
+   that a window around the anchor can have.
+3. The suffixes of a partition come in the order of their prefixes, and a task holds CHUNK of
+   them, or those of one prefix, at a time. They are sorted, with the common prefix of
+   neighbours; the runs whose common prefix is at least r words are the nodes of depth r of the
+   prefix's suffix tree. Under a node, leaves are joined by their preceding MIN_WORDS - r words:
+   two leaves there are one repeated window around the anchor, across documents if their ids
+   differ. A lengthened prefix is a node by itself, deep enough for its leaves to be one
+   repeated window, so these are only counted, map side first, whatever their number.
+4. All windows of an anchor unite to one span a kind, and the spans of a document to its maximal
    repeated passages.
 
-Defined cases: NULL ids and NULL texts take no part; texts under MIN_WORDS words (empty ones
-too) have no passage; occurrences may overlap (one word 60 times is a repeat); rows that
-repeat an id and text are one document; texts of one id are no other documents to each other,
-so what only they share repeats within; an empty table gives no rows. Whole texts are
-used, and no group is cut short.
+Defined cases: ids are integers; NULL ids and NULL texts take no part; texts under MIN_WORDS words
+(empty ones too) have no passage; occurrences may overlap (one word 60 times is a repeat); rows
+that repeat an id and text are one document; texts of one id are no other documents to each other,
+so what only they share repeats within; of occurrences none is the first or the best, all are
+reported; an empty table gives no rows; the two columns are picked by exact name, and other
+columns, of any name, take no part. Whole texts are used, however long, and no group is cut short.
 """
 
 from __future__ import annotations
@@ -34,11 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import Memo, fields, mix64, slices
+from ._util import Memo, fields, mix64, slices, written
 
 MIN_WORDS = 50
 HEAD = 8
 GROUP = 200_000
+#: Suffixes that a task looks at together.
+CHUNK = 50_000
 
 _FACTORS = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 _PLACE_BITS = 28
@@ -84,14 +92,31 @@ def anchors(grams: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got) if got else None
-
-
-def _repeats(keys: np.ndarray, docs: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row, whether its key is in several documents, whether it is at several suffixes
-    of one document alone, and the rows that have its key."""
+def _runs(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Rows that come in the order of key, at least so many at a time and no key's rows apart."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < least:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(key).to_numpy()
+        # Where the last key begins; what is before it is complete.
+        last = int(np.flatnonzero(keys != keys[-1]).max(initial=-1)) + 1
+        if last:
+            yield table.slice(0, last)
+        held, n = table.slice(last).to_batches(), n - last
+        if not last:
+            least = max(least, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _repeats(keys: np.ndarray, docs: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, whether its key is in several documents, and whether it is at several
+    suffixes of one document alone."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -102,7 +127,7 @@ def _repeats(keys: np.ndarray, docs: np.ndarray, suffixes: np.ndarray) -> tuple[
 
     across = several(docs)
     out = []
-    for found in (across, several(suffixes) & ~across, sizes):
+    for found in (across, several(suffixes) & ~across):
         out.append(np.empty(len(keys), found.dtype))
         out[-1][order] = np.repeat(found, sizes)
     return tuple(out)
@@ -139,7 +164,7 @@ def repeated_windows(right: np.ndarray, left: np.ndarray, docs: np.ndarray, suff
             if back:
                 before += left[:, back - 1] * _FACTORS[back]
             node = np.cumsum(common < depth).astype(np.uint64)
-            across, within, _ = _repeats(mix64(before ^ mix64(node)), owner, suffixes)
+            across, within = _repeats(mix64(before ^ mix64(node)), owner, suffixes)
             for several, (low, high) in zip((across, within), bounds):
                 low[several & (low < 0)] = back
                 high[several] = back
@@ -172,56 +197,43 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = H
                 owner = np.repeat(np.arange(batch.num_rows), sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(np.concatenate(places).astype(np.int32))], names=["gram", "__id", "__h", "place"])
 
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _table(batches)
-        if got is not None:
-            across, within, counts = _repeats(got.column("gram").to_numpy(), got.column("__id").to_numpy(), _suffix_ids(got, got.column("place").to_numpy()))
-            flags = across | within
-            kept = got.filter(pa.array(flags)).drop_columns(["gram"]).append_column("large", pa.array(counts[flags] > group))
-            yield from kept.to_batches(max_chunksize=100_000)
-
-    anchor_rows = rows.mapInArrow(sample, "gram long, __id long, __h long, place int")
-    wanted = anchor_rows.repartition("gram").mapInArrow(repeated, "__id long, __h long, place int, large boolean")
-    by_doc = wanted.groupBy("__id", "__h").agg(F.collect_set(F.struct("place", "large")).alias("__at"))
-    joined = rows.join(by_doc, ["__id", "__h"]).select("__id", "__h", "__text", F.sort_array("__at").alias("__at"))
+    anchor_rows = written(rows.mapInArrow(sample, "gram long, __id long, __h long, place int")).withColumn("__sfx", F.xxhash64("__id", "__h", "place"))
+    # Rows that repeat an id, text and place are one suffix.
+    grams = anchor_rows.groupBy("gram").agg(F.min("__sfx").alias("__a"), F.max("__sfx").alias("__b"), F.count("*").alias("__n")).where("__a <> __b").select("gram", (F.col("__n") > group).alias("large"))
+    wanted = written(anchor_rows.join(grams, "gram").select("__id", "__h", "place", "large"))
+    by_doc = wanted.groupBy("__id", "__h").agg(F.collect_set(F.when(~F.col("large"), F.col("place"))).alias("__small"), F.collect_set(F.when(F.col("large"), F.col("place"))).alias("__large"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                doc, digest = one.column(0)[0].as_py(), one.column(1)[0].as_py()
-                at = one.column(3).flatten()
-                place = at.field("place").to_numpy().astype(np.int64)
-                large = at.field("large").to_numpy(zero_copy_only=False)
-                yield from _suffix_rows(doc, digest, word_hashes(one.column(2)[0].as_py()), place, large, min_words, head)
-
-    schema = "key long, __id long, __h long, place int, back int, words binary"
-    spread = joined.mapInArrow(suffixes, schema).repartition("key")
+                yield from _suffix_rows(one.column(0)[0].as_py(), one.column(1)[0].as_py(), word_hashes(one.column(2)[0].as_py()), np.sort(one.column(3).flatten().to_numpy()).astype(np.int64), min_words, head)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _table(batches)
-        if got is None:
-            return
-        back = got.column("back").to_numpy()
-        for part in (got.filter(pa.array(back < 0)), got.filter(pa.array(back >= 0))):
-            if not part.num_rows:
-                continue
+        for part in _runs(batches, "key", CHUNK):
             owner, place = part.column("__id").to_numpy(), part.column("place").to_numpy()
-            if part.column("back")[0].as_py() < 0:
-                words = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32).reshape(part.num_rows, -1)
-                bounds = repeated_windows(words[:, :min_words], words[:, min_words:], owner, _suffix_ids(part, place), min_words, head)
-            else:
-                # Several anchors of a text may send one window: its start tells it from others.
-                back = part.column("back").to_numpy()
-                found = _repeats(part.column("key").to_numpy(), owner, _suffix_ids(part, place - back))
-                bounds = [(at, at) for at in (np.where(flags, back, -1) for flags in found[:2])]
+            words = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32).reshape(part.num_rows, -1)
+            bounds = repeated_windows(words[:, :min_words], words[:, min_words:], owner, _suffix_ids(part, place), min_words, head)
             for across, (low, high) in zip((True, False), bounds):
                 hit = np.flatnonzero(high >= 0)
                 kept = part.select(["__id", "__h"]).take(pa.array(hit))
                 kept = kept.append_column("word_from", pa.array((place[hit] - high[hit]).astype(np.int32))).append_column("word_to", pa.array((place[hit] - low[hit] + min_words).astype(np.int32)))
                 yield from kept.append_column("across", pa.array(np.full(len(hit), across))).to_batches(max_chunksize=100_000)
 
-    spans = spread.mapInArrow(trees, "__id long, __h long, word_from int, word_to int, across boolean")
+    texts = rows.join(by_doc, ["__id", "__h"])
+    spread = texts.where("size(__small) > 0").select("__id", "__h", "__text", "__small").mapInArrow(suffixes, "key long, __id long, __h long, place int, words binary")
+    spans = spread.repartition("key").sortWithinPartitions("key").mapInArrow(trees, "__id long, __h long, word_from int, word_to int, across boolean")
+    if not wanted.where("large").isEmpty():
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    one = batch.slice(i, 1)
+                    yield from _window_rows(one.column(0)[0].as_py(), one.column(1)[0].as_py(), word_hashes(one.column(2)[0].as_py()), one.column(3).flatten().to_numpy().astype(np.int64), min_words, head)
+
+        found = written(texts.where("size(__large) > 0").select("__id", "__h", "__text", "__large").mapInArrow(windows, "key long, __id long, __h long, word_from int")).withColumn("__sfx", F.xxhash64("__id", "__h", "word_from"))
+        nodes = found.groupBy("key").agg(F.min("__sfx").alias("__a"), F.max("__sfx").alias("__b"), (F.min("__id") != F.max("__id")).alias("across")).where("__a <> __b").select("key", "across")
+        spans = spans.unionByName(found.join(nodes, "key").select("__id", "__h", "word_from", (F.col("word_from") + min_words).alias("word_to"), "across"))
     apart = ["__id", "__h", *["across"] * kinds]
     mine = Window.partitionBy(*apart).orderBy("word_from", "word_to")
     reach = F.max("word_to").over(mine.rowsBetween(Window.unboundedPreceding, -1))
@@ -231,30 +243,31 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: int = H
     return merged.select(F.col("__id").alias(id_col), "word_from", "word_to", (F.col("word_to") - F.col("word_from")).alias("n_words"), *["across"] * kinds)
 
 
-def _suffix_rows(doc: int, digest: int, words: np.ndarray, place: np.ndarray, large: np.ndarray, min_words: int, head: int) -> Iterator[pa.RecordBatch]:
-    names = ["key", "__id", "__h", "place", "back", "words"]
-    n, backs = len(words), min_words - head
+def _named(keys: np.ndarray, doc: int, digest: int, place: np.ndarray, name: str, *more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(place), doc, np.int64)), pa.array(np.full(len(place), digest, np.int64)), pa.array(place.astype(np.int32)), *more], names=["key", "__id", "__h", name, "words"][: 4 + len(more)])
 
-    def batch(keys: np.ndarray, at: np.ndarray, back: np.ndarray, content: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(np.full(len(at), digest, np.int64)), pa.array(at.astype(np.int32)), pa.array(back.astype(np.int32)), content], names=names)
 
+def _suffix_rows(doc: int, digest: int, words: np.ndarray, place: np.ndarray, min_words: int, head: int) -> Iterator[pa.RecordBatch]:
+    """The suffixes at these places: min_words words on, and before them those that a window can have."""
+    n, grams = len(words), gram_hashes(words, head)
+    steps = np.concatenate([np.arange(min_words), -np.arange(1, min_words - head + 1)])
     for low in range(0, len(place), 20_000):
-        at = place[low : low + 20_000][~large[low : low + 20_000]]
-        if len(at):
-            # Beyond the text's ends stand words of this place alone.
-            steps = np.concatenate([np.arange(min_words), -np.arange(1, backs + 1)])
-            where = at[:, None] + steps
-            inside = (where >= 0) & (where < n)
-            own = mix64(np.uint64(digest & (2**64 - 1)) ^ np.uint64(doc & (2**64 - 1)) ^ mix64(np.where(inside, 0, where).astype(np.uint64)))
-            content = np.where(inside, words[np.clip(where, 0, n - 1)], (own >> np.uint64(32)).astype(np.uint32) | np.uint32(1))
-            size = content.shape[1] * 4
-            data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, (len(at) + 1) * size, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(content))])
-            yield batch(gram_hashes(words, head)[at], at, np.full(len(at), -1), data)
-        at = place[low : low + 20_000][large[low : low + 20_000]]
-        if len(at):
-            windows = gram_hashes(words, min_words)
-            starts = (at[:, None] - np.arange(backs + 1)).ravel()
-            back = np.tile(np.arange(backs + 1), len(at))
-            fits = (starts >= 0) & (starts < len(windows))
-            starts, back = starts[fits], back[fits]
-            yield batch(windows[starts], starts + back, back, pa.nulls(len(starts), pa.binary()))
+        at = place[low : low + 20_000]
+        # Beyond the text's ends stand words of this place alone.
+        where = at[:, None] + steps
+        inside = (where >= 0) & (where < n)
+        own = mix64(np.uint64(digest & (2**64 - 1)) ^ np.uint64(doc & (2**64 - 1)) ^ mix64(np.where(inside, 0, where).astype(np.uint64)))
+        content = np.where(inside, words[np.clip(where, 0, n - 1)], (own >> np.uint64(32)).astype(np.uint32) | np.uint32(1))
+        size = content.shape[1] * 4
+        data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, (len(at) + 1) * size, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(content))])
+        yield _named(grams[at], doc, digest, at, "place", data)
+
+
+def _window_rows(doc: int, digest: int, words: np.ndarray, place: np.ndarray, min_words: int, head: int) -> Iterator[pa.RecordBatch]:
+    """The windows of min_words words around these places, each once, by their hash."""
+    hashes = gram_hashes(words, min_words)
+    starts = np.unique(np.concatenate([place - back for back in range(min_words - head + 1)]))
+    starts = starts[(starts >= 0) & (starts < len(hashes))]
+    for low in range(0, len(starts), 100_000):
+        some = starts[low : low + 100_000]
+        yield _named(hashes[some], doc, digest, some, "word_from")

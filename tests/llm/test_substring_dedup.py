@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import words
 
@@ -60,6 +61,22 @@ def test_anchors_cover_every_window(rng):
     assert not len(S.anchors(grams[:10], 43))
 
 
+def test_runs_keep_keys_together():
+    keys = [1] * 3 + [2] + [3] * 9 + [4, 5, 5]
+    batches = [pa.record_batch({"key": pa.array(keys[i : i + 2], pa.int64())}) for i in range(0, len(keys), 2)]
+    found = [t.column("key").to_pylist() for t in S._runs(iter(batches), "key", 4)]
+    assert sum(found, []) == keys and all(not set(a) & set(b) for a, b in zip(found, found[1:])) and len(found) > 2
+
+
+def test_very_long_texts(make, rng, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 100)
+    shared = words(rng, 60, 10**6)
+    long = f"{words(rng, 150_000, 10**6)} {shared} {words(rng, 50_000, 10**6)}"
+    rows = [(1, long), (2, f"{words(rng, 10, 10**6)} {shared}"), (3, "z" * 500_000)]
+    for group in (S.GROUP, 1):
+        assert {tuple(r) for r in S.repeated_passages(make(rows), group=group).collect()} == {(1, 150_000, 150_060, 60), (2, 10, 70, 60)}
+
+
 def test_empty_table(make):
     assert S.repeated_passages(make([])).count() == 0
 
