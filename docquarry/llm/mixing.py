@@ -15,9 +15,12 @@ share, less four standard deviations, is so many times its blocks; then, where t
 source fewer after all, slots are added until none has fewer. None: as many slots as blocks.
 Weights are in proportion to blocks to the power `temperature` unless given.
 
-Defined cases: a NULL source is a source by itself, named ""; NULL texts count as empty and
-give one end-of-text token; repeated rows are packed one by one; sources without a weight get
-none of the slots; an empty table gives no rows.
+Defined cases: a NULL source is a source by itself, named "" (as is an empty one); NULL texts count
+as empty and give one end-of-text token; a very long text goes on through as many blocks as it
+needs; repeated rows are packed one by one; ids may be of any type, and NULL ids stand in doc_ids;
+documents, blocks and slots of equal standing keep the order of their partitions; sources without
+a weight get none of the slots; an empty table gives no rows; the three columns are picked by
+exact name, and of mix_documents' rows all other columns, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import BROADCAST_ROWS, cut, fields, maybe_broadcast, mix64, parallelism, rows_back, slices, with_row, written
+from ._util import cut, fields, maybe_broadcast, mix64, parallelism, rows_back, slices, with_row, written
 from .tokens import DEFAULT_VOCAB, END_OF_TEXT, TEXT_BYTES, TokenStream, bpe, closed, gathered
 
 BLOCK = 2048
@@ -203,14 +206,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     weights = weights or target_weights(sizes, temperature)
     slots = draw_slots(docs.sparkSession, sizes, weights, min_epochs, shard_slots, seed)
     # Slots grow with the corpus, though the planner takes what is made of a range for small.
-    few = slot_total(sizes, weights, min_epochs) <= BROADCAST_ROWS
-    return (F.broadcast(slots) if few else slots.hint("merge")).join(blocks.select("source", "block", "doc_ids", "tokens"), ["source", "block"]).select("shard", "slot", "source", "block", "epoch", "doc_ids", "tokens")
+    return slots.hint("merge").join(blocks.select("source", "block", "doc_ids", "tokens"), ["source", "block"]).select("shard", "slot", "source", "block", "epoch", "doc_ids", "tokens")
 
 
 def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, min_epochs: float | None = 1.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, vocab: str = DEFAULT_VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Whole documents in the mixed proportions: a document goes wherever the block does in
     which it begins, so it occurs once for every slot of that block. Columns as in docs; rows
-    with a NULL id stay as they are."""
+    with a NULL id stay as they are. With min_epochs of at least 1 every block has a slot, so no
+    document is left out; else those are whose block drew none, and those of sources without weight."""
     meta = written(pack_blocks(docs, block, id_col, text_col, source_col, vocab, with_tokens=False).select("source", "part", "local", "starts"))
     blocks, sizes = _numbered(meta)
     slots = draw_slots(docs.sparkSession, sizes, weights or target_weights(sizes, temperature), min_epochs, shard_slots, seed)

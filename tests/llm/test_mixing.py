@@ -3,8 +3,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from docquarry.llm import mixing as M
+from docquarry.llm._util import cut
 from docquarry.llm.tokens import END_OF_TEXT, bpe
 
 
@@ -30,9 +33,7 @@ def test_blocks_hold_all_tokens(make, rng):
     assert sorted(i for r in found for i in r.starts) == sorted(i for i, *_ in rows)
 
 
-@pytest.mark.parametrize("broadcast_rows", [M.BROADCAST_ROWS, 0])
-def test_mix_follows_the_weights_and_the_permutation(make, rng, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(M, "BROADCAST_ROWS", broadcast_rows)
+def test_mix_follows_the_weights_and_the_permutation(make, rng):
     _, docs = docs_of(rng, make)
     weights = {"s0": 0.5, "s1": 0.3, "s2": 0.2}
     found = M.mix_sources(docs, weights, block=16, shard_slots=20, min_epochs=3.0).collect()
@@ -87,3 +88,71 @@ def test_every_source_is_used_whole_whatever_the_draw(spark, epochs):
     assert all(sum(r.source == s for r in found) >= epochs * n for s, n in sizes.items())
     assert {(r.source, r.block) for r in found} == {("b", 0)} | {("a", i) for i in range(30)}
     assert len({(r.shard, r.slot) for r in found}) == len(found) > total
+
+
+def feistel(x, size, key):
+    """The permutation of range(size), a number at a time."""
+
+    def mix(v):
+        v &= 2**64 - 1
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 & 2**64 - 1
+        v = (v ^ v >> 27) * 0x94D049BB133111EB & 2**64 - 1
+        return v ^ v >> 31
+
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+    while True:
+        left, right = x >> half, x & 2**half - 1
+        for k in range(1, 5):
+            left, right = right, left ^ mix(right ^ mix(k + key)) & 2**half - 1
+        x = left << half | right
+        if x < size:
+            return x
+
+
+def brute(parts, weights, total, block, shard_slots, seed):
+    """(shard, slot) -> (source, block, epoch, doc_ids, tokens), one slot at a time. parts: the rows
+    (doc_id, text, source) of every partition, in order."""
+    encode, held = bpe(), {}
+    for part in parts:
+        streams = {}
+        for doc, text, source in part:
+            ids = [*array("H", encode.ids(text or "")), END_OF_TEXT]
+            streams.setdefault(source or "", []).extend((t, doc) for t in ids)
+        for source, stream in streams.items():
+            for i in range(0, len(stream), block):
+                piece = stream[i : i + block]
+                tokens = [t for t, _ in piece] + [END_OF_TEXT] * (block - len(piece))
+                held.setdefault(source, []).append((list(dict.fromkeys(d for _, d in piece)), array("H", tokens).tobytes()))
+    names = [s for s in sorted(held) if weights.get(s)]
+    scale = sum(weights[s] for s in names)
+    given = dict.fromkeys(names, 0)
+    out = {}
+    for shard in range(-(-total // shard_slots)):
+        size = min(shard_slots, total - shard * shard_slots)
+        place = 0
+        for source, n in zip(names, np.random.default_rng([seed, shard]).multinomial(size, [weights[s] / scale for s in names])):
+            for _ in range(n):
+                epoch, index = divmod(given[source], len(held[source]))
+                number = feistel(index, len(held[source]), xxhash.xxh64_intdigest(f"{seed}/{epoch}/{source}"))
+                out[shard, feistel(place, size, xxhash.xxh64_intdigest(f"{seed}/{shard}/"))] = (source, number, epoch, *held[source][number])
+                given[source] += 1
+                place += 1
+    return out
+
+
+def test_mix_equals_brute_force(spark, make, rng):
+    rows = [(i, " ".join(f"word{rng.randrange(50)}" for _ in range(rng.randrange(0, 60))), ["a", "b", "c", None][i % 4]) for i in range(50)] + [(51, None, "a"), (52, "", "b"), (53, "long " * 3000, "c"), (7, "again", "a"), (7, "again", "a")]
+    docs = cut(make(rows, clash=True))  # so that its partitions are the same in both
+    parts = [[(r[0], r[1], r[3]) for r in p] for p in docs.rdd.glom().collect()]
+    weights = {"a": 0.5, "b": 0.2, "c": 0.2, "": 0.1}
+    found = M.mix_sources(docs, weights, block=32, shard_slots=20).collect()
+    expected = brute(parts, weights, len(found), 32, 20, M.SEED)
+    assert {(r.shard, r.slot): (r.source, r.block, r.epoch, list(r.doc_ids), bytes(r.tokens)) for r in found} == expected and len(found) == len(expected)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_document_is_lost_whatever_the_seed(make, rng, seed):
+    rows = [(f"id{i}", "word " * rng.randrange(40), f"s{i % 5 // 4}") for i in range(40)]
+    docs = make([(i, t, s) for i, (_, t, s) in enumerate(rows)]).withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id")))
+    got = M.mix_documents(docs, temperature=0.9, min_epochs=1.0, block=16, shard_slots=8, seed=seed).collect()
+    assert {r.doc_id for r in got} == {i for i, _, _ in rows}
