@@ -16,9 +16,11 @@ is VERIFY + 1. So each word is searched exactly for all pairs within its radius
 Groups are connected components over the verified pairs; the document with the least id of
 each group stays. Documents whose signatures are the same are one entry in the search.
 
-Defined cases: rows with a NULL id and texts without any word (NULL, empty, only punctuation)
-take no part and stay; rows that repeat id and text count as one document; an empty table
-gives no pairs.
+Defined cases: ids are integers; rows with a NULL id and texts without any word (NULL, empty, only
+punctuation) take no part and stay; texts are read whole, however long; rows that repeat id and
+text count as one document, and all of them stay or go; of a group the least id stays, and of
+several texts with that id the one with the least hash; an empty table gives no pairs; the two
+columns are picked by exact name, and all others, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 import gc
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -35,11 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Memo, cut, fields, maybe_broadcast, mix64, parallelism, rows_back, slices, with_row
+from ._util import Memo, cut, fields, maybe_broadcast, mix64, rows_back, slices, with_row
 
 BITS = 64
 VERIFY = 44
 MOST = 4  # the largest t_i + 1 that is considered
+#: Signatures with one value of a part that a task holds; more are spread over several.
+HELD = 50_000
 
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…“”‘’«»–—¡¿"
 
@@ -246,6 +250,8 @@ def value_pairs(sigs: DataFrame, tau: int) -> DataFrame:
         histograms[k][v] = c
     balls = spark.sparkContext.broadcast([ball_counts(h, w).astype(np.float32) for h, w in zip(histograms, widths)])
     masks = [[ball_masks(w, r) for r in range(MOST)] for w in widths]
+    # Signatures of a value that very many have are spread by their hash, and its probes go to all.
+    shares = spark.sparkContext.broadcast([np.maximum(1, np.ceil(h / HELD)).astype(np.int64) for h in histograms])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(keys: np.ndarray, found: np.ndarray, probe: int) -> pa.RecordBatch:
@@ -257,43 +263,73 @@ def value_pairs(sigs: DataFrame, tau: int) -> DataFrame:
             costs = [np.vstack([np.zeros(len(found)), *(balls.value[k][r][own[k]] * CANDIDATE + len(masks[k][r]) * PROBE for r in range(MOST))]) for k in range(parts)]
             levels = allocate(costs, tau)
             for k in range(parts):
-                yield rows(own[k] | k << 24, found, 0)
+                share = shares.value[k]
+                salt = (mix64(found) % share[own[k]].astype(np.uint64)).astype(np.int64)
+                yield rows(own[k] | k << 24 | salt << 32, found, 0)
                 for u in range(1, MOST + 1):
                     mine = np.flatnonzero(levels[k] == u)
                     if len(mine):
                         near = masks[k][u - 1]
-                        keys = (own[k][mine][:, None] ^ near).ravel() | k << 24
-                        yield rows(keys, found[np.repeat(mine, len(near))], 1)
-
-    slices = parallelism(spark) * 4
-
-    def verify(key, group: pa.Table) -> pa.Table:
-        keys = group.column("key").to_numpy()
-        order = np.argsort(keys, kind="stable")
-        keys, found = keys[order], group.column("sig").to_numpy().view(np.uint64)[order]
-        probe, keys = (keys & 1).astype(bool), keys >> 1
-        edges = np.flatnonzero(np.diff(keys, prepend=-1))
-        left, right = [], []
-        for low, high in zip(edges, np.append(edges[1:], len(keys))):
-            asks = probe[low:high]
-            ask, have = found[low:high][asks], found[low:high][~asks]
-            if not len(ask) or not len(have):
+                        values = (own[k][mine][:, None] ^ near).ravel()
+                        asking = found[np.repeat(mine, len(near))]
+                        for salt in range(int(share[values].max())):
+                            on = share[values] > salt
+                            yield rows(values[on] | k << 24 | salt << 32, asking[on], 1)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of their keys, of each key the signatures before the probes."""
+        held = np.empty(0, np.int64), np.empty(0, np.uint64)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = np.concatenate([held[0], batch.column(0).to_numpy()]), np.concatenate([held[1], batch.column(1).to_numpy().view(np.uint64)])
+                if len(held[0]) < 2 * HELD:
+                    continue
+            keys, found = held
+            if not len(keys):
                 continue
-            step = max(1, 2_000_000 // len(have))
-            for i in range(0, len(ask), step):
-                q, x = np.nonzero(np.bitwise_count(ask[i : i + step, None] ^ have) <= tau)
-                one, other = ask[i + q].view(np.int64), have[x].view(np.int64)
-                less = one < other
-                left.append(one[less])
-                right.append(other[less])
-        pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0) if left else np.empty((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            last = keys[-1] >> 1
+            yield from _matches(keys, found, tau)
+            # The last key may go on: its signatures stay, and the probes that were answered go.
+            stay = (keys >> 1 == last) & (keys & 1 == 0)
+            held = keys[stay], found[stay]
 
     sent = sigs.select("s0").mapInArrow(send, "key long, sig long")
-    found = sent.withColumn("slice", F.pmod(F.xxhash64(F.shiftright("key", 1)), F.lit(slices)).cast("int")).groupBy("slice").applyInArrow(lambda k, t: verify(k, t), "a long, b long")
+    found = sent.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
     return found.distinct()
 
 
+def _matches(keys: np.ndarray, found: np.ndarray, tau: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) with a < b of the signatures and probes of each key, in order, that are within tau bits."""
+    probe, keys = (keys & 1).astype(bool), keys >> 1
+    edges = np.flatnonzero(np.diff(keys, prepend=-1))
+    left, right, n = [], [], 0
+
+    def made() -> pa.RecordBatch:
+        pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
+        left.clear()
+        right.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for low, high in zip(edges, np.append(edges[1:], len(keys))):
+        asks = probe[low:high]
+        ask, have = found[low:high][asks], found[low:high][~asks]
+        if not len(ask) or not len(have):
+            continue
+        step = max(1, 2_000_000 // len(have))
+        for i in range(0, len(ask), step):
+            q, x = np.nonzero(np.bitwise_count(ask[i : i + step, None] ^ have) <= tau)
+            one, other = ask[i + q].view(np.int64), have[x].view(np.int64)
+            less = one < other
+            left.append(one[less])
+            right.append(other[less])
+            n += len(left[-1])
+            if n > 1_000_000:
+                yield made()
+                n = 0
+    if left:
+        yield made()
+
+
 def hamming_pairs(sigs: DataFrame, tau: int) -> DataFrame:
     """(a, b) with a < b of all rows within tau bits on s0, by their distinct __id, and their
     other columns as a_... and b_...; rows with the same s0 are found by an equi-join."""

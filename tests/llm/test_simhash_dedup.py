@@ -12,8 +12,9 @@ def near(rng, text, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("tau", [3, 6, 10])
-def test_pairs_equal_brute_force(spark, tau):
+@pytest.mark.parametrize("tau, held", [(3, S.HELD), (6, 3), (10, S.HELD), (10, 1)])
+def test_pairs_equal_brute_force(spark, monkeypatch, tau, held):
+    monkeypatch.setattr(S, "HELD", held)
     rng = np.random.default_rng(tau)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     sigs = list(base)
