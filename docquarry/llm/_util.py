@@ -82,12 +82,15 @@ def rows_back(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a folder of this
+    machine serves if there is no other machine; on a cluster it would lose what is written."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='docquarry-')}"
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():

@@ -5,9 +5,10 @@ of the hash space) and sends each owner one Golomb-Rice-coded message. Owners co
 fingerprints over all messages and answer with a bitmap per message. Only rows whose bit
 is set (suspects) have their texts moved, and those are compared byte by byte.
 
-Defined cases: a row whose id or text is NULL takes part in nothing and stays; empty texts
-are equal to each other; of equal texts the row with the least id stays, and of several
-equal rows with that id exactly one; an empty table gives no pairs; other columns, of any
+Defined cases: ids may be of any type; a row whose id or text is NULL takes part in nothing and
+stays; empty texts are equal to each other; texts are compared whole, however long; of equal
+texts the row with the least id stays, and of several equal rows with that id exactly one; an
+empty table gives no pairs; the two columns are picked by exact name, and other columns, of any
 name, are carried along untouched.
 """
 

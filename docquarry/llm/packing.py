@@ -8,9 +8,11 @@ size depends on the capacity alone. Pieces then learn their slot from their rank
 length; the rank comes from counts by (length, hash bucket), so that a common length isn't
 ranked in one place.
 
-Defined cases: NULL ids are packed as well; NULL and empty texts have no tokens and give no
-piece; equal lengths are ranked by hash bucket, id and position, and repeated rows each get a
-slot of their own; an empty table gives an empty plan.
+Defined cases: ids may be of any type, and NULL ids are packed as well; NULL and empty texts have
+no tokens and give no piece; a very long text gives as many pieces as it needs; equal lengths are
+ranked by hash bucket, id and position, and repeated rows each get a slot of their own; an empty
+table gives an empty plan; the two columns are picked by exact name, and other columns, of any
+name, take no part.
 """
 
 from __future__ import annotations

@@ -9,9 +9,13 @@ The classifier is fitted on at most max_rows labelled documents of each class, t
 least hashes of their ids: a documented bound, so that training doesn't grow with the corpus.
 Every document is scored, over its whole text.
 
-Defined cases: a NULL text scores as an empty one (the bias alone); labels that are NULL are
-left out; of several labels for a document the largest counts; without labels of both classes
-all weights are zero, every score is 0.5 and nothing is rejected; repeated rows get the same score.
+Defined cases: a NULL text scores as an empty one (the bias alone); very long texts are scored
+whole; rows with a NULL id are scored, and can't be labelled; labels that are NULL are left out; of
+several labels for a document the largest counts, and of several texts with one id the least is
+learnt from; a score that is equal to the threshold isn't toxic; without labels of both classes all
+weights are zero, every score is 0.5 and nothing is rejected; repeated rows get the same score; an
+empty table gives no rows; columns are picked by exact name, and drop_toxic carries all others, of
+any name, along.
 """
 
 from __future__ import annotations
@@ -102,7 +106,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
         picked = some if picked is None else picked.unionByName(some)
     # At most 2 * max_rows rows, so this side may always be broadcast.
     texts = fields(docs, __dq_id=id_col, __dq_text=text_col).withColumn("__dq_text", F.col("__dq_text").cast("string"))
-    return texts.join(F.broadcast(picked), "__dq_id")
+    # Of several texts with one id the least, so that there are never more rows than were picked.
+    return texts.join(F.broadcast(picked), "__dq_id").groupBy("__dq_id", "__dq_label").agg(F.min("__dq_text").alias("__dq_text"))
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
