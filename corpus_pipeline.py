@@ -2,6 +2,14 @@
 
 toxicity -> exact dedup -> SimHash near-dedup -> mixing to target weights -> best-fit packing.
 Each stage gets all rows its predecessor kept, written as Parquet and read again.
+
+Defined cases, the stages taken together: a document with a NULL id is judged for toxicity, takes
+part in no dedup, stays as it is in the mixing and is packed with a NULL id; NULL and empty texts
+score as the classifier's bias, empty ones are copies of each other, and both have no tokens, so
+they reach the packing and give no piece there; very long texts are read whole by every stage; of
+rows that repeat an id and text one stays, of equal or near texts the least id; a NULL source is a
+source by itself; other columns, of any name, are carried along up to the packing; an empty
+documents table gives an empty result; without labels of both classes nothing is rejected.
 """
 
 from __future__ import annotations
