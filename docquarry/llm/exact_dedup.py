@@ -2,8 +2,11 @@
 
 Every partition sorts the 64-bit fingerprints of its texts, splits them by owner (a range
 of the hash space) and sends each owner one Golomb-Rice-coded message. Owners count
-fingerprints over all messages and answer with a bitmap per message. Only rows whose bit
-is set (suspects) have their texts moved, and those are compared byte by byte.
+fingerprints over all messages and answer with a bitmap per message. The fingerprints themselves
+stay in their checkpointed partition, which is put together with its own bitmaps, partition by
+partition; nothing but messages and bitmaps is exchanged. Owners are so many that each counts
+OWNER_ROWS fingerprints or fewer. Only rows whose bit is set (suspects) have their texts moved,
+and those are compared byte by byte.
 
 Defined cases: ids may be of any type; a row whose id or text is NULL takes part in nothing and
 stays; empty texts are equal to each other; texts are compared whole, however long; of equal
@@ -17,13 +20,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._util import cut, fields, maybe_broadcast, parallelism, rows_back, with_row
 
 
+#: Fingerprints that an owner counts.
+OWNER_ROWS = 4_000_000
+
+
 def golomb_encode(values: np.ndarray, low: int, span: int) -> bytes:
     """Sorted unsigned integers from low on, as Golomb-Rice-coded gaps.
 
@@ -74,41 +83,56 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__dq_id, __dq_h) of the rows whose fingerprint occurs more than once."""
-    owners = parallelism(docs.sparkSession)
-    bounds = _bounds(owners)
+    spark = docs.sparkSession
     prints = cut(_fingerprints(docs, id_col, text_col).select("__dq_id", "__dq_h", F.spark_partition_id().alias("__p")))
+    owners = max(parallelism(spark), -(-prints.count() // OWNER_ROWS))
+    bounds = _bounds(owners)
+    kind = prints.schema["__dq_id"]
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [(b["__p"].iloc[0], b["__dq_h"].to_numpy().view(np.uint64)) for b in batches if len(b)]
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
         if got:
-            ordered, at = _split(np.concatenate([h for _, h in got]), owners)
-            rows = [(o, golomb_encode(ordered[at[o] : at[o + 1]], bounds[o], bounds[o + 1] - bounds[o])) for o in range(owners) if at[o + 1] > at[o]]
-            yield pd.DataFrame({"owner": [o for o, _ in rows], "part": int(got[0][0]), "message": [m for _, m in rows]})
-
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        low = bounds[int(group["owner"].iloc[0])]
-        hashes = [golomb_decode(m, low) for m in group["message"]]
+            ordered, at = _split(np.concatenate([b.column(1).to_numpy().view(np.uint64) for b in got]), owners)
+            to = np.flatnonzero(np.diff(at))
+            messages = [golomb_encode(ordered[at[o] : at[o + 1]], bounds[o], bounds[o + 1] - bounds[o]) for o in to.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(to), got[0].column(2)[0].as_py(), np.int32)), pa.array(messages, pa.binary())], names=["owner", "part", "message"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        low = bounds[group.column("owner")[0].as_py()]
+        hashes = [golomb_decode(m.as_py(), low) for m in group.column("message")]
         found, counts = np.unique(np.concatenate(hashes), return_counts=True)
         twice = found[counts > 1]
         bitmaps = [np.packbits(np.isin(h, twice)).tobytes() for h in hashes]
-        return pd.DataFrame({"part": group["part"], "owner": group["owner"], "bitmap": bitmaps})
-
-    def mark(mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine):
-            return mine[["__dq_id", "__dq_h"]]
-        hashes = mine["__dq_h"].to_numpy().view(np.uint64)
+        return pa.table({"part": group.column("part"), "owner": group.column("owner"), "bitmap": pa.array(bitmaps, pa.binary())})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The partition as one row, so that it can be put beside its bitmaps."""
+        out = pa.BufferOutputStream()
+        schema = to_arrow_schema(prints_schema)
+        with pa.ipc.new_stream(out, schema) as stream:
+            for b in batches:
+                stream.write_batch(b.select([0, 1]).cast(schema))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+    def mark(mine_and_answers: tuple) -> list[tuple]:
+        rows, answers = mine_and_answers
+        mine = pa.ipc.open_stream(rows["rows"]).read_all()
+        hashes = mine.column(1).to_numpy().view(np.uint64)
         order = np.argsort(hashes, kind="stable")
         _, at = _split(hashes, owners)
         flags = np.zeros(len(hashes), bool)
-        for owner, bitmap in zip(answers["owner"], answers["bitmap"]):
+        for owner, bitmap in answers:
             low, high = at[owner], at[owner + 1]
             flags[low:high] = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=high - low)
-        return mine.iloc[np.sort(order[flags])][["__dq_id", "__dq_h"]]
-
-    messages = prints.mapInPandas(send, "owner int, part int, message binary")
-    bitmaps = messages.groupBy("owner").applyInPandas(answer, "part int, owner int, bitmap binary")
-    kind = prints.schema["__dq_id"].dataType.simpleString()
-    return cut(prints.groupBy("__p").cogroup(bitmaps.groupBy("part")).applyInPandas(mark, f"__dq_id {kind}, __dq_h long"))
+        hit = mine.take(pa.array(np.sort(order[flags])))
+        return list(zip(hit.column(0).to_pylist(), hit.column(1).to_pylist()))
+
+    prints_schema = T.StructType([T.StructField("__dq_id", kind.dataType), T.StructField("__dq_h", T.LongType())])
+    messages = prints.mapInArrow(send, "owner int, part int, message binary")
+    bitmaps = messages.groupBy("owner").applyInArrow(answer, "part int, owner int, bitmap binary")
+    partitions = prints.mapInArrow(whole, "rows binary").rdd
+    replies = bitmaps.rdd.map(lambda r: (r["part"], (r["owner"], bytes(r["bitmap"])))).partitionBy(partitions.getNumPartitions(), lambda p: p).mapPartitions(lambda mine: [[v for _, v in mine]])
+    return cut(spark.createDataFrame(partitions.zip(replies).flatMap(mark), prints_schema, verifySchema=False))
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

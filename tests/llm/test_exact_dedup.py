@@ -47,3 +47,12 @@ def test_different_texts_with_one_fingerprint(make, monkeypatch):
 
 def test_empty_table(make):
     assert E.duplicate_pairs(make([])).count() == 0 and E.drop_exact_duplicates(make([])).count() == 0
+
+
+def test_text_ids_many_owners_and_empty_partitions(make, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(E, "OWNER_ROWS", 2)
+    docs = make([(i, f"t{i % 5}") for i in range(12)]).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 2, "0"))).repartition(30)
+    assert {tuple(r) for r in E.duplicate_pairs(docs).collect()} == {(f"d{i:02}", f"d{i % 5:02}") for i in range(5, 12)}
+    assert sorted(r.doc_id for r in E.drop_exact_duplicates(docs).collect()) == [f"d{i:02}" for i in range(5)]
