@@ -34,8 +34,21 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Web pages
 
+_PLAIN = "trim(regexp_replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
-@query()
+
+def _marked(pattern: str, groups: int, index: str) -> str:
+    """Rows of (page_id, index, g1, ...) of all places of a page's markup that match; those without text are left out."""
+    got = ", ".join(f"'g{i}': {_PLAIN.format(f'regexp_extract(x, $${pattern}$$, {i})')}" for i in range(1, groups + 1))
+    found = f"list_filter(list_transform(regexp_extract_all(html, $${pattern}$$), lambda x: {{{got}}}), lambda y: y.g{groups} <> '')"
+    return f"SELECT page_id, CAST(i - 1 AS INTEGER) AS {index}, {', '.join(f'f[i].g{i} AS g{i}' for i in range(1, groups + 1))} FROM (SELECT page_id, f, unnest(range(1, len(f) + 1)) AS i FROM (SELECT page_id, {found} AS f FROM pages))"
+
+
+_LINKS = _marked('<a href="([^"]*)">([^<]*)</a>', 2, "link_idx")
+_HEADINGS = _marked("<(h[1-6])>([^<]*)</h[1-6]>", 2, "heading_idx")
+
+
+@query(f"SELECT p.page_id, CAST(count(l.g1) AS INTEGER) AS n_links, CAST(count(DISTINCT l.g1) AS INTEGER) AS n_targets FROM pages p LEFT JOIN ({_LINKS}) l ON l.page_id = p.page_id GROUP BY p.page_id")
 def html_links_per_page(spark, sf_dir):
     """Every page with the number of its links and of distinct targets."""
     page = web.parsed_pages(_t(spark, sf_dir, "pages").select("page_id", "html"))
@@ -47,22 +60,29 @@ def html_text(spark, sf_dir):
     return web.texts(_t(spark, sf_dir, "pages"))
 
 
-@query()
+@query("""
+    SELECT page_id, CAST(0 AS INTEGER) AS table_idx, [['id', 'url'], [CAST(page_id AS VARCHAR), trim(regexp_replace(url, '\\s+', ' ', 'g')), 'end']] AS data, CAST(2 AS INTEGER) AS rows, CAST(3 AS INTEGER) AS columns FROM pages
+""")
 def html_tables(spark, sf_dir):
-    return web.tables(_t(spark, sf_dir, "pages"))
+    """The pages hold no tables, so each is given one that its own columns tell."""
+    cell = lambda c: F.concat(F.lit("<td>"), F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</td>"))
+    table = F.concat(F.lit("<body><table><tr><th>id</th><th><i>u</i>rl</th></tr><tr>"), cell(F.col("page_id").cast("string")), cell(F.col("url")), F.lit("<td>end</td></tr></table>"))
+    return web.tables(_t(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("<body>"), table)))
 
 
-@query()
+@query(f"SELECT page_id, link_idx, g2 AS text, g1 AS href FROM ({_LINKS})")
 def html_links(spark, sf_dir):
     return web.links(_t(spark, sf_dir, "pages"))
 
 
-@query()
+@query(f"SELECT page_id, heading_idx, g1 AS level, g2 AS text FROM ({_HEADINGS})")
 def html_headings(spark, sf_dir):
     return web.headings(_t(spark, sf_dir, "pages"))
 
 
-@query()
+@query(f"""
+    SELECT page_id, {_PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset, '' AS description, '' AS keywords, '' AS author FROM pages
+""")
 def html_metadata(spark, sf_dir):
     return web.metadata(_t(spark, sf_dir, "pages"))
 
@@ -247,17 +267,16 @@ def asof_forward(spark, sf_dir):
 
 
 @query("""
-    SELECT event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after, CASE WHEN lag(event_type) OVER w = 'view' THEN lag(event_type) OVER w ELSE lead(event_type) OVER w END AS caption
+    SELECT event_id, event_type, CASE WHEN lag(event_type) OVER w = 'view' THEN lag(event_type) OVER w ELSE lead(event_type) OVER w END AS caption
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def neighbour_caption(spark, sf_dir):
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    before, after = F.lag("event_type").over(by), F.lead("event_type").over(by)
-    return _t(spark, sf_dir, "events").select("event_id", before.alias("before"), after.alias("after"), F.when(before == "view", before).otherwise(after).alias("caption"))
+    found = R.neighbour_caption(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type"), F.col("event_type") == "view")
+    return found.select("event_id", "event_type", "caption")
 
 
 @query("""
-    SELECT b.item_id, coalesce(min(d.doc_id), -1) AS doc_id FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 60)) GROUP BY b.item_id
+    SELECT b.item_id, coalesce(min(d.doc_id), -1) AS doc_id FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id
 """)
 def contains_match(spark, sf_dir):
     needles = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
@@ -271,8 +290,8 @@ def contains_match(spark, sf_dir):
 def range_join(spark, sf_dir):
     """Things in the inclusive range of positions of their holder; the key makes it an equi-join."""
     orders, events = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _t(spark, sf_dir, "events").select("event_id", "user_id")
-    inside = (F.col("user_id") == F.col("o_custkey")) & F.col("event_id").between(F.col("o_orderkey"), F.col("o_orderkey") + 500)
-    return orders.join(events, inside, "left").groupBy("o_orderkey").agg(F.count("event_id").alias("n_events"))
+    held = R.within_ranges(orders, events, [("o_custkey", "user_id")], F.col("o_orderkey"), F.col("o_orderkey") + 500, F.col("event_id"))
+    return held.groupBy("o_orderkey").agg(F.count("event_id").alias("n_events"))
 
 
 @query("""
@@ -280,8 +299,7 @@ def range_join(spark, sf_dir):
 """)
 def lookup_with_default(spark, sf_dir):
     styles = _t(spark, sf_dir, "region").where("r_name <> 'ASIA'")
-    nations = _t(spark, sf_dir, "nation")
-    return nations.join(styles, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", F.coalesce("r_name", "n_name").alias("label"))
+    return R.looked_up(_t(spark, sf_dir, "nation"), "n_regionkey", styles, "r_regionkey", "r_name", "n_name", "label").select("n_nationkey", "n_name", "label")
 
 
 @query("""
@@ -308,7 +326,41 @@ def positional_join(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def processed_anti_join(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return R.unprocessed(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, line_no, line, CASE WHEN length(line) < 20 THEN 1 WHEN length(line) < 30 THEN 2 WHEN length(line) < 45 THEN 3 END AS level FROM {_LINES}),
+    h AS (SELECT *, max(CASE WHEN level = 1 THEN line_no END) OVER w AS a1, max(CASE WHEN level = 2 THEN line_no END) OVER w AS a2, max(CASE WHEN level = 3 THEN line_no END) OVER w AS a3 FROM l
+        WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    n AS (SELECT h.doc_id, h.line_no, b1.line AS t1, CASE WHEN coalesce(a1, -1) < a2 THEN b2.line END AS t2, CASE WHEN greatest(coalesce(a1, -1), coalesce(a2, -1)) < a3 THEN b3.line END AS t3 FROM h
+        LEFT JOIN l b1 ON b1.doc_id = h.doc_id AND b1.line_no = a1 LEFT JOIN l b2 ON b2.doc_id = h.doc_id AND b2.line_no = a2 LEFT JOIN l b3 ON b3.doc_id = h.doc_id AND b3.line_no = a3)
+    SELECT doc_id, line_no, concat_ws(' > ', t1, t2, t3) AS heading_path FROM n
+""")
+def heading_stack(spark, sf_dir):
+    """The headings that are open at every line, by three lengths of line."""
+    size = F.length("line")
+    lines = R.lines_of(_t(spark, sf_dir, "documents"), "doc_id", "text").withColumn("level", F.when(size < 20, 1).when(size < 30, 2).when(size < 45, 3))
+    return R.heading_paths(lines, ["doc_id"], "line_no", "level", "line", 3).select("doc_id", "line_no", F.array_join("heading_path", " > ").alias("heading_path"))
+
+
+_THINGS = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN [string_split(text, ' ')[1]] WHEN 1 THEN ['no such caption'] ELSE list_distinct(string_split(text, ' ')) END AS tokens FROM conversations"
+
+
+@query(f"""
+    WITH t AS ({_THINGS}), u AS (SELECT conv_id, turn AS unit, text, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS level FROM conversations),
+    e AS (SELECT conv_id, coalesce(max(unit) FILTER (level = 1), max(unit)) AS other FROM u GROUP BY conv_id),
+    h AS (SELECT t.conv_id, t.turn, min(unit) AS found FROM t JOIN u ON t.conv_id = u.conv_id AND len(list_filter(tokens, lambda x: NOT contains(u.text, x))) = 0 GROUP BY t.conv_id, t.turn)
+    SELECT t.conv_id, t.turn, coalesce(h.found, e.other) AS unit FROM t LEFT JOIN h ON h.conv_id = t.conv_id AND h.turn = t.turn LEFT JOIN e ON e.conv_id = t.conv_id
+""")
+def unit_assignment(spark, sf_dir):
+    """Images by their caption and tables by all their tokens: the first unit that has them, else
+    the last of level 1, else the last."""
+    turns = _t(spark, sf_dir, "conversations")
+    words = F.split("text", " ")
+    tokens = F.when(F.col("turn") % 3 == 0, F.array(words[0])).when(F.col("turn") % 3 == 1, F.array(F.lit("no such caption"))).otherwise(F.array_distinct(words))
+    units = turns.select("conv_id", F.col("turn").alias("unit"), "text", F.when(F.col("role") == "user", 1).otherwise(2).alias("level"))
+    return R.assigned_units(turns, units, ["conv_id"], "turn", tokens, "unit", "text", "level")
 
 
 # Groups, sets and order
@@ -316,7 +368,7 @@ def processed_anti_join(spark, sf_dir):
 
 @query("SELECT doc_id, sha1(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def dedup_first(spark, sf_dir):
-    return R.first_of_content(_t(spark, sf_dir, "documents"), F.col("text"), ["doc_id"]).select("doc_id", F.sha1("text").alias("digest"))
+    return R.first_of_content(_t(spark, sf_dir, "documents"), F.col("text"), ["doc_id"], keep=["doc_id"])
 
 
 @query("""
@@ -374,7 +426,7 @@ def bag_union_listing(spark, sf_dir):
 @query("SELECT DISTINCT k AS key FROM (SELECT source AS k FROM documents UNION ALL SELECT lang FROM documents)")
 def supported_union(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    return docs.select(F.col("source").alias("key")).unionAll(docs.select("lang")).distinct()
+    return R.key_union(docs.select("source"), docs.select("lang"))
 
 
 @query("""
@@ -388,15 +440,14 @@ def recursive_walk(spark, sf_dir):
         .unionAll(_t(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey)", "concat('r', n_regionkey)", "n_name"))
         .unionAll(_t(spark, sf_dir, "supplier").selectExpr("concat('s', s_suppkey)", "concat('n', s_nationkey)", "s_name"))
     )
-    return R.nested_paths(nodes, "id", "parent", "name", 2)
+    return R.nested_paths(nodes, "id", "parent", "name")
 
 
 @query("""
     SELECT c_custkey, '{"_type":"Customer","name":"' || c_name || '","segment":"' || c_mktsegment || '","nation":' || c_nationkey || '}' AS json FROM customer
 """)
 def to_json(spark, sf_dir):
-    record = F.struct(F.lit("Customer").alias("_type"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
-    return _t(spark, sf_dir, "customer").select("c_custkey", F.to_json(record).alias("json"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", scalars.record_json("Customer", name=F.col("c_name"), segment=F.col("c_mktsegment"), nation=F.col("c_nationkey")).alias("json"))
 
 
 @query("""
@@ -405,20 +456,18 @@ def to_json(spark, sf_dir):
 """)
 def position_sort(spark, sf_dir):
     """Shapes classified, and numbered by (-y, x) with their own order last."""
-    by = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "ts", "event_id")
-    kind = F.when(F.col("event_type").isin("view", "click"), "title").when(F.col("event_type") == "error", "skip").otherwise("other")
-    return _t(spark, sf_dir, "events").select("event_id", "value", kind.alias("kind"), F.row_number().over(by).alias("place"))
+    kind = scalars.one_of(F.col("event_type"), title=["view", "click"], skip=["error"])
+    return R.by_position(_t(spark, sf_dir, "events"), ["user_id"], [F.col("value").desc(), "ts", "event_id"]).select("event_id", "value", kind.alias("kind"), "place")
 
 
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1")
 def first_only(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
+    return R.first_per(_t(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"])
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE 'fraction' END AS shown FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END AS shown FROM customer")
 def display_value(spark, sf_dir):
-    shown = scalars.display_value(F.col("c_acctbal"))
-    return _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") == F.floor("c_acctbal"), shown).otherwise("fraction").alias("shown"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", scalars.display_value(F.col("c_acctbal")).alias("shown"))
 
 
 @query("""
@@ -448,7 +497,7 @@ def better_of_two(spark, sf_dir):
     """The second candidate only where its score is strictly greater."""
     points = lambda kind: F.sum(F.when(F.col("event_type") == kind, 2).otherwise(-1))
     scored = _t(spark, sf_dir, "events").groupBy("user_id").agg(points("view").alias("raw"), points("click").alias("spatial"))
-    return scored.select("user_id", F.when(F.col("spatial") > F.col("raw"), "spatial").otherwise("raw").alias("chosen"), F.greatest("raw", "spatial").alias("score"))
+    return scored.select("user_id", R.better_of(F.lit("raw"), F.lit("spatial"), F.col("raw"), F.col("spatial")).alias("chosen"), F.greatest("raw", "spatial").alias("score"))
 
 
 @query("""
@@ -465,8 +514,7 @@ def ordered_distinct(spark, sf_dir):
 def data_box(spark, sf_dir):
     """The last row that isn't empty, and the widest row: where a sheet's data ends."""
     lines = R.lines_of(_t(spark, sf_dir, "documents"), "doc_id", "text")
-    there = F.col("line") != ""
-    return lines.groupBy("doc_id").agg(F.max(F.when(there, F.col("line_no"))).alias("last_row"), F.max(F.when(there, F.size(F.split("line", " ")))).alias("columns"))
+    return R.data_box(lines, ["doc_id"], "line_no", F.size(F.split("line", " ")), F.col("line") != "")
 
 
 @query("SELECT p_partkey, round(p_size * 100 / 1440.0, 4) AS inches, CAST(p_size * 1000 // 9525 AS INTEGER) AS px FROM part")
@@ -478,16 +526,15 @@ def paper_units(spark, sf_dir):
     SELECT o_orderkey, CASE WHEN contains(lower(o_orderpriority), 'first') OR contains(o_orderpriority, '1-') THEN 'first' WHEN contains(o_orderpriority, '2-') THEN 'even' ELSE 'default' END AS kind FROM orders
 """)
 def header_kind(spark, sf_dir):
-    name = F.col("o_orderpriority")
-    return _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.lower(name).contains("first") | name.contains("1-"), "first").when(name.contains("2-"), "even").otherwise("default").alias("kind"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", scalars.header_kind(F.col("o_orderpriority")).alias("kind"))
 
 
 @query("""
-    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, len(json_keys(props)) - CASE WHEN list_contains(json_keys(props), 'id') THEN 1 ELSE 0 END AS n_custom FROM events
+    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, len(json_keys(props)) - CASE WHEN list_contains(json_keys(props), 'id') THEN 1 ELSE 0 END - CASE WHEN list_contains(json_keys(props), 'Title') THEN 1 ELSE 0 END AS n_custom FROM events
 """)
 def custom_fields(spark, sf_dir):
     """Columns of a listing that its users made: what isn't built in."""
-    fields = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: ~k.isin("id", "Title") & ~k.startswith("@odata"))
+    fields = scalars.custom_fields(F.from_json("props", "map<string,string>"))
     return _t(spark, sf_dir, "events").select("event_id", fields["k"].cast("long").alias("k"), F.size(fields).cast("long").alias("n_custom"))
 
 

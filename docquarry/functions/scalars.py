@@ -113,3 +113,28 @@ def field_kind(instruction: Column) -> Column:
     for kind in ("toc", "styleref", "time", "date", "page"):
         out = F.when(upper.contains(kind.upper()), kind).otherwise(out)
     return out
+
+
+def one_of(value: Column, **kinds: list[str]) -> Column:
+    """The first kind whose list holds the value, else 'other'; such as the roles of place holders."""
+    out = F.lit("other")
+    for kind, values in reversed(kinds.items()):
+        out = F.when(value.isin(*values), kind).otherwise(out)
+    return out
+
+
+def header_kind(name: Column) -> Column:
+    """Which pages a header or footer is for, by its part's name."""
+    return F.when(F.lower(name).contains("first") | name.contains("1-"), "first").when(name.contains("2-"), "even").otherwise("default")
+
+
+def custom_fields(fields: Column) -> Column:
+    """Of a listing's map of columns those that its users made."""
+    from ..sources.drive import BUILT_IN
+
+    return F.map_filter(fields, lambda k, v: ~k.isin(*sorted(BUILT_IN)) & ~k.startswith("@odata"))
+
+
+def record_json(kind: str, **fields: Column) -> Column:
+    """A record as JSON, with its kind as _type before its fields; NULL fields are left out."""
+    return F.to_json(F.struct(F.lit(kind).alias("_type"), *[c.alias(n) for n, c in fields.items()]))

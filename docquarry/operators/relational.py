@@ -5,10 +5,11 @@ Each states how it treats order; ties are always broken by an explicit column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,12 +56,12 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str = "uni
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def first_of_content(rows: DataFrame, content: Column, order: list[str]) -> DataFrame:
-    """The first row of every SHA-1 of content. The digest alone is what is grouped by."""
-    names = rows.columns
-    marked = rows.withColumn("__digest", F.sha1(content))
-    firsts = marked.groupBy("__digest").agg(F.min(F.struct(*order)).alias("__first"))
-    return marked.join(firsts, "__digest").where(F.struct(*order) == F.col("__first")).select(*names)
+def first_of_content(rows: DataFrame, content: Column, order: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The first row of every SHA-1 of content: the columns named by keep (all if None) and its
+    digest. The digest is what is grouped by, so of the content itself nothing moves unless kept."""
+    names = keep if keep is not None else rows.columns
+    marked = rows.select(*names, F.struct(*order).alias("__order"), F.sha1(content).alias("digest"))
+    return marked.groupBy("digest").agg(F.min_by(F.struct(*names), "__order").alias("__row")).select("__row.*", "digest")
 
 
 def diverse_enough(rows: DataFrame, group: list[str], measure: str, trivial: int = 8, share: float = 0.6) -> DataFrame:
@@ -117,11 +118,47 @@ def inline_tables(lines: DataFrame, id_col: str) -> DataFrame:
     return found.where(F.forall("header", lambda t: t.rlike("^[A-Za-z]+$")) & F.forall("values", lambda t: t.rlike("^[0-9]+$"))).select(id_col, "line_no", "header", "values")
 
 
+#: Needles that are searched for together, by their number and their characters.
+NEEDLES, NEEDLE_CHARS = 50_000, 16 << 20
+
+
 def contains_match(left: DataFrame, left_id: str, left_text: str, right: DataFrame, right_id: str, needle: str, fallback: int | None = None) -> DataFrame:
-    """For every right row the least left id whose text contains its needle, else the fallback."""
-    hits = left.select(F.col(left_id).alias("__left"), F.col(left_text).alias("__text")).join(right.select(right_id, F.col(needle).alias("__needle")), F.expr("contains(__text, __needle)"))
-    first = hits.groupBy(right_id).agg(F.min("__left").alias("__found"))
-    return right.select(right_id).join(first, right_id, "left").select(right_id, F.coalesce("__found", F.lit(fallback).cast("long")).alias(left_id))
+    """For every right row the least left id whose text contains its needle, else the fallback.
+
+    Every text is read once for all needles of a block, by one automaton. Blocks are made so that
+    an automaton fits in memory: one pass for NEEDLES needles or NEEDLE_CHARS characters. A NULL
+    needle is in no text, an empty one in all that aren't NULL."""
+    words = right.select(F.col(needle).cast("string").alias("needle")).where("needle IS NOT NULL").distinct()
+    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("needle")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // NEEDLES), -(-size.chars // NEEDLE_CHARS))
+    texts = left.select(F.col(left_id).alias("__left"), F.col(left_text).cast("string").alias("__text")).where("__text IS NOT NULL AND __left IS NOT NULL")
+    kind = texts.schema[0].dataType.simpleString()
+    hits = texts.agg(F.lit("").alias("needle"), F.min("__left").alias("__left")).where("__left IS NOT NULL")
+    for block in range(blocks):
+        held = [r.needle for r in words.where((F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block) & (F.col("needle") != "")).collect()]
+        shared = left.sparkSession.sparkContext.broadcast(held)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for i, word in enumerate(shared.value):
+                automaton.add_word(word, i)
+            if not len(automaton):
+                return
+            automaton.make_automaton()
+            for batch in batches:
+                rows, found = [], []
+                for row, text in enumerate(batch.column(1)):
+                    here = {i for _, i in automaton.iter(text.as_py())}
+                    rows += [row] * len(here)
+                    found += here
+                yield pa.RecordBatch.from_arrays([pa.array([shared.value[i] for i in found], pa.string()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["needle", "__left"])
+
+        hits = hits.unionByName(texts.mapInArrow(search, f"needle string, __left {kind}"))
+    first = hits.groupBy("needle").agg(F.min("__left").alias("__found"))
+    wanted = right.select(F.col(right_id), F.col(needle).cast("string").alias("needle"))
+    return wanted.join(first, "needle", "left").select(right_id, F.coalesce("__found", F.lit(fallback).cast(kind)).alias(left_id))
 
 
 def right_justified(rows: DataFrame, columns: list[str], out: str = "line", separator: str = " ") -> DataFrame:
@@ -151,12 +188,19 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def nested_paths(nodes: DataFrame, node_id: str, parent_id: str, name: str, depth: int) -> DataFrame:
-    """(id, path, depth) of every node under the roots (NULL parent), to a depth of joins."""
+def nested_paths(nodes: DataFrame, node_id: str, parent_id: str, name: str, depth: int | None = None) -> DataFrame:
+    """(node, path, depth) of every node under the roots (NULL parent), one join a level, down to
+    the deepest. A node that is reached again (by a cycle) is an error; with depth, that many
+    levels are looked at and no more."""
+    edges = nodes.where(F.col(parent_id).isNotNull()).select(F.col(node_id).alias("__n"), F.col(parent_id).alias("node"), F.col(name).alias("__name"))
     level = nodes.where(F.col(parent_id).isNull()).select(F.col(node_id).alias("node"), F.col(name).alias("path"), F.lit(0).alias("depth"))
-    found = level
-    for d in range(1, depth + 1):
-        level = nodes.select(F.col(node_id).alias("__n"), F.col(parent_id).alias("node"), F.col(name).alias("__name")).join(level, "node").select(F.col("__n").alias("node"), F.concat_ws("/", "path", "__name").alias("path"), F.lit(d).alias("depth"))
+    found, d = level, 0
+    most = nodes.count() if depth is None else depth
+    while d < most:
+        d += 1
+        level = edges.join(level, "node").select(F.col("__n").alias("node"), F.concat_ws("/", "path", "__name").alias("path"), F.lit(d).alias("depth")).persist()
+        if level.isEmpty():
+            break
         found = found.unionAll(level)
     return found
 
@@ -174,3 +218,85 @@ def distinct_in_order(rows: DataFrame, keys: list[str], order: list[str], value:
     firsts = rows.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("__first"))
     ordered = F.array_sort(F.collect_list(F.struct("__first", value)))
     return firsts.groupBy(*keys).agg(F.transform(ordered, lambda r: r[value]).alias("values"))
+
+
+# Lookups, assignments and choices
+
+
+def looked_up(rows: DataFrame, key: str, names: DataFrame, name_key: str, name: str, default: str, out: str) -> DataFrame:
+    """rows with the name that their key has, else the column default."""
+    known = names.select(F.col(name_key).alias("__k"), F.col(name).alias("__v"))
+    return rows.join(known, F.col(key) == F.col("__k"), "left").withColumn(out, F.coalesce("__v", F.col(default))).drop("__k", "__v")
+
+
+def unprocessed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't among those done; rows with a NULL key stay."""
+    return rows.join(done.select(key).distinct(), key, "left_anti")
+
+
+def within_ranges(holders: DataFrame, things: DataFrame, keys: list[tuple[str, str]], low: Column, high: Column, at: Column) -> DataFrame:
+    """Every holder with the things of its key whose position lies in its range, both ends included;
+    a holder without any comes once, with NULLs. The key makes this an equi-join."""
+    same = reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in keys])
+    return holders.join(things, same & at.between(low, high), "left")
+
+
+def neighbour_caption(rows: DataFrame, keys: list[str], order: list[str], text: Column, is_caption: Column, out: str = "caption") -> DataFrame:
+    """The text before a row if that is a caption, else the text after it. is_caption is a test of
+    the same row's columns."""
+    by = Window.partitionBy(*keys).orderBy(*order)
+    before, after, fits = F.lag(text).over(by), F.lead(text).over(by), F.lag(is_caption).over(by)
+    return rows.withColumn(out, F.when(fits, before).otherwise(after))
+
+
+def first_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of every group, by one aggregation."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, "__r.*")
+
+
+def better_of(first: Column, second: Column, first_score: Column, second_score: Column) -> Column:
+    """The second only where its score is strictly greater."""
+    return F.when(second_score > first_score, second).otherwise(first)
+
+
+def key_union(*columns: DataFrame) -> DataFrame:
+    """The distinct values of one-column tables, as `key`."""
+    return reduce(DataFrame.unionAll, [c.toDF("key") for c in columns]).distinct()
+
+
+def by_position(rows: DataFrame, keys: list[str], order: list[Column | str], out: str = "place") -> DataFrame:
+    """Places of shapes in reading order."""
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def data_box(rows: DataFrame, keys: list[str], row: str, cells: Column, filled: Column) -> DataFrame:
+    """(keys, last_row, columns): the last row of a sheet that has something, and its widest."""
+    return rows.groupBy(*keys).agg(F.max(F.when(filled, F.col(row))).alias("last_row"), F.max(F.when(filled, cells)).alias("columns"))
+
+
+def heading_paths(rows: DataFrame, keys: list[str], order: str, level: str, text: str, deepest: int = 9, out: str = "heading_path") -> DataFrame:
+    """rows with the headings that are open at each, outermost first: a heading of level n closes
+    those of level n and deeper. level is NULL for what is no heading; a heading is on its own path."""
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col(level) == n, F.struct(F.col(order).alias("at"), F.col(text).alias("text"))), ignorenulls=True).over(upto) for n in range(1, deepest + 1)]
+    held = rows
+    for n, column in enumerate(last, 1):
+        held = held.withColumn(f"__l{n}", column)
+    open_ = []
+    for n in range(1, deepest + 1):
+        mine = F.col(f"__l{n}")
+        above = [F.col(f"__l{m}") for m in range(1, n)]
+        stays = reduce(Column.__and__, [a.isNull() | (a["at"] < mine["at"]) for a in above], mine.isNotNull())
+        open_.append(F.when(stays, mine["text"]))
+    return held.withColumn(out, F.filter(F.array(*open_), lambda t: t.isNotNull())).drop(*[f"__l{n}" for n in range(1, deepest + 1)])
+
+
+def assigned_units(things: DataFrame, units: DataFrame, keys: list[str], thing: str, tokens: Column, unit: str, text: str, level: str) -> DataFrame:
+    """(keys, thing, unit): the first unit of the thing's document whose text contains all its tokens
+    (an array; a caption is an array of one); else the last unit of level 1, else the last one."""
+    ends = units.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col(level) == 1, F.col(unit))), F.max(unit)).alias("__else"))
+    asked = things.select(*keys, thing, tokens.alias("__tokens"))
+    contains = (F.size("__tokens") > 0) & F.forall("__tokens", lambda t: F.col("__text").contains(t))
+    hits = asked.join(units.select(*keys, F.col(unit).alias("__unit"), F.col(text).alias("__text")), keys).where(contains).groupBy(*keys, thing).agg(F.min("__unit").alias("__first"))
+    return asked.join(hits, [*keys, thing], "left").join(ends, keys, "left").select(*keys, thing, F.coalesce("__first", "__else").alias(unit))

@@ -23,7 +23,7 @@ API = "https://graph.microsoft.com/v1.0"
 _EXPAND = "?$expand=listItem($expand=fields)"
 
 #: Columns of every list; what else there is was made by the site's users.
-_BUILT_IN = frozenset(
+BUILT_IN = frozenset(
     """id ContentType Created Modified AuthorLookupId EditorLookupId Attachments Edit LinkFilename LinkFilenameNoMenu DocIcon Title
     ItemChildCount FolderChildCount FileLeafRef FileDirRef FileRef LinkTitle LinkTitleNoMenu SharedWithUsersId SharedWithDetails
     Restricted FileSizeDisplay ParentVersionStringLookupId ParentLeafNameLookupId CheckoutUserLookupId CheckedOutUserId
@@ -170,7 +170,7 @@ class DriveClient:
     @staticmethod
     def _file(item: dict[str, Any], parent: str) -> DriveFile:
         fields = (item.get("listItem") or {}).get("fields") or {}
-        custom = {k: v for k, v in fields.items() if k not in _BUILT_IN and not k.startswith("@odata")}
+        custom = {k: v for k, v in fields.items() if k not in BUILT_IN and not k.startswith("@odata")}
         facet = item.get("file")
         return DriveFile(item.get("name", ""), item.get("id", ""), item.get("webUrl", ""), item.get("@microsoft.graph.downloadUrl"), item.get("size"), facet.get("mimeType") if isinstance(facet, dict) else None, item.get("lastModifiedDateTime"), item.get("createdDateTime"), parent or None, custom or None)
 

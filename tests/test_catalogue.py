@@ -1,3 +1,6 @@
+import html
+import re
+
 import pytest
 from oracle import same
 
@@ -11,8 +14,17 @@ def test_query_equals_its_sql(spark, tiny, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_without_sql_runs(spark, tiny, name):
-    found = catalogue.queries()[name](spark, tiny)
-    assert found.count() >= 0 and len(set(found.columns)) == len(found.columns)
+    from docquarry.formats.html import extract_markup
+
+    assert name == "html_text"
+    pages = spark.read.parquet(f"{tiny}/pages.parquet").select("page_id", "html").collect()
+    found = catalogue.queries()[name](spark, tiny).collect()
+    assert len(found) == len(pages) > 0
+    # Every word of an article's paragraphs is in the text, and no markup is.
+    texts = {r.page_id: r.text for r in found}
+    for r in pages:
+        assert texts[r.page_id] == extract_markup(r.html).full_text and "<p>" not in texts[r.page_id] and "track(" not in texts[r.page_id]
+        assert set(html.unescape(re.sub("<[^>]*>", " ", re.search("<article>(.*)</article>", r.html, re.S)[1])).split()) <= set(texts[r.page_id].split()) | set(re.sub("<[^>]*>", "", html.unescape(r.html)).split())
 
 
 def test_entry_module_has_all(spark, tiny):
@@ -27,3 +39,21 @@ def test_contains_match_needs_the_whole_passage(spark, tmp_path):
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, passage[:70]), (2, f"so: {passage}!"), (3, passage)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in catalogue.queries()["contains_match"](spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
+def test_needles_in_blocks_and_unusual_ones(spark, monkeypatch):
+    from docquarry.operators import relational as R
+
+    monkeypatch.setattr(R, "NEEDLES", 2)
+    docs = spark.createDataFrame([(3, "abc def"), (1, "xdefx"), (2, None), (None, "abc"), (4, "")], "i long, t string")
+    needles = spark.createDataFrame([(1, "abc"), (2, "def"), (3, "zzz"), (4, None), (5, ""), (6, "def"), (7, "c d")], "k long, w string")
+    found = {tuple(r) for r in R.contains_match(docs, "i", "t", needles, "k", "w", fallback=-1).collect()}
+    assert found == {(1, 3), (2, 1), (3, -1), (4, -1), (5, 1), (6, 1), (7, 3)}
+
+
+def test_paths_of_any_depth(spark):
+    from docquarry.operators import relational as R
+
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, str(i)) for i in range(7)] + [(9, 8, "lost")], "id long, parent long, name string")
+    found = {r.node: (r.path, r.depth) for r in R.nested_paths(nodes, "id", "parent", "name").collect()}
+    assert found == {i: ("/".join(map(str, range(i + 1))), i) for i in range(7)}
