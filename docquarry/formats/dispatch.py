@@ -20,11 +20,15 @@ _WHERE = {
     "plain": "plain.read", "pdf": "pdf.read", "html": "html.read", "epub": "epub.read", "archive": "archive.read",
 }
 
+_OWN: dict[str, "Reader"] = {}
+
 Reader = Callable[[bytes, "str | None"], Iterator[Document]]
 
 
 def reader(kind: str | None) -> Reader:
     """The reader of a type key; its module is loaded at its first use."""
+    if kind in _OWN:
+        return _OWN[kind]
     if kind not in READERS:
         raise UnsupportedFormat(f"no reader for {kind}")
     module, _, name = _WHERE[READERS[kind]].partition(".")
@@ -44,6 +48,35 @@ def read_as(kind: str | None, data: bytes, path: str | None = None) -> Iterator[
         raise Failed(f"{type(error).__name__}: {error}", cause=error) from error
 
 
+def _named(kind: str) -> Reader:
+    def read(data: bytes, path: str | None = None) -> Iterator[Document]:
+        return read_as(kind, data, path)
+
+    read.__name__ = read.__qualname__ = f"read_{kind}"
+    read.__doc__ = f"Documents of a {kind} file's bytes, whatever its name."
+    return read
+
+
+#: read_docx, read_xlsx, ...: a reader by name for every type key.
+BY_NAME: dict[str, Reader] = {f"read_{kind}": _named(kind) for kind in READERS}
+
+
+def __getattr__(name: str) -> Reader:
+    try:
+        return BY_NAME[name]
+    except KeyError:
+        raise AttributeError(name) from None
+
+
+def register_reader(name: str, read: Reader, suffixes: str) -> None:
+    """A reader of one's own, for this process, under a type key and for suffixes (divided by
+    blanks). Workers have it where the module that registers it is imported by them."""
+    from .. import routing
+
+    routing.add_type(name, suffixes.split())
+    _OWN[name] = read
+
+
 def get_extractor(path: str) -> Reader:
     kind = file_type(path)
     if kind is None:

@@ -17,6 +17,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import routing
+from ..formats.archive import Limits
 from ..formats.dispatch import MAX_FILE_SIZE
 
 _ADDRESS = "struct<name:string,address:string>"
@@ -55,8 +56,9 @@ def _failed(path: str | None, kind: str, message: str) -> dict:
     return {"path": path, "doc_idx": 0, "error": {"kind": kind, "message": message[:2000]}}
 
 
-def rows_of(path: str | None, content: bytes | None, binary: bool = False, attachments: bool = False, most: int = MAX_FILE_SIZE) -> Iterator[dict]:
-    """Rows for one file. With attachments, documents in the attachments of its messages too."""
+def rows_of(path: str | None, content: bytes | None, binary: bool = False, attachments: bool = False, most: int = MAX_FILE_SIZE, kind: str | None = None) -> Iterator[dict]:
+    """Rows for one file. With attachments, documents in the attachments of its messages too; with
+    kind the file is read as that, else as its name says."""
     from ..errors import ExtractionError, TooLarge
     from ..formats.dispatch import attachments as attached
     from ..formats.dispatch import read_as
@@ -67,7 +69,7 @@ def rows_of(path: str | None, content: bytes | None, binary: bool = False, attac
         if most and len(content) > most:
             raise TooLarge(len(content), most)
         index = 0
-        for doc in read_as(routing.file_type(path or ""), content, path):
+        for doc in read_as(kind or routing.file_type(path or ""), content, path):
             yield _row(doc, path, index, binary)
             index += 1
             for inner in attached(doc) if attachments else ():
@@ -78,16 +80,22 @@ def rows_of(path: str | None, content: bytes | None, binary: bool = False, attac
         yield _failed(path, error.kind, str(error))
 
 
-def documents(files: DataFrame, binary: bool = False, attachments: bool = False, max_file_size: int = MAX_FILE_SIZE, path_col: str = "path", content_col: str = "content") -> DataFrame:
+def documents(files: DataFrame, binary: bool = False, attachments: bool = False, max_file_size: int = MAX_FILE_SIZE, path_col: str = "path", content_col: str = "content", kind: str | None = None, limits: Limits | None = None) -> DataFrame:
     """One row a document of files (path, content); columns as in SCHEMA. Image and attachment
-    bytes are left out unless asked for. A NULL or too large content gives an error row."""
+    bytes are left out unless asked for. A NULL or too large content gives an error row. With
+    kind, a type key, all files are read as that, whatever their names; limits are those of
+    members of archives."""
 
     schema = to_arrow_schema(T.StructType.fromDDL(SCHEMA))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..formats import archive
+
+        # A worker may have read for another query before.
+        archive.configure(limits)
         for batch in batches:
             for path, content in zip(*batch.columns):
-                rows = list(rows_of(path.as_py(), content.as_py(), binary, attachments, max_file_size))
+                rows = list(rows_of(path.as_py(), content.as_py(), binary, attachments, max_file_size, kind))
                 for at in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows[at : at + 64]], schema=schema)
 
@@ -192,21 +200,27 @@ def pieces(docs: DataFrame) -> DataFrame:
     return docs.where("error IS NULL").select("path", "doc_idx", F.explode(every).alias("p")).select("path", "doc_idx", "p.*").where("value IS NOT NULL")
 
 
-class Extract:
-    """extract(path, content) for LATERAL joins in SQL; without image and attachment bytes."""
+def _udtf(kind: str | None) -> type:
+    class Extract:
+        """extract(path, content) for LATERAL joins in SQL; without image and attachment bytes."""
+
+        def eval(self, path: str, content: bytes):
+            for row in rows_of(path, bytes(content) if content is not None else None, kind=kind):
+                for part in row.get("parts") or ():
+                    part["attrs"] = dict(part["attrs"])
+                if "metadata" in row:
+                    row["metadata"] = dict(row["metadata"])
+                yield tuple(row.get(n) for n in _TOP)
 
-    def eval(self, path: str, content: bytes):
-        for row in rows_of(path, bytes(content) if content is not None else None):
-            for part in row.get("parts") or ():
-                part["attrs"] = dict(part["attrs"])
-            if "metadata" in row:
-                row["metadata"] = dict(row["metadata"])
-            yield tuple(row.get(n) for n in _TOP)
+    return Extract
 
 
 _TOP = ("path", "doc_idx", "file_type", "full_text", "detected_encoding", "metadata", "units", "tables", "images", "parts", "email", "error")
 
 
-def register(spark: SparkSession) -> None:
-    """Make extract(path, content) known to SQL."""
-    spark.udtf.register("extract", udtf(Extract, returnType=SCHEMA))
+def register(spark: SparkSession, kinds: bool = False) -> None:
+    """Make extract(path, content) known to SQL, and with kinds also read_docx(path, content) and so
+    on, for every type key, whatever the names of the files."""
+    spark.udtf.register("extract", udtf(_udtf(None), returnType=SCHEMA))
+    for kind in routing.READERS if kinds else ():
+        spark.udtf.register(f"read_{kind}", udtf(_udtf(kind), returnType=SCHEMA))

@@ -72,6 +72,11 @@ def file_type(path: str) -> str | None:
     return type_of_suffix(path) or MIME_TYPES.get(_MIMES.guess_type(path.lower())[0] or "")
 
 
+def add_type(key: str, suffixes: list[str]) -> None:
+    """Route suffixes to a type key of one's own, in this process; columns made later know it too."""
+    _SUFFIXES.update({s.lower().lstrip("."): key for s in suffixes})
+
+
 def is_supported_file(path: str) -> bool:
     return file_type(path) is not None
 

@@ -177,3 +177,26 @@ def test_suffixes_known_by_mime_type_alone_are_read(spark, tmp_path):
     names = spark.createDataFrame([(n,) for n in ("x.pdf", "y.XHTML", ".srt", "a/b.c/d", "p.docx.br", "t.tar.gz", "u.svgz", "w.nws")], "path string")
     for r in names.select("path", routing.file_type_column(names.path).alias("kind")).collect():
         assert r.kind == routing.file_type(r.path)
+
+
+def test_readers_by_name_limits_and_own_readers(spark):
+    from docquarry import routing
+    from docquarry.formats import archive, compose, dispatch
+    from docquarry.formats.record import Document, Unit
+    from docquarry.operators import extract
+
+    rows = [("1", "one"), ("2", "two " * 9)]
+    assert next(dispatch.read_docx(compose.docx("T", rows))).metadata["title"] == "T"
+    assert set(dispatch.BY_NAME) == {f"read_{k}" for k in routing.READERS} and not hasattr(dispatch, "read_nothing")
+    files = spark.createDataFrame([("a.bin", bytearray(compose.zipped("T", rows)))], "path string, content binary")
+    assert extract.documents(files, kind="zip", limits=archive.Limits(member=10)).count() == 1
+    assert extract.documents(files, kind="zip").count() == 2
+    extract.register(spark, kinds=True)
+    files.createOrReplaceTempView("made_files")
+    assert spark.sql("SELECT x.path FROM made_files f, LATERAL read_zip(f.path, f.content) x").count() == 2
+    dispatch.register_reader("mine", lambda data, path=None: iter([Document("mine", data.decode(), [Unit(1, data.decode())])]), "mine .my2")
+    try:
+        assert [d.full_text for d in dispatch.read_as(routing.file_type("x.MY2"), b"hello")] == ["hello"]
+    finally:
+        for suffix in ("mine", "my2"):
+            del routing._SUFFIXES[suffix]
