@@ -7,7 +7,7 @@ import statistics
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from . import pdf_tables
+from . import pdf_tables, truetype
 from .pdf_objects import IMAGE_FILTERS, Lexer, Name, Op, Pdf, Stream
 from .record import Document, Image, Table, Unit, joined
 
@@ -82,6 +82,7 @@ class _Font:
         self.two_bytes = get(attrs.get("Subtype")) == "Type0"
         to_unicode = get(attrs.get("ToUnicode"))
         self.known = _unicode_map(pdf.decoded(to_unicode)) if isinstance(to_unicode, Stream) else {}
+        self._tell_digits(pdf, attrs)
         self.sizes = sorted({len(k) for k in self.known}, reverse=True)
         encoding = get(attrs.get("Encoding"))
         base = get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else encoding
@@ -116,6 +117,18 @@ class _Font:
             first = get(attrs.get("FirstChar", 0)) or 0
             self.widths = {first + i: float(get(w) or 0) for i, w in enumerate(get(attrs.get("Widths")) or [])}
 
+    def _tell_digits(self, pdf: Pdf, attrs: dict) -> None:
+        """Codes that are mapped to NUL are digits, told by their glyphs."""
+        lost = {int.from_bytes(code, "big"): code for code, text in self.known.items() if text == "\0"}
+        if not lost:
+            return
+        inner = pdf.get((pdf.get(attrs.get("DescendantFonts")) or [None])[0])
+        described = pdf.get(inner.get("FontDescriptor")) if isinstance(inner, dict) else None
+        font = pdf.get(described.get("FontFile2")) if isinstance(described, dict) else None
+        if isinstance(font, Stream):
+            em, boxes = truetype.glyph_boxes(pdf.decoded(font), list(lost))
+            self.known |= {lost[glyph]: str(digit) for glyph, digit in truetype.digits_of(boxes, em).items()}
+
     def decode(self, raw: bytes) -> tuple[str, float, int]:
         """Text, width in thousandths and the number of characters."""
         out, width, count, at = [], 0.0, 0, 0

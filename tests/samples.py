@@ -249,3 +249,38 @@ def pdf(*pages: bytes, key: bytes | None = None) -> bytes:
         out += b"%d 0 obj\n" % i + o + b"\nendobj\n"
     extra = b" /Encrypt << /Filter /Standard /V 1 /R 2 /O (%s) /U (%s) /P -4 >> /ID [(x) (x)]" % (b"o" * 32, b"u" * 32) if key else b""
     return out + b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places) + b"trailer << /Size %d /Root 1 0 R%s >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, extra, len(out))
+
+
+def truetype(boxes: list[tuple[int, int]], em: int = 2048, wide: bool = False) -> bytes:
+    """A font of glyphs without outlines, with these widths and heights."""
+    glyphs = [struct.pack(">5h", 1, 0, 0, w, h) for w, h in boxes]
+    starts = [10 * i for i in range(len(glyphs) + 1)]
+    tables = {
+        b"head": bytes(18) + struct.pack(">H", em) + bytes(30) + struct.pack(">h", wide) + bytes(2),
+        b"maxp": struct.pack(">IH", 0x10000, len(glyphs)),
+        b"loca": struct.pack(f">{len(starts)}{'I' if wide else 'H'}", *(x if wide else x // 2 for x in starts)),
+        b"glyf": b"".join(glyphs),
+    }
+    out, body, at = struct.pack(">IHHHH", 0x10000, len(tables), 0, 0, 0), b"", 12 + 16 * len(tables)
+    for tag, data in tables.items():
+        out += struct.pack(">4sIII", tag, 0, at + len(body), len(data))
+        body += data
+    return out + body
+
+
+def pdf_with_lost_digits(font: bytes, codes: list[int]) -> bytes:
+    """A page that shows codes by a font that maps 2 to 11 to NUL and 1 to A."""
+    chars = "".join(f"<{c:04X}> <0000>\n" for c in range(2, 12))
+    cmap = f"1 begincodespacerange <0000> <FFFF> endcodespacerange 11 beginbfchar <0001> <0041>\n{chars}endbfchar".encode()
+    page = b"BT /F1 12 Tf 72 700 Td <%s> Tj ET" % "".join(f"{c:04X}" for c in codes).encode()
+    stream = lambda data: b"<< /Length %d >>\nstream\n" % len(data) + data + b"\nendstream"
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 4 0 R >> >> /Contents 8 0 R >>",
+        b"<< /Type /Font /Subtype /Type0 /BaseFont /X /Encoding /Identity-H /ToUnicode 7 0 R /DescendantFonts [5 0 R] >>", b"<< /Type /Font /Subtype /CIDFontType2 /DW 600 /FontDescriptor 6 0 R >>", b"<< /Type /FontDescriptor /FontFile2 9 0 R >>",
+        stream(cmap), stream(page), stream(font),
+    ]
+    out, places = b"%PDF-1.4\n", []
+    for i, o in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n" % i + o + b"\nendobj\n"
+    return out + b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places) + b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, len(out))

@@ -202,3 +202,24 @@ def test_deep_markup_is_read(tag):
 def test_nested_blocks_and_lists():
     doc = html.extract_markup("<body><div><div><p>one</p></div>two</div><ul><li>a<ul><li>b</li></ul></li><li>c</li></ul><div><div> x </div></div><span>y</span></body>")
     assert doc.full_text == "one\ntwo\n\n- a - b\n- c\n\nx\ny"
+
+
+@pytest.mark.parametrize("em, wide", [(2048, False), (1000, True)])
+def test_digits_that_are_mapped_to_nothing_are_told_by_their_glyphs(em, wide):
+    from docquarry.formats import truetype
+
+    sizes = list(zip(map(int, truetype._WIDE.split()), map(int, truetype._TALL.split())))
+    # Glyph 2 is the digit 9, glyph 3 the digit 8 and so on.
+    boxes = [(0, 0), (700, 700)] + [(round(w * em / 2048), round(h * em / 2048)) for w, h in reversed(sizes)]
+    data = samples.pdf_with_lost_digits(samples.truetype(boxes, em, wide), [1, 11, 2, 10, 1])
+    assert next(dispatch.read_as("pdf", data)).full_text == "A091A"
+    assert next(dispatch.read_as("pdf", samples.pdf_with_lost_digits(b"no font", [1, 11, 1]))).full_text.replace("\0", "") == "AA"
+
+
+def test_glyphs_and_digits_are_matched_one_to_one():
+    from docquarry.formats import truetype
+
+    # Two glyphs of a size take the two nearest digits, the lesser glyph the nearer one.
+    assert truetype.digits_of({7: (540, 1472), 5: (540, 1472)}, 2048) == {5: 1, 7: 7}
+    assert truetype.digits_of({}, 2048) == {} and truetype.glyph_boxes(b"", [1]) == (0, {})
+    assert len(set(truetype.digits_of({g: (960, 1497) for g in range(12)}, 2048).values())) == 10
