@@ -3,16 +3,17 @@
 Documents' ids, each document closed by an end-of-text id, are cut into blocks of BLOCK ids.
 A block is coded by itself (all statistics are reset) and carries a CRC-32 of its payload.
 
-An id is coded by up to three decisions:
-- is it the id that last followed the two ids before it (order 2)?
-- if not, is it the id that last followed the one before it (order 1)?
-- if not, which id is it, by counts of the ids so far in the block (order 0), refreshed every
-  CHUNK ids; ids without a count are an escape and 16 plain bits.
-The probability of each yes or no mixes three adaptive predictions in the logistic domain:
+An id is coded by up to two decisions:
+- is it the id that last followed the two ids before it (order 2), else the one that last
+  followed the id before it (order 1), or neither?
+- if neither, which id is it, by counts of the ids so far in the block (order 0), refreshed every
+  CHUNK ids; ids without a count are an escape.
+The probability that a guess is right mixes three adaptive predictions in the logistic domain:
 one keyed by how order 2 did so far in this context, one by order 1, one by the candidate's
-order-0 count. Weights are learned as the block goes on. All arithmetic is on integers, so
-encoder and decoder agree on every machine. The range coder keeps 32 bits, moves 16 at a time
-and resolves carries at the end.
+order-0 count; that of order 1 divides what order 2 leaves. Weights are learned as the block goes
+on. All arithmetic is on integers, so encoder and decoder agree on every machine. The range coder
+keeps 32 bits, moves 16 at a time and resolves carries at the end. Escaped ids aren't foretold at
+all: they stand as 16 plain bits each at the payload's end, the first one last.
 
 The encoder works on many blocks at once, one lane each: what depends on the past alone is
 found by sorting, and the mixer and the coder go through the blocks side by side.
@@ -47,6 +48,8 @@ _HASH2 = 2_654_435_761
 _WEIGHT, _RATE = 22_000, 6
 #: Weights stay within this, so that sums of their products fit 32 bits.
 _MOST = 1 << 18
+#: What the first decision's three answers share: room for a 12-bit part of a 12-bit part.
+_SHARES = 1 << 14
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """squash[x + 2048]: 12-bit probability of a logit x / 256; stretch: its inverse."""
@@ -242,7 +245,7 @@ def _mixed(state: np.ndarray) -> np.ndarray:
     return found
 
 
-def encode_blocks(blocks: list[np.ndarray], group: int = 128) -> list[bytes]:
+def encode_blocks(blocks: list[np.ndarray], group: int = 32) -> list[bytes]:
     """Payloads of blocks of at most BLOCK ids each."""
     lanes, n = len(blocks), max(map(len, blocks), default=0)
     if not n:
@@ -253,37 +256,36 @@ def encode_blocks(blocks: list[np.ndarray], group: int = 128) -> list[bytes]:
     return _range_code(state, _mixed(state), plain, total, ids)
 
 
-def _events(state: np.ndarray, yes: np.ndarray, plain: np.ndarray, total: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(low, size, total) of the four decisions at some places of one chunk, and which are made
+def _events(state: np.ndarray, yes: np.ndarray, plain: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(low, size, total) of both decisions at some places of one chunk, and which are made
     in any lane; a decision that isn't made is one of size 1 of 1."""
-    shape = (len(state), 4, state.shape[1])
+    shape = (len(state), 2, state.shape[1])
     lows, sizes, totals = np.zeros(shape), np.ones(shape), np.ones(shape)
-    made = np.empty((len(state), 4), bool)
-    for k, (ask, hit) in enumerate(((_ASK2, _HIT2), (_ASK1, _HIT1))):
-        asked, right, p = (state >> ask & 1).astype(bool), (state >> hit & 1).astype(bool), yes[:, k]
-        made[:, k] = asked.any(axis=1)
-        np.copyto(lows[:, k], p, where=asked & ~right)
-        np.copyto(sizes[:, k], np.where(right, p, 4096 - p), where=asked)
-        np.copyto(totals[:, k], 4096, where=asked)
+    made = np.empty((len(state), 2), bool)
+    ask2, ask1, hit2, hit1 = ((state >> k & 1).astype(bool) for k in (_ASK2, _ASK1, _HIT2, _HIT1))
+    second = np.where(ask2, yes[:, 0], 0).astype(np.int32) * (_SHARES >> 12)
+    left = _SHARES - second
+    first = np.where(ask1, np.clip(left * yes[:, 1] >> 12, 1, left - 1), 0)
+    asked = ask2 | ask1
+    made[:, 0] = asked.any(axis=1)
+    np.copyto(lows[:, 0], np.where(hit2, 0, np.where(hit1, second, second + first)), where=asked)
+    np.copyto(sizes[:, 0], np.where(hit2, second, np.where(hit1, first, left - first)), where=asked)
+    np.copyto(totals[:, 0], _SHARES, where=asked)
     asked = (state >> _ASK0 & 1).astype(bool)
-    made[:, 2] = asked.any(axis=1)
-    np.copyto(lows[:, 2], plain & 0xFFFF, where=asked)
-    np.copyto(sizes[:, 2], plain >> 16, where=asked)
-    np.copyto(totals[:, 2], total, where=asked)
-    asked = (state >> _RAW & 1).astype(bool)
-    made[:, 3] = asked.any(axis=1)
-    np.copyto(lows[:, 3], ids, where=asked)
-    np.copyto(totals[:, 3], 1 << 16, where=asked)
+    made[:, 1] = asked.any(axis=1)
+    np.copyto(lows[:, 1], plain & 0xFFFF, where=asked)
+    np.copyto(sizes[:, 1], plain >> 16, where=asked)
+    np.copyto(totals[:, 1], total, where=asked)
     return lows, sizes, totals, made
 
 
 def _range_code(state: np.ndarray, yes: np.ndarray, plain: np.ndarray, total: np.ndarray, ids: np.ndarray) -> list[bytes]:
     """Code all lanes side by side. Integers are held in doubles: they stay under 2**53, and a
-    quotient of a 32-bit by a 17-bit integer is never rounded up to the next one."""
+    quotient of a 32-bit by a 14-bit integer is never rounded up to the next one."""
     places, lanes = state.shape
     # Sixteen bits come out at most once a decision.
     flags = state >> _ASK2
-    most = int(max(((flags & 1) + (flags >> 2 & 1) + (flags >> 4 & 1) + (flags >> 5 & 1)).sum(axis=0, dtype=np.int64).max(), 0)) + 3
+    most = int((((flags | flags >> 2) & 1) + (flags >> 4 & 1)).sum(axis=0, dtype=np.int64).max()) + 3
     digits = np.zeros((most, lanes))
     out = digits.ravel()
     at = np.arange(lanes, dtype=np.intp)
@@ -291,7 +293,7 @@ def _range_code(state: np.ndarray, yes: np.ndarray, plain: np.ndarray, total: np
     part, short = np.empty(lanes), np.empty(lanes, bool)
     for begin in range(0, places, 64):
         some = slice(begin, min(begin + 64, places))
-        lows, sizes, totals, made = _events(state[some], yes[some], plain[some], total[begin // CHUNK], ids[some])
+        lows, sizes, totals, made = _events(state[some], yes[some], plain[some], total[begin // CHUNK])
         for t, k in np.argwhere(made).tolist():
             np.divide(span, totals[t, k], out=part)
             np.floor(part, out=part)
@@ -317,7 +319,11 @@ def _range_code(state: np.ndarray, yes: np.ndarray, plain: np.ndarray, total: np
         whole[:, k - 1] += whole[:, k] >> 16
         whole[:, k] &= 0xFFFF
     coded = whole.astype(">u2")
-    return [coded[i, : filled[i]].tobytes() for i in range(lanes)]
+    raw = state >> _RAW & 1 == 1
+    escaped = np.ascontiguousarray(ids.T[:, ::-1])[np.ascontiguousarray(raw.T[:, ::-1])].astype(">u2")
+    ends = np.cumsum(raw.sum(axis=0))
+    begins = np.concatenate([[0], ends[:-1]])
+    return [coded[i, : filled[i]].tobytes() + escaped[begins[i] : ends[i]].tobytes() for i in range(lanes)]
 
 
 class _Mixer:
@@ -380,16 +386,23 @@ def decode_block(payload: bytes, n: int, crc: int | None = None) -> np.ndarray:
         guess1, seen1, did1 = past[0].get(key1, (None, 0, False)) if t >= 1 else (None, 0, False)
         guess2, seen2, did2 = past[1].get(key2, (None, 0, False)) if t >= 2 else (None, 0, False)
         agree = guess1 is not None and guess1 == guess2
+        guesses = (guess2, None if agree else guess1)
         states = (min(seen2, 3) * 2 + did2, _SLOTS[1] + min(seen1, 3) * 2 + did1 + 8 * agree)
         found = None
-        for mixer, guess in ((mixers[0], guess2), (mixers[1], None if agree else guess1)):
-            if found is None and guess is not None:
-                p = mixer.probability((*states, _SLOTS[2] + min(stood.get(guess, 0).bit_length(), 7)))
-                part, v = target(4096)
-                hit = v < p
-                took(part, 0 if hit else p, p if hit else 4096 - p)
-                mixer.learn(int(hit))
-                found = guess if hit else None
+        if guesses != (None, None):
+            part, v = target(_SHARES)
+            low, left = 0, _SHARES
+            for k, (mixer, guess) in enumerate(zip(mixers, guesses)):
+                if found is None and guess is not None:
+                    p = mixer.probability((*states, _SLOTS[2] + min(stood.get(guess, 0).bit_length(), 7)))
+                    share = min(max(left * p >> 12, 1), left - 1) if k else p * (_SHARES >> 12)
+                    hit = v < low + share
+                    mixer.learn(int(hit))
+                    if hit:
+                        found, left = guess, share
+                    else:
+                        low, left = low + share, left - share
+            took(part, low, left)
         if found is None and base:
             part, v = target(base + esc)
             if v < base:
@@ -399,8 +412,7 @@ def decode_block(payload: bytes, n: int, crc: int | None = None) -> np.ndarray:
             else:
                 took(part, base, esc)
         if found is None:
-            part, found = target(1 << 16)
-            took(part, found, 1)
+            found = digits.pop()
         for key, guess, seen, table in ((key1, guess1, seen1, past[0]), (key2, guess2, seen2, past[1])):
             if key is not None:
                 table[key] = (found, seen + 1, guess == found and seen > 0)
@@ -439,7 +451,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in slices(batches, 1024, TEXT_BYTES):
+        for batch in slices(batches, 4096, TEXT_BYTES):
             batch = batch.filter(batch.column(1).is_valid())
             if batch.num_rows:
                 stream.add(*closed(*encoder.batch(batch.column(1))), batch.column(0))
