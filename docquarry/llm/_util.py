@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +21,17 @@ BROADCAST_ROWS = 200_000
 MEMO_BYTES = 96 << 20
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker keeps it otherwise, and lives through
+    several operators beside its JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # not the GNU library
+
+
 class Memo(dict):
     """What a worker process keeps of words. Workers live through several operators, so only
     the memo that was used last keeps its entries, and at most MEMO_BYTES of them, by `used`."""
@@ -43,9 +56,11 @@ class Memo(dict):
         if Memo._last is not self:
             if Memo._last is not None:
                 Memo._last.clear()
+                release()
             Memo._last = self
         if self and self.used + more > self._most:
             self.clear()
+            release()
             return True
         return not self
 
@@ -57,6 +72,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 8 <<
         step = max(1, min(rows, batch.num_rows * most // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    batch = None
+    release()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
