@@ -11,10 +11,12 @@ is VERIFY + 1. So each word is searched exactly for all pairs within its radius
   exact count of signatures within t_i of its value in part i, from the parts' histograms;
 - a pair within tau then agrees to within t_i in some part, so probing the values within t_i
   misses nothing; candidates are verified on the word's 64 bits, then on all 256, which
-  removes chance collisions of short texts.
+  removes chance collisions of short texts;
+- a signature travels once for each cell of values that it probes, not for each value: the
+  values are probed where the cell is held.
 
-Groups are connected components over the verified pairs; the document with the least id of
-each group stays. Documents whose signatures are the same are one entry in the search.
+Groups are connected components over the verified pairs, of which a task passes on as many as
+join what all of them join; the document with the least id of each group stays. Documents whose signatures are the same are one entry in the search.
 
 Defined cases: ids are integers; rows with a NULL id and texts without any word (NULL, empty, only
 punctuation) take no part and stay; texts are read whole, however long; rows that repeat id and
@@ -25,10 +27,9 @@ columns are picked by exact name, and all others, of any name, are carried along
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain, combinations, groupby
 
 import numpy as np
 import pandas as pd
@@ -37,13 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Memo, cut, fields, maybe_broadcast, mix64, rows_back, slices, with_row
+from ._util import Memo, cut, fields, maybe_broadcast, mix64, parallelism, release, rows_back, slices, with_row
 
 BITS = 64
 VERIFY = 44
 MOST = 4  # the largest t_i + 1 that is considered
-#: Signatures with one value of a part that a task holds; more are spread over several.
-HELD = 50_000
+#: Signatures of a cell that a task holds about; cells of half as many again are spread over several tasks.
+HELD = 2_000_000
+#: Bits of a part that make cells, at most.
+CELL_BITS = 6
+#: Signatures that travel in one row, so that rows are few and a batch of rows is small.
+PACKED = 64
+#: Counts of a part's values that travel in one row.
+SLAB = 1 << 10
 
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "…“”‘’«»–—¡¿"
 
@@ -122,23 +129,26 @@ def unpacked(sigs: np.ndarray) -> np.ndarray:
     return np.unpackbits(sigs.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def correlations(sigs: DataFrame) -> np.ndarray:
-    """Absolute correlations of the bits over all signatures; 64 x 65 sums reach the driver."""
+def correlations(sigs: DataFrame, words: list[str]) -> np.ndarray:
+    """Of each word the absolute correlations of its bits over all signatures; 64 x 65 sums a word reach the driver."""
+    size = BITS * BITS + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, n = np.zeros((BITS, BITS)), 0
+        total = np.zeros((len(words), size))
         for batch in batches:
-            bits = unpacked(batch.column(0).to_numpy().view(np.uint64)).astype(np.float32)
-            both += (bits.T @ bits).astype(np.float64)
-            n += len(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), pa.array(np.append(both.ravel(), n))], names=["k", "v"])
-
-    total = {r[0]: r[1] for r in sigs.select("s0").mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v")).collect()}
-    n = max(total.get(BITS * BITS, 0), 1)
-    both = np.array([total.get(k, 0.0) for k in range(BITS * BITS)]).reshape(BITS, BITS) / n
-    mean = np.diag(both)
+            for k, column in enumerate(batch.columns):
+                bits = unpacked(column.to_numpy().view(np.uint64)).astype(np.float32)
+                total[k] += np.append((bits.T @ bits).ravel(), len(bits))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["k", "v"])
+
+    total = np.zeros(len(words) * size)
+    for k, v in sigs.select(*words).mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v")).collect():
+        total[k] = v
+    total = total.reshape(len(words), size)
+    both = total[:, :-1].reshape(-1, BITS, BITS) / np.maximum(total[:, -1], 1)[:, None, None]
+    mean = np.diagonal(both, axis1=1, axis2=2)
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-    return np.abs(both - np.outer(mean, mean)) / np.outer(spread, spread)
+    return np.abs(both - mean[:, :, None] * mean[:, None]) / (spread[:, :, None] * spread[:, None])
 
 
 def group_bits(correlation: np.ndarray, parts: int) -> list[list[int]]:
@@ -180,8 +190,9 @@ def ball_masks(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in chosen) for r in range(radius + 1) for chosen in combinations(range(width), r)], np.int64)
 
 
-#: Relative costs of a probe that is sent and of a candidate that is verified.
-PROBE, CANDIDATE = 1.0, 0.003
+#: Relative costs of a signature that is sent, of a value that is probed, of a candidate that is
+#: verified, and of the probes of those that have one value in common, whatever their number.
+SENT, PROBE, CANDIDATE, VALUE = 1.0, 0.01, 0.001, 50.0
 
 
 def allocate(costs: list[np.ndarray], tau: int) -> np.ndarray:
@@ -220,124 +231,295 @@ def _parts_for(n: int, tau: int) -> int:
         if max(levels) > MOST:
             return math.inf
         balls = sum(sum(math.comb(round(width), r) for r in range(u)) for u in levels)
-        return balls * PROBE + balls * n / 2**width * CANDIDATE
+        rows = sum(len(ball_masks(_cell_bits(n), u - 1)) for u in levels if u)
+        return rows * SENT + balls * PROBE + balls * n / 2**width * CANDIDATE + parts * min(1, 2**width / max(n, 1)) * VALUE
 
     return min(range(4, 9), key=cost)
 
 
-def value_pairs(sigs: DataFrame, tau: int) -> DataFrame:
-    """(a, b) with a < b of all values of s0 within tau bits. Values must be distinct: they stand
-    for themselves, so that nothing else is exchanged with them."""
-    spark = sigs.sparkSession
-    n = sigs.count()
-    parts = _parts_for(n, tau)
-    groups = group_bits(correlations(sigs), parts)
-    widths = [len(g) for g in groups]
+def _cell_bits(n: int) -> int:
+    return min(CELL_BITS, max(0, math.ceil(math.log2(max(n, 1) / HELD))))
 
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(1 << w, np.int64) for w in widths]
-        for batch in batches:
-            found = batch.column(0).to_numpy().view(np.uint64)
-            for k, group in enumerate(groups):
-                totals[k] += np.bincount(part_values(found, group), minlength=1 << widths[k])
-        for k, total in enumerate(totals):
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(total[at])], names=["part", "value", "n"])
-
-    # At most parts * 2**16 entries, whatever the corpus.
-    histograms = [np.zeros(1 << w) for w in widths]
-    for k, v, c in sigs.select("s0").mapInArrow(values, "part int, value long, n long").groupBy("part", "value").agg(F.sum("n")).toPandas().itertuples(index=False):
-        histograms[k][v] = c
-    balls = spark.sparkContext.broadcast([ball_counts(h, w).astype(np.float32) for h, w in zip(histograms, widths)])
-    masks = [[ball_masks(w, r) for r in range(MOST)] for w in widths]
-    # Signatures of a value that very many have are spread by their hash, and its probes go to all.
-    shares = spark.sparkContext.broadcast([np.maximum(1, np.ceil(h / HELD)).astype(np.int64) for h in histograms])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(keys: np.ndarray, found: np.ndarray, probe: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys << 1 | probe), pa.array(found.view(np.int64))], names=["key", "sig"])
+class _Part:
+    """A part of a word: its bits, how many signatures are within t of each value, and its cells.
+
+    A cell is the values that agree in the highest bits of the part; its signatures have the
+    tasks first[cell] and after, as many as share[cell], and go to one of these by their hash.
+    """
 
+    def __init__(self, word: int, group: list[int], histogram: np.ndarray, bits: int, first: int):
+        self.word, self.group, self.low = word, group, len(group) - bits
+        self.balls = ball_counts(histogram, len(group)).astype(np.float32)
+        held = histogram.reshape(1 << bits, -1).sum(axis=1)
+        self.share = np.ceil(held / (1.5 * HELD)).astype(np.int64)
+        self.first = first + np.cumsum(self.share) - self.share
+        self.masks = [ball_masks(bits, t) for t in range(MOST)]
+
+    def costs(self, own: np.ndarray) -> np.ndarray:
+        """costs[u, q] of t + 1 = u for each value, as allocate wants them."""
+        each = [math.comb(len(self.group), r) for r in range(MOST)]
+        return np.vstack([np.zeros(len(own)), *(self.balls[t][own] * CANDIDATE + (len(self.masks[t]) * SENT + sum(each[: t + 1]) * PROBE) for t in range(MOST))])
+
+    def sent(self, own: np.ndarray, levels: np.ndarray, hashed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(which signatures, their tasks, 1 as a probe and 0 as what is probed): each once to its own
+        cell, where it probes too, and as a probe to all other tasks that have values within t."""
+        cell = own >> self.low
+        home = self.first[cell] + (hashed % self.share[cell].astype(np.uint64)).astype(np.int64)
+        yield np.arange(len(own)), home, 0
+        for mask in self.masks[-1]:
+            mine = np.flatnonzero(levels > int(mask).bit_count())
+            to = cell[mine] ^ mask
+            for salt in range(int(self.share[to].max(initial=0))):
+                task = self.first[to] + salt
+                on = (self.share[to] > salt) & (task != home[mine])
+                yield mine[on], task[on], 1
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[np.ndarray]:
+    """Signatures, one row each, about so many at a time."""
+    kept, n = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            kept.append(np.column_stack([c.to_numpy().view(np.uint64) for c in batch.columns]))
+            n += batch.num_rows
+        if kept and (n >= rows or batch is None):
+            yield np.concatenate(kept)
+            kept, n = [], 0
+
+
+def _histograms(sigs: DataFrame, groups: list[tuple[int, list[int]]]) -> list[list[np.ndarray]]:
+    """Of each (word, bits) how many signatures have each value, in pieces; these travel as arrays."""
+    pieces = [max(1, (1 << len(g)) // SLAB) for _, g in groups]
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(1 << len(g), np.int64) for _, g in groups]
+        for found in _chunks(batches):
+            for total, (k, group) in zip(totals, groups):
+                total += np.bincount(part_values(found[:, k], group), minlength=len(total))
+        slabs = [piece for total, n in zip(totals, pieces) for piece in np.split(total, n)]
+        at = [i for i, slab in enumerate(slabs) if slab.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([slabs[i].tobytes() for i in at], pa.binary())], names=["slab", "n"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            found = batch.column(0).to_numpy().view(np.uint64)
-            own = [part_values(found, g) for g in groups]
-            costs = [np.vstack([np.zeros(len(found)), *(balls.value[k][r][own[k]] * CANDIDATE + len(masks[k][r]) * PROBE for r in range(MOST))]) for k in range(parts)]
-            levels = allocate(costs, tau)
-            for k in range(parts):
-                share = shares.value[k]
-                salt = (mix64(found) % share[own[k]].astype(np.uint64)).astype(np.int64)
-                yield rows(own[k] | k << 24 | salt << 32, found, 0)
-                for u in range(1, MOST + 1):
-                    mine = np.flatnonzero(levels[k] == u)
-                    if len(mine):
-                        near = masks[k][u - 1]
-                        values = (own[k][mine][:, None] ^ near).ravel()
-                        asking = found[np.repeat(mine, len(near))]
-                        for salt in range(int(share[values].max())):
-                            on = share[values] > salt
-                            yield rows(values[on] | k << 24 | salt << 32, asking[on], 1)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of their keys, of each key the signatures before the probes."""
-        held = np.empty(0, np.int64), np.empty(0, np.uint64)
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                held = np.concatenate([held[0], batch.column(0).to_numpy()]), np.concatenate([held[1], batch.column(1).to_numpy().view(np.uint64)])
-                if len(held[0]) < 2 * HELD:
-                    continue
-            keys, found = held
-            if not len(keys):
+            for i, n in zip(batch.column(0).to_pylist(), batch.column(1)):
+                more = np.frombuffer(n.as_buffer(), np.int64)
+                totals[i] = totals[i] + more if i in totals else more.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([n.tobytes() for n in totals.values()], pa.binary())], names=["slab", "n"])
+
+    kind = "slab int, n binary"
+    whole = {r[0]: np.frombuffer(bytes(r[1]), np.int64) for r in sigs.mapInArrow(counts, kind).repartition("slab").mapInArrow(summed, kind).collect()}
+    slabs = iter(range(sum(pieces)))
+    return [[whole.get(next(slabs), np.zeros((1 << len(g)) // n, np.int64)) for _ in range(n)] for (_, g), n in zip(groups, pieces)]
+
+
+def _search(sigs: DataFrame, radii: list[int], verify: int, links: bool) -> DataFrame:
+    """(a0, ..., b0, ...): pairs within verify bits of sigs' rows, which are distinct signatures
+    of a word for each radius, columns s0 and so on. All pairs within a radius in some word are
+    looked at. With links only as many pairs as join what all of them join, else each pair once."""
+    spark = sigs.sparkSession
+    names = [f"s{k}" for k in range(len(radii))]
+    sigs = sigs.select(*names)
+    n = sigs.count()
+    related = correlations(sigs, names)
+    groups = [(k, g) for k, tau in enumerate(radii) if tau >= 0 for g in group_bits(related[k], _parts_for(n, tau))]
+
+    # At most 16 * 2**16 counts, whatever the corpus.
+    histograms = [np.concatenate(h) for h in _histograms(sigs, groups)]
+    parts: list[_Part] = []
+    first = 0
+    for (k, group), histogram in zip(groups, histograms):
+        parts.append(_Part(k, group, histogram, _cell_bits(n), first))
+        first += int(parts[-1].share.sum())
+    shared = spark.sparkContext.broadcast(parts)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _chunks(batches):
+            hashed = mix64(found[:, 0])
+            for k, tau in enumerate(radii):
+                mine = [p for p in shared.value if p.word == k]
+                own = [part_values(found[:, k], p.group) for p in mine]
+                levels = allocate([p.costs(v) for p, v in zip(mine, own)], tau) if mine else []
+                for part, v, level in zip(mine, own, levels):
+                    for which, task, probe in part.sent(v, level, hashed):
+                        yield from _packed(found, level, which, task, probe)
+        release()
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of their tasks, of each the signatures before the probes."""
+        of = [p for p in shared.value for _ in range(int(p.share.sum()))]
+        for task, rows in groupby(_runs(batches), key=lambda run: run[0]):
+            cell = _Cell(of[task], radii, verify, links)
+            for found in cell.answers((probe, blobs) for _, probe, blobs in rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.view(np.int64).T], names=out)
+        release()
+
+    out = [f"{side}{k}" for side in "ab" for k in range(len(radii))]
+    sent = sigs.mapInArrow(send, "task int, probe int, sigs binary")
+    apart = sent.repartitionById(max(1, min(first, 8 * parallelism(spark))), F.col("task")).sortWithinPartitions("task", "probe")
+    return apart.mapInArrow(verified, ", ".join(f"{c} long" for c in out)).distinct()
+
+
+def _packed(sigs: np.ndarray, levels: np.ndarray, which: np.ndarray, task: np.ndarray, probe: int) -> Iterator[pa.RecordBatch]:
+    """Rows of at most PACKED signatures for one task: their words, then their t + 1."""
+    if not len(which):
+        return
+    order = np.argsort(task, kind="stable")
+    which, task = which[order], task[order]
+    width = sigs.shape[1] * 8
+    data = np.ascontiguousarray(sigs[which]).view(np.uint8).reshape(len(which), width)
+    level = levels[which].astype(np.uint8)
+    edges = np.flatnonzero(np.diff(task, prepend=-1))
+    tasks, blobs = [], []
+    for low, high in zip(edges, np.append(edges[1:], len(task))):
+        for at in range(low, high, PACKED):
+            to = min(high, at + PACKED)
+            tasks.append(task[low])
+            blobs.append(data[at:to].tobytes() + level[at:to].tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int32()), pa.array(np.full(len(tasks), probe, np.int32)), pa.array(blobs, pa.binary())], names=["task", "probe", "sigs"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(task, probe, packed signatures) of rows that follow each other in a batch."""
+    for batch in batches:
+        if batch.num_rows:
+            task, probe = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.diff(task.astype(np.int64) << 1 | probe, prepend=-1))
+            for low, high in zip(edges, np.append(edges[1:], batch.num_rows)):
+                yield int(task[low]), int(probe[low]), batch.column(2).slice(low, high - low).to_pylist()
+
+
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, the least of its set for each number, after the sets of a and b are united."""
+    while True:
+        one, other = label[a], label[b]
+        apart = one != other
+        if not apart.any():
+            return label
+        a, b, one, other = a[apart], b[apart], one[apart], other[apart]
+        np.minimum.at(label, np.maximum(one, other), np.minimum(one, other))
+        while ((further := label[label]) != label).any():
+            label = further
+
+
+class _Cell:
+    """What a task holds of a cell, and the search in it."""
+
+    def __init__(self, part: _Part, radii: list[int], verify: int, links: bool):
+        self.part, self.radii, self.verify, self.links = part, radii, verify, links
+        self.width = len(part.group)
+        self.masks = [ball_masks(self.width, t) for t in range(MOST)]
+
+    def answers(self, runs: Iterator[tuple[int, list[bytes]]]) -> Iterator[np.ndarray]:
+        """Pairs as rows of a's words and b's. Probes are answered so many at a time as are held."""
+        kept, n, holding = [], 0, False
+        for probe, blobs in chain(runs, [(2, [])]):
+            if probe and not holding:
+                yield from self.hold(*self.unpacked(kept))
+                kept, n, holding = [], 0, True
+            kept += blobs
+            n += sum(map(len, blobs))
+            if n and (probe == 2 or probe and n > HELD * 16):
+                yield from self.pairs(*self.unpacked(kept))
+                kept, n = [], 0
+        if self.links:
+            yield self.rows(np.arange(len(self.sigs)), self.label)
+
+    def unpacked(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = len(self.radii)
+        sizes = [len(b) // (8 * words + 1) for b in blobs]
+        sigs = np.frombuffer(b"".join(b[: 8 * words * n] for b, n in zip(blobs, sizes)), np.uint64).reshape(-1, words)
+        return sigs, np.frombuffer(b"".join(b[8 * words * n :] for b, n in zip(blobs, sizes)), np.uint8)
+
+    def hold(self, sigs: np.ndarray, levels: np.ndarray) -> Iterator[np.ndarray]:
+        value = part_values(sigs[:, self.part.word], self.part.group)
+        order = np.argsort(value, kind="stable")
+        self.sigs, value = sigs[order], value[order]
+        self.word = np.ascontiguousarray(self.sigs[:, self.part.word])
+        self.start = np.searchsorted(value, np.arange((1 << self.width) + 1))
+        self.label = np.arange(len(sigs))
+        yield from self.pairs(self.sigs, levels[order], np.arange(len(sigs)))
+
+    def rows(self, a: np.ndarray, b: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+        """Pairs of numbers as rows of words, without those of one and the same, in one order."""
+        sigs = self.sigs if more is None else np.concatenate([self.sigs, more])
+        a, b = sigs[a[a != b]], sigs[b[a != b]]
+        different = (a != b).argmax(axis=1)[:, None]
+        turn = np.take_along_axis(a, different, 1) > np.take_along_axis(b, different, 1)
+        return np.hstack([np.where(turn, b, a), np.where(turn, a, b)])
+
+    def pairs(self, sigs: np.ndarray, levels: np.ndarray, number: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """Answers to probes; number: what they are if they are held themselves."""
+        held, more = len(self.sigs), None
+        label = self.label
+        if number is None:
+            number, more = held + np.arange(len(sigs)), sigs
+            label = np.append(label, number)
+        asked = np.ascontiguousarray(sigs[:, self.part.word])
+        key = part_values(asked, self.part.group) << 3 | levels
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        edges = np.flatnonzero(np.diff(key, prepend=-1))
+        tau, left, right, n = self.radii[self.part.word], [], [], 0
+        for low, high in zip(edges, np.append(edges[1:], len(key))):
+            if not (level := int(key[low]) & 7):
+                continue
+            near = (int(key[low]) >> 3) ^ self.masks[level - 1]
+            begin, sizes = self.start[near], self.start[near + 1] - self.start[near]
+            have = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            if not len(have):
                 continue
-            last = keys[-1] >> 1
-            yield from _matches(keys, found, tau)
-            # The last key may go on: its signatures stay, and the probes that were answered go.
-            stay = (keys >> 1 == last) & (keys & 1 == 0)
-            held = keys[stay], found[stay]
-
-    sent = sigs.select("s0").mapInArrow(send, "key long, sig long")
-    found = sent.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
-    return found.distinct()
-
-
-def _matches(keys: np.ndarray, found: np.ndarray, tau: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) with a < b of the signatures and probes of each key, in order, that are within tau bits."""
-    probe, keys = (keys & 1).astype(bool), keys >> 1
-    edges = np.flatnonzero(np.diff(keys, prepend=-1))
-    left, right, n = [], [], 0
-
-    def made() -> pa.RecordBatch:
-        pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
-        left.clear()
-        right.clear()
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    for low, high in zip(edges, np.append(edges[1:], len(keys))):
-        asks = probe[low:high]
-        ask, have = found[low:high][asks], found[low:high][~asks]
-        if not len(ask) or not len(have):
-            continue
-        step = max(1, 2_000_000 // len(have))
-        for i in range(0, len(ask), step):
-            q, x = np.nonzero(np.bitwise_count(ask[i : i + step, None] ^ have) <= tau)
-            one, other = ask[i + q].view(np.int64), have[x].view(np.int64)
-            less = one < other
-            left.append(one[less])
-            right.append(other[less])
-            n += len(left[-1])
-            if n > 1_000_000:
-                yield made()
-                n = 0
-    if left:
-        yield made()
+            words = self.word[have]
+            step = max(1, (1 << 17) // len(have))
+            for at in range(low, high, step):
+                which = order[at : min(high, at + step)]
+                hits = np.flatnonzero(np.bitwise_count(asked[which][:, None] ^ words).ravel() <= tau)
+                q, x = which[hits // len(have)], have[hits % len(have)]
+                one, apart = number[q], label[x] != label[number[q]] if self.links else x != number[q]
+                q, x, one = q[apart], x[apart], one[apart]
+                if not len(q):
+                    continue
+                bits = np.bitwise_count(sigs[q] ^ self.sigs[x])
+                good = bits.sum(axis=1, dtype=np.int64) <= self.verify
+                for k in range(self.part.word):
+                    good &= bits[:, k] > self.radii[k]  # else the search of that word has it
+                left.append(one[good])
+                right.append(x[good])
+                n += len(left[-1])
+                if n > max(1 << 18, len(label) >> 2 if self.links else 0):
+                    a, b = np.concatenate(left), np.concatenate(right)
+                    left, right, n = [], [], 0
+                    if self.links:
+                        label = joined(label, a, b)
+                    else:
+                        yield self.rows(a, b, more)
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            if self.links:
+                label = joined(label, a, b)
+            else:
+                yield self.rows(a, b, more)
+        if self.links:
+            self.label = label[:held]
+            if more is not None:
+                yield self.rows(number, label[held:], more)
 
 
 def hamming_pairs(sigs: DataFrame, tau: int) -> DataFrame:
     """(a, b) with a < b of all rows within tau bits on s0, by their distinct __id, and their
     other columns as a_... and b_...; rows with the same s0 are found by an equi-join."""
+    return _all_pairs(sigs, [tau], tau)
+
+
+def _all_pairs(sigs: DataFrame, radii: list[int], verify: int) -> DataFrame:
     a, b = (sigs.select(F.col("__id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sigs.columns if c != "__id"]) for side in "ab")
-    values = value_pairs(cut(sigs.select("s0").distinct()), tau)
-    both = values.unionByName(values.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("a_s0", "b_s0")
-    apart = both.join(a, "a_s0").join(b, "b_s0").where("a < b")
-    same = a.join(b, F.col("a_s0") == F.col("b_s0")).where("a < b")
+    words = range(len(radii))
+    found = _search(cut(sigs.select(*[f"s{k}" for k in words]).distinct()), radii, verify, links=False)
+    both = found.union(found.select(*[f"b{k}" for k in words], *[f"a{k}" for k in words])).toDF(*[f"{side}_s{k}" for side in "ab" for k in words])
+    apart = both.join(a, [f"a_s{k}" for k in words]).join(b, [f"b_s{k}" for k in words]).where("a < b")
+    same = a.join(b, [F.col(f"a_s{k}") == F.col(f"b_s{k}") for k in words]).where("a < b")
     return same.unionByName(apart)
 
 
@@ -348,23 +530,14 @@ def word_radii(verify: int) -> list[int]:
 
 def near_pairs(heads: DataFrame, verify: int = VERIFY) -> DataFrame:
     """(a, b) with a < b, once each, of all rows within verify bits on s0 to s3, by their distinct __id."""
-    found = None
-    radii = word_radii(verify)
-    apart = [F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)]
-    for k, radius in enumerate(radii):
-        if radius < 0:
-            continue
-        # The word that is searched goes by the name s0, so the k-th and the first change places.
-        at = [k, *(0 if i == k else i for i in range(1, 4))]
-        wanted = sum(apart[1:], apart[0]) <= verify
-        for earlier in range(k):
-            wanted &= apart[at.index(earlier)] > radii[earlier]
-        pairs = cut(hamming_pairs(heads.select("__id", *[F.col(f"s{i}").alias(f"s{j}") for j, i in enumerate(at)]), radius).where(wanted).select("a", "b"))
-        found = pairs if found is None else found.unionByName(pairs)
-        # What this word's search has shuffled stays on disk until the driver collects its garbage.
-        gc.collect()
-        heads.sparkSession.sparkContext._jvm.System.gc()
-    return found
+    return _all_pairs(heads, word_radii(verify), verify).select("a", "b")
+
+
+def near_links(heads: DataFrame, verify: int = VERIFY) -> DataFrame:
+    """(a, b) of rows within verify bits on s0 to s3, as the xxhash64 of these; rows must be distinct.
+    They are not all pairs, which grow as the square of a group, but join what all pairs join."""
+    found = _search(heads, word_radii(verify), verify, links=True)
+    return found.select(*[F.xxhash64(*[f"{side}{k}" for k in range(4)]).alias(side) for side in "ab"])
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -388,14 +561,12 @@ def _grouped(docs: DataFrame, verify: int, id_col: str, text_col: str) -> DataFr
     """(__id, __h, __keep) of every document whose group has another with a lesser key."""
     sigs = cut(signatures(docs, id_col, text_col).distinct())
     same = ["s0", "s1", "s2", "s3"]
-    # An id may have several texts, so entries are numbered by the id of one of their documents
-    # only where that is unique; the least (id, hash) stands for all with the same signature.
-    heads = cut(sigs.groupBy(*same).agg(F.min(F.struct("__id", "__h")).alias("__head")).select(*same, F.col("__head.__id").alias("__keep"), F.xxhash64("__head.__id", "__head.__h").alias("__id")))
-    near = near_pairs(heads.select("__id", *same), verify)
-    roots = components(near)
+    # Entries are numbered by their signatures' hashes, as an id may have several texts.
+    heads = cut(sigs.select(*same).distinct())
+    roots = components(near_links(heads, verify))
     # The least document of a component, by (id, hash), stays.
-    in_group = heads.join(roots.withColumnRenamed("id", "__id"), "__id", "left").select(*same, F.coalesce("root", "__id").alias("__root"))
-    members = sigs.join(in_group, same).select("__id", "__h", "__root")
+    numbered = sigs.select("__id", "__h", F.xxhash64(*same).alias("id"))
+    members = numbered.join(roots, "id", "left").select("__id", "__h", F.coalesce("root", "id").alias("__root"))
     kept = members.groupBy("__root").agg(F.min(F.struct("__id", "__h")).alias("__kept"))
     return members.join(kept, "__root").where("__id <> __kept.__id OR __h <> __kept.__h").select("__id", "__h", F.col("__kept.__id").alias("__keep"))
 

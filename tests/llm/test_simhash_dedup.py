@@ -100,3 +100,32 @@ def test_pairs_whose_first_words_differ_are_found(make, rng):
         if apart[0] > 12 and apart.sum() <= S.VERIFY:
             break
     assert {tuple(r) for r in S.near_duplicates(make([(1, text), (2, other)])).collect()} == {(2, 1)}
+
+
+def test_a_large_group_is_linked_without_all_its_pairs(make, rng, monkeypatch):
+    counted = []
+    components = S.components
+    monkeypatch.setattr(S, "components", lambda pairs: counted.append(pairs.count()) or components(pairs))
+    text = words(rng, 300)
+    docs = make([(i, near(rng, text, 1)) for i in range(400)] + [(1000 + i, words(rng, 100)) for i in range(20)])
+    assert {tuple(r) for r in S.near_duplicates(docs).collect()} == {(i, 0) for i in range(1, 400)}
+    # All pairs are 79,800; of each part of each word at most one link for each of its signatures.
+    assert counted[0] <= 400 * 4 * 8
+
+
+@pytest.mark.parametrize("held", [20, 3])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, held):
+    monkeypatch.setattr(S, "HELD", held)
+    rng = np.random.default_rng(held)
+    sigs = list(rng.integers(0, 2**63, (30, 4), dtype=np.uint64))
+    for _ in range(120):
+        bits = np.zeros(256, np.uint8)
+        bits[rng.choice(256, rng.integers(20, 60), replace=False)] = 1
+        sigs.append(sigs[rng.integers(len(sigs))] ^ np.packbits(bits).view(np.uint64))
+    sigs = np.array(sigs)
+    df = spark.createDataFrame([tuple(map(int, s)) for s in sigs.view(np.int64)], "s0 long, s1 long, s2 long, s3 long").repartition(3)
+    number = {tuple(map(int, s)): i for i, s in enumerate(sigs.view(np.int64))}
+    hashed = {r[4]: number[tuple(r)[:4]] for r in df.selectExpr("*", "xxhash64(s0, s1, s2, s3)").collect()}
+    got = np.array([(hashed[r.a], hashed[r.b]) for r in S.near_links(df).collect()])
+    a, b = np.nonzero(np.bitwise_count(sigs[:, None] ^ sigs).sum(axis=2, dtype=np.int64) <= S.VERIFY)
+    assert (S.joined(np.arange(len(sigs)), *got.T) == S.joined(np.arange(len(sigs)), a, b)).all()
