@@ -34,13 +34,14 @@ def release() -> None:
 
 class Memo(dict):
     """What a worker process keeps of words. Workers live through several operators, so only
-    the memo that was used last keeps its entries, and at most MEMO_BYTES of them, by `used`."""
+    the memo that was used last keeps its entries, and at most MEMO_BYTES of them, by `used`.
+    emptied is called then, to let go of what is kept by the entries' numbers."""
 
     _last: Memo | None = None
 
-    def __init__(self, make: Callable[[str], Any] | None = None, most: int = MEMO_BYTES):
+    def __init__(self, make: Callable[[str], Any] | None = None, most: int = MEMO_BYTES, emptied: Callable[[], None] | None = None):
         super().__init__()
-        self._make, self._most, self.used = make, most, 0
+        self._make, self._most, self._emptied, self.used = make, most, emptied, 0
 
     def __missing__(self, word: str) -> Any:
         found = self[word] = self._make(word)
@@ -50,6 +51,8 @@ class Memo(dict):
     def clear(self) -> None:
         super().clear()
         self.used = 0
+        if self._emptied:
+            self._emptied()
 
     def ready(self, more: int = 0) -> bool:
         """To be called before every batch of so many bytes; whether the memo was emptied."""
@@ -121,6 +124,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b): the rows that have the same place in the same partition, as structs. Both must have as
+    many partitions and rows in each. The JVM does it; RDDs of Python would start a second daemon in
+    every executor, with workers of its own for either side and for what joins them."""
+    spark = a.sparkSession
+    encoders = spark.sparkContext._jvm.org.apache.spark.sql.Encoders
+    pairs = a._jdf.toJavaRDD().zip(b._jdf.toJavaRDD()).rdd()
+    both = spark._jsparkSession.createDataset(pairs, encoders.tuple(encoders.row(a._jdf.schema()), encoders.row(b._jdf.schema())))
+    return DataFrame(both.toDF(), spark).toDF("a", "b")
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again; compressed, unlike a checkpoint."""
     spark = df.sparkSession

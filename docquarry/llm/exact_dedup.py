@@ -4,7 +4,7 @@ Every partition sorts the 64-bit fingerprints of its texts, splits them by owner
 of the hash space) and sends each owner one Golomb-Rice-coded message. Owners count
 fingerprints over all messages and answer with a bitmap per message. The fingerprints themselves
 stay in their checkpointed partition, which is put together with its own bitmaps, partition by
-partition; nothing but messages and bitmaps is exchanged. Owners are so many that each counts
+partition, by the JVM; nothing but messages and bitmaps is exchanged. Owners are so many that each counts
 OWNER_ROWS fingerprints or fewer. Only rows whose bit is set (suspects) have their texts moved,
 and those are compared byte by byte.
 
@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._util import cut, fields, maybe_broadcast, parallelism, rows_back, with_row
+from ._util import beside, cut, fields, maybe_broadcast, parallelism, release, rows_back, with_row
 
 
 #: Fingerprints that an owner counts.
@@ -84,18 +85,41 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__dq_id, __dq_h) of the rows whose fingerprint occurs more than once."""
     spark = docs.sparkSession
-    prints = cut(_fingerprints(docs, id_col, text_col).select("__dq_id", "__dq_h", F.spark_partition_id().alias("__p")))
-    owners = max(parallelism(spark), -(-prints.count() // OWNER_ROWS))
+    prints = _fingerprints(docs, id_col, text_col).select("__dq_id", "__dq_h")
+    prints_schema = T.StructType([T.StructField("__dq_id", prints.schema["__dq_id"].dataType), T.StructField("__dq_h", T.LongType())])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The partition as one row, so that it can be put beside its bitmaps."""
+        out, n = pa.BufferOutputStream(), 0
+        schema = to_arrow_schema(prints_schema)
+        with pa.ipc.new_stream(out, schema) as stream:
+            for b in batches:
+                stream.write_batch(b.cast(schema))
+                n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["part", "n", "rows"])
+        release()
+
+    # Each step that runs Python ends in a checkpoint or an exchange, so that a task has one
+    # worker at a time: workers of steps that wait on each other stay beside their JVM.
+    held = cut(prints.mapInArrow(whole, "part int, n long, rows binary"))
+    n = held.agg(F.sum("n")).first()[0]
+    if not n:
+        return spark.createDataFrame([], prints_schema)
+    owners = max(parallelism(spark), -(-n // OWNER_ROWS))
     bounds = _bounds(owners)
-    kind = prints.schema["__dq_id"]
+
+    def unpacked(rows: pa.Scalar) -> tuple[pa.Table, np.ndarray]:
+        mine = pa.ipc.open_stream(rows.as_buffer()).read_all()
+        return mine, mine.column(1).to_numpy().view(np.uint64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            ordered, at = _split(np.concatenate([b.column(1).to_numpy().view(np.uint64) for b in got]), owners)
-            to = np.flatnonzero(np.diff(at))
-            messages = [golomb_encode(ordered[at[o] : at[o + 1]], bounds[o], bounds[o + 1] - bounds[o]) for o in to.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(to), got[0].column(2)[0].as_py(), np.int32)), pa.array(messages, pa.binary())], names=["owner", "part", "message"])
+        for batch in batches:
+            for part, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ordered, at = _split(unpacked(rows)[1], owners)
+                to = np.flatnonzero(np.diff(at))
+                messages = [golomb_encode(ordered[at[o] : at[o + 1]], bounds[o], bounds[o + 1] - bounds[o]) for o in to.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.full(len(to), part, np.int32)), pa.array(messages, pa.binary())], names=["owner", "part", "message"])
+        release()
 
     def answer(group: pa.Table) -> pa.Table:
         low = bounds[group.column("owner")[0].as_py()]
@@ -105,34 +129,28 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         bitmaps = [np.packbits(np.isin(h, twice)).tobytes() for h in hashes]
         return pa.table({"part": group.column("part"), "owner": group.column("owner"), "bitmap": pa.array(bitmaps, pa.binary())})
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The partition as one row, so that it can be put beside its bitmaps."""
-        out = pa.BufferOutputStream()
-        schema = to_arrow_schema(prints_schema)
-        with pa.ipc.new_stream(out, schema) as stream:
-            for b in batches:
-                stream.write_batch(b.select([0, 1]).cast(schema))
-        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["rows"])
-
-    def mark(mine_and_answers: tuple) -> list[tuple]:
-        rows, answers = mine_and_answers
-        mine = pa.ipc.open_stream(rows["rows"]).read_all()
-        hashes = mine.column(1).to_numpy().view(np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        _, at = _split(hashes, owners)
-        flags = np.zeros(len(hashes), bool)
-        for owner, bitmap in answers:
-            low, high = at[owner], at[owner + 1]
-            flags[low:high] = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=high - low)
-        hit = mine.take(pa.array(np.sort(order[flags])))
-        return list(zip(hit.column(0).to_pylist(), hit.column(1).to_pylist()))
-
-    prints_schema = T.StructType([T.StructField("__dq_id", kind.dataType), T.StructField("__dq_h", T.LongType())])
-    messages = prints.mapInArrow(send, "owner int, part int, message binary")
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All bitmaps of a partition as one row; none for a partition without rows."""
+        got = [(o, m) for b in batches for o, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([[o for o, _ in got]], pa.list_(pa.int32())), pa.array([[m for _, m in got]], pa.list_(pa.binary()))], names=["owners", "bitmaps"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, to, bitmaps in zip(*batch.columns):
+                mine, hashes = unpacked(rows)
+                order = np.argsort(hashes, kind="stable")
+                _, at = _split(hashes, owners)
+                flags = np.zeros(len(hashes), bool)
+                for owner, bitmap in zip(to.as_py(), bitmaps.as_py()):
+                    low, high = at[owner], at[owner + 1]
+                    flags[low:high] = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=high - low)
+                yield from mine.take(pa.array(np.sort(order[flags]))).to_batches()
+        release()
+
+    messages = held.select("part", "rows").mapInArrow(send, "owner int, part int, message binary")
     bitmaps = messages.groupBy("owner").applyInArrow(answer, "part int, owner int, bitmap binary")
-    partitions = prints.mapInArrow(whole, "rows binary").rdd
-    replies = bitmaps.rdd.map(lambda r: (r["part"], (r["owner"], bytes(r["bitmap"])))).partitionBy(partitions.getNumPartitions(), lambda p: p).mapPartitions(lambda mine: [[v for _, v in mine]])
-    return cut(spark.createDataFrame(partitions.zip(replies).flatMap(mark), prints_schema, verifySchema=False))
+    replies = cut(bitmaps.repartitionById(held.rdd.getNumPartitions(), F.col("part")).mapInArrow(gathered, "owners array<int>, bitmaps array<binary>"))
+    return cut(beside(held.select("rows"), replies).select("a.rows", "b.owners", "b.bitmaps").mapInArrow(mark, prints_schema))
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

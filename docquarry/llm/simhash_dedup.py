@@ -59,7 +59,10 @@ class _Words:
     """Word numbers of this worker, with each number's 256 hashed bits and weight."""
 
     def __init__(self) -> None:
-        self.number = Memo()
+        self.number = Memo(emptied=self.fresh)
+        self.fresh()
+
+    def fresh(self) -> None:
         self.bits = np.empty((1 << 16, 4), np.uint64)
         self.weight = np.empty(1 << 16, np.float32)
 

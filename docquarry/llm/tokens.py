@@ -77,11 +77,10 @@ class BpeTokens:
         self._bytes = np.zeros(max(ranks.values(), default=0) + 1, np.int32)
         for piece, rank in ranks.items():
             self._bytes[rank] = len(piece)
-        self._memo = Memo()
+        self._memo = Memo(emptied=self._clear)
         self._clear()
 
     def _clear(self) -> None:
-        self._memo.clear()
         self._start, self._length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self._pool, self._filled = np.zeros(1 << 14, np.uint16), 0
 

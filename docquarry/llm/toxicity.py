@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Memo, cut, fields, mix64, rows_back, with_row
+from ._util import Memo, cut, fields, mix64, release, rows_back, with_row
 
 BITS = 20
 THRESHOLD = 0.5
@@ -118,6 +118,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: i
         got = [(i, t, y) for b in batches for i, t, y in zip(*(b.column(k).to_pylist() for k in range(3)))]
         at, w, bias = fit([(t, y) for _, t, y in sorted(got, key=lambda r: (r[0], r[1] or ""))], bits)
         yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*w.tolist(), bias], pa.float64())], names=["at", "w"])
+        del got
+        release()
 
     found = rows.select("__dq_id", "__dq_text", "__dq_label").coalesce(1).mapInArrow(train, "at int, w double").toPandas()
     places = found[found["at"] >= 0]
@@ -149,6 +151,8 @@ def _rated(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: i
                     hit = np.unique(hit)
                 found[i] = bias + float(dense[hit].sum(dtype=np.float64))
             yield pa.array(1 / (1 + np.exp(-np.clip(found, -35, 35))), pa.float64())
+        batch = dense = None
+        release()
 
     return docs.withColumn("__score", F.arrow_udf(scores, "double")(F.col("__text").cast("string")))
 

@@ -56,3 +56,15 @@ def test_text_ids_many_owners_and_empty_partitions(make, monkeypatch):
     docs = make([(i, f"t{i % 5}") for i in range(12)]).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 2, "0"))).repartition(30)
     assert {tuple(r) for r in E.duplicate_pairs(docs).collect()} == {(f"d{i:02}", f"d{i % 5:02}") for i in range(5, 12)}
     assert sorted(r.doc_id for r in E.drop_exact_duplicates(docs).collect()) == [f"d{i:02}" for i in range(5)]
+
+
+def test_no_rdds_of_python_whose_workers_stay_beside_those_of_sql(make, monkeypatch):
+    from pyspark import RDD
+
+    docs = make(ROWS)
+
+    def refused(*_, **__):
+        raise AssertionError("an RDD of Python has workers of its own, as many as its steps, beside the two of SQL")
+
+    monkeypatch.setattr(RDD, "mapPartitionsWithIndex", refused)
+    assert {tuple(r) for r in E.duplicate_pairs(docs).collect()} == brute(ROWS)

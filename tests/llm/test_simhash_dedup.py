@@ -129,3 +129,14 @@ def test_links_join_what_all_pairs_join(spark, monkeypatch, held):
     got = np.array([(hashed[r.a], hashed[r.b]) for r in S.near_links(df).collect()])
     a, b = np.nonzero(np.bitwise_count(sigs[:, None] ^ sigs).sum(axis=2, dtype=np.int64) <= S.VERIFY)
     assert (S.joined(np.arange(len(sigs)), *got.T) == S.joined(np.arange(len(sigs)), a, b)).all()
+
+
+def test_arrays_of_words_go_when_another_memo_takes_over():
+    from docquarry.llm._util import Memo
+
+    before = S.signature("one two three")
+    S.signature(" ".join(f"x{i}" for i in range(100_000)))
+    large = S._words.bits.nbytes
+    Memo().ready()
+    assert not S._words.number and S._words.bits.nbytes < large
+    assert (S.signature("one two three") == before).all()
