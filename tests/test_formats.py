@@ -100,6 +100,14 @@ def test_xls_values_and_text():
     assert doc.full_text.splitlines()[1].split() == ["1", "2"]
 
 
+def test_xls_unit_begins_with_its_first_value():
+    """A header narrower than what stands below it is padded, but not at the unit's begin."""
+    from docquarry.formats.compose import xls
+
+    doc = one("xls", xls("t", [("1000", "a"), ("12345", "b")]))
+    assert doc.units[0].text == doc.full_text == "key  name\n 1000     a\n12345     b"
+
+
 def test_msg_addresses_body_and_attachments():
     doc = one("msg", samples.msg())
     mail = doc.email
