@@ -31,14 +31,14 @@ _ARROW = pa.struct(
 )
 
 
-def _pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _pages(batches: Iterator[pa.Array], terminated: bool) -> Iterator[pa.Array]:
     from ..formats.html import extract_markup
 
     def one(markup: str | None) -> dict | None:
         if markup is None:
             return None
         try:
-            doc = extract_markup(markup)
+            doc = extract_markup(markup, terminated=terminated)
         except Exception as error:  # one page's failure is that page's row
             return {"error": f"{type(error).__name__}: {error}"[:2000]}
         return {
@@ -53,32 +53,37 @@ def _pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([one(m.as_py()) for m in batch], _ARROW)
 
 
-def parsed_pages(pages: DataFrame, html_col: str = "html", out: str = "page") -> DataFrame:
+def parsed_pages(pages: DataFrame, html_col: str = "html", out: str = "page", terminated: bool = False) -> DataFrame:
     """pages with a struct of what its markup holds in place of the markup; NULL stays NULL, and
-    of a page that can't be read there is only the error.
+    of a page that can't be read there is only the error. References without their semicolon
+    ("&amp" where a text was cut) are read as browsers do, or with terminated stay as written.
 
     The struct is computed once a row, whatever number of its fields is used later."""
     kept = [c for c in pages.columns if c != html_col]
-    return pages.select(*kept, F.arrow_udf(_pages, PAGE)(F.col(html_col)).alias(out))
 
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _pages(batches, terminated)
 
-def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    return parsed_pages(pages.select(id_col, html_col), html_col).select(id_col, F.posexplode("page.links").alias("link_idx", "l")).select(id_col, "link_idx", "l.text", "l.href")
+    return pages.select(*kept, F.arrow_udf(read, PAGE)(F.col(html_col)).alias(out))
 
 
-def headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    return parsed_pages(pages.select(id_col, html_col), html_col).select(id_col, F.posexplode("page.headings").alias("heading_idx", "h")).select(id_col, "heading_idx", "h.level", "h.text")
+def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", terminated: bool = False) -> DataFrame:
+    return parsed_pages(pages.select(id_col, html_col), html_col, terminated=terminated).select(id_col, F.posexplode("page.links").alias("link_idx", "l")).select(id_col, "link_idx", "l.text", "l.href")
 
 
-def tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    found = parsed_pages(pages.select(id_col, html_col), html_col).select(id_col, F.posexplode("page.tables").alias("table_idx", "data"))
+def headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", terminated: bool = False) -> DataFrame:
+    return parsed_pages(pages.select(id_col, html_col), html_col, terminated=terminated).select(id_col, F.posexplode("page.headings").alias("heading_idx", "h")).select(id_col, "heading_idx", "h.level", "h.text")
+
+
+def tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", terminated: bool = False) -> DataFrame:
+    found = parsed_pages(pages.select(id_col, html_col), html_col, terminated=terminated).select(id_col, F.posexplode("page.tables").alias("table_idx", "data"))
     return found.select(id_col, "table_idx", "data", F.size("data").alias("rows"), F.coalesce(F.array_max(F.transform("data", F.size)), F.lit(0)).alias("columns"))
 
 
-def texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    return parsed_pages(pages.select(id_col, html_col), html_col).select(id_col, F.col("page.text").alias("text"))
+def texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", terminated: bool = False) -> DataFrame:
+    return parsed_pages(pages.select(id_col, html_col), html_col, terminated=terminated).select(id_col, F.col("page.text").alias("text"))
 
 
-def metadata(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def metadata(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", terminated: bool = False) -> DataFrame:
     fields = ("title", "language", "charset", "description", "keywords", "author")
-    return parsed_pages(pages.select(id_col, html_col), html_col).select(id_col, *[F.col("page.metadata")[f].alias(f) for f in fields])
+    return parsed_pages(pages.select(id_col, html_col), html_col, terminated=terminated).select(id_col, *[F.col("page.metadata")[f].alias(f) for f in fields])

@@ -57,3 +57,21 @@ def test_paths_of_any_depth(spark):
     nodes = spark.createDataFrame([(i, i - 1 if i else None, str(i)) for i in range(7)] + [(9, 8, "lost")], "id long, parent long, name string")
     found = {r.node: (r.path, r.depth) for r in R.nested_paths(nodes, "id", "parent", "name").collect()}
     assert found == {i: ("/".join(map(str, range(i + 1))), i) for i in range(7)}
+
+
+CUT = ["a &amp;&amp", "a&am", "R&", "&quo", "b &lt", "&amp;amp", "a &copy 1", "a &#38", "&ampere;", "&lt;i&gt; &quot;x&quot; &amp; y"]
+
+
+@pytest.mark.parametrize("name", ["html_headings", "html_links", "html_links_per_page"])
+def test_references_that_a_cut_left_without_semicolon(spark, tmp_path, name):
+    page = '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{0}</title></head><body><h1>{0}</h1><p><a href="/a?b=1&copy=2">{0}</a> <a href="/a?b=1&amp;copy=2">x</a></p></body></html>'
+    spark.createDataFrame([(i, page.format(t)) for i, t in enumerate(CUT)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    same(catalogue.queries()[name](spark, str(tmp_path)), catalogue.oracle_sql()[name], str(tmp_path))
+
+
+def test_references_are_read_as_browsers_do_unless_told_otherwise():
+    from docquarry.formats.html import extract_markup
+
+    heading = "<h1>R&amp;D &copy &#169; &ampx</h1>"
+    assert extract_markup(heading).full_text == "R&D © © &x"
+    assert extract_markup(heading, terminated=True).full_text == "R&D &copy © &ampx"
