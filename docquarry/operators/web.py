@@ -58,13 +58,16 @@ def parsed_pages(pages: DataFrame, html_col: str = "html", out: str = "page", te
     of a page that can't be read there is only the error. References without their semicolon
     ("&amp" where a text was cut) are read as browsers do, or with terminated stay as written.
 
-    The struct is computed once a row, whatever number of its fields is used later."""
+    The struct is computed once a row, whatever number of its fields is used later: it counts as
+    nondeterministic, or the optimizer would compute it again in every filter on a field (explode
+    brings one of its own), with workers beside those that compute it for the result. Rows should
+    be filtered by other columns before, as such filters stay above it."""
     kept = [c for c in pages.columns if c != html_col]
 
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return _pages(batches, terminated)
 
-    return pages.select(*kept, F.arrow_udf(read, PAGE)(F.col(html_col)).alias(out))
+    return pages.select(*kept, F.arrow_udf(read, PAGE).asNondeterministic()(F.col(html_col)).alias(out))
 
 
 def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", terminated: bool = False) -> DataFrame:

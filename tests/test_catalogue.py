@@ -75,3 +75,10 @@ def test_references_are_read_as_browsers_do_unless_told_otherwise():
     heading = "<h1>R&amp;D &copy &#169; &ampx</h1>"
     assert extract_markup(heading).full_text == "R&D © © &x"
     assert extract_markup(heading, terminated=True).full_text == "R&D &copy © &ampx"
+
+
+@pytest.mark.parametrize("name", sorted(n for n in catalogue.queries() if n.startswith("html_")))
+def test_markup_is_read_once_a_row(spark, tiny, name):
+    """explode's own filter on what it gets must not read the page a second time."""
+    plan = catalogue.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
