@@ -31,6 +31,10 @@ _ARROW = pa.struct(
 )
 
 
+#: Pages that are Python objects at a time: so many, or so many characters of markup or one page.
+_ROWS, _CHARACTERS = 256, 1 << 20
+
+
 def _pages(batches: Iterator[pa.Array], terminated: bool) -> Iterator[pa.Array]:
     from ..formats.html import extract_markup
 
@@ -50,7 +54,18 @@ def _pages(batches: Iterator[pa.Array], terminated: bool) -> Iterator[pa.Array]:
         }
 
     for batch in batches:
-        yield pa.array([one(m.as_py()) for m in batch], _ARROW)
+        rows, held = [], 0
+        for markup in batch:
+            markup = markup.as_py()
+            rows.append(one(markup))
+            held += len(markup or "")
+            if len(rows) == _ROWS or held >= _CHARACTERS:
+                yield pa.array(rows, _ARROW)
+                rows, held = [], 0
+        # An empty batch has its answer too.
+        if rows or not len(batch):
+            yield pa.array(rows, _ARROW)
+        batch = markup = rows = None
 
 
 def parsed_pages(pages: DataFrame, html_col: str = "html", out: str = "page", terminated: bool = False) -> DataFrame:

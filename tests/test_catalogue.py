@@ -82,3 +82,19 @@ def test_markup_is_read_once_a_row(spark, tiny, name):
     """explode's own filter on what it gets must not read the page a second time."""
     plan = catalogue.queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1
+
+
+def test_few_pages_are_objects_at_a_time(spark):
+    import pyarrow as pa
+
+    from docquarry.operators import web
+
+    pages = [None if i % 7 == 3 else f"<p>page {i}</p>" for i in range(1000)] + ["", f"<p>{'long ' * 300_000}</p>", f"<p>{'more ' * 300_000}</p>", "<p>last</p>"]
+    found = list(web._pages(iter([pa.array(pages), pa.array([], pa.string()), pa.array(["<p>x</p>"])]), False))
+    assert max(map(len, found)) <= 256 and sum(len(f.field("text")[i].as_py() or "") > 1 << 20 for f in found for i in range(len(f))) == 2
+    assert all(sum(len(t.as_py() or "") for t in f.field("text")) < 3 << 20 for f in found)
+    expected = [None if m is None else m.removeprefix("<p>").removesuffix("</p>").strip() for m in [*pages, "<p>x</p>"]]
+    assert [r.as_py() and r.as_py()["text"] for f in found for r in f] == expected
+    # Each text stays with its row, though answers come in smaller batches than pages go in.
+    rows = spark.createDataFrame(list(enumerate(pages[:1000])), "page_id long, html string").coalesce(1)
+    assert sorted(tuple(r) for r in web.texts(rows).collect()) == list(enumerate(expected[:1000]))
